@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing, quality, url_filter, warc
+from driftline.llm import decontaminate, line_templates, mixing, quality, simhash, toxicity, url_filter, warc
 from driftline.llm.common import read
 
 
@@ -33,10 +33,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("line_words_lost", 6).alias("line_words_lost"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_templates.drop_recurring_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit_lexicon(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "contaminated", F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"), F.array_max(F.transform("leaks", lambda x: x["covered"])).alias("covered"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_url_filter": op2_url_filter,
+    "op5_line_templates": op5_line_templates,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
+    "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -90,7 +117,7 @@ ORACLES["op6_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS head FROM p)
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (k // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (k // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to, true AS block_ok
 FROM h
