@@ -86,14 +86,19 @@ def _writer(base: str, date: str, roll_bytes: int):
                 done.append((temp, name, count, size, sha.hexdigest()))
                 out = None
 
+        known: tuple[int | None, bytes] | None = None
+        refers: int | None = None
         for b in batches:
-            for key, url, html, refers in zip(b["_key"], b["_url"], b["_body"], b["_refers"], strict=True):
+            for raw_key, url, html, to, sha1, kind in zip(b["_key"], b["_url"], b["_body"], b["_refers"], b["_sha"], b["_kind"], strict=True):
+                key = None if pd.isna(raw_key) else int(raw_key)
+                if kind == 0:
+                    known, refers = (key, bytes(sha1)), int(to)
+                    continue
                 if out is None:
                     name = f"part-{part:05d}-{len(done):05d}.warc.gz"
                     temp = f"_temporary/{run}-{name}"
                     out, sha, size, count = store.open_output_stream(f"{root}/{temp}", compression=None), hashlib.sha256(), 0, 0
-                text = None if html is None else bytes(html)
-                data = _gzip(record(None if pd.isna(key) else int(key), url, text or b"", None if pd.isna(refers) else int(refers), date))
+                data = _gzip(record(key, url, bytes(html), refers if known == (key, bytes(sha1)) else None, date))
                 out.write(data)
                 sha.update(data)
                 size, count = size + len(data), count + 1
@@ -128,13 +133,14 @@ def write_warc(
     body = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), body.alias("_body")).withColumn("_sha", F.unhex(F.sha1("_body")))
     first = rows.filter(F.length("_body") >= min_payload).groupBy("_sha").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null").select("_sha", "_first")
-    # the digest columns alone meet the first keys; payloads are moved once, by the range sort
-    refers = rows.select("_key", "_sha").join(first, "_sha").filter("_key is null or _key != _first").select(F.col("_key").alias("_k2"), F.col("_sha").alias("_s2"), F.col("_first").alias("_refers")).distinct()
-    joined = rows.join(refers, F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_sha") == F.col("_s2")), "left")
+    # the digest columns alone meet the first keys; payloads move once, by the range sort, and meet what they refer to in the writer
+    refers = rows.select("_key", "_sha").join(first, "_sha").filter("_key is null or _key != _first").select("_key", "_sha", F.col("_first").alias("_refers")).distinct()
+    records = rows.withColumns({"_kind": F.lit(1), "_refers": F.lit(None).cast("long")})
+    merged = records.unionByName(refers.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, root = _uri_fs(base)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    parts = joined.select("_key", "_url", "_body", "_refers").repartitionByRange(n, "_key", F.xxhash64("_url")).sortWithinPartitions("_key", "_url", "_refers", "_body").mapInPandas(_writer(base, date, roll_bytes), MANIFEST_SCHEMA)
+    parts = merged.select("_key", "_url", "_body", "_refers", "_sha", "_kind").repartitionByRange(n, "_key", "_sha").sortWithinPartitions("_key", "_sha", "_kind", "_url").mapInPandas(_writer(base, date, roll_bytes), MANIFEST_SCHEMA)
     parts.write.parquet(f"{base}/_manifest.parquet")
     return base, commit_warc(spark, base)
 
