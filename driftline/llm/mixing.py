@@ -21,20 +21,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
     Sources in code point order, null last, take the weights in turn. The whole budget, the sum of all sizes, is
     shared by weight; no target exceeds ``max_epochs`` times its source, and what a capped source can't take goes
-    to the others by weight. Water filling: sources sorted by cap/weight are capped as long as the level that the
-    rest would get is not below theirs. Handles one row per source, so its windows are as small as the source list.
+    to the others by weight. Water filling: sources sorted by cap/weight are capped up to the first whose
+    cap/weight the level of the rest does not exceed. Handles one row per source, so its windows are as small as the source list.
     """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy()
     ordered = Window.orderBy(F.col("source").isNull(), "source")
-    before = Window.orderBy("_cap_ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy("_cap_ratio", F.col("source").isNull(), "source")
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     turn = (F.row_number().over(ordered) - 1) % len(weights) + 1
     w = sizes.withColumn("_w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn))
     w = w.withColumn("_cap", max_epochs * F.col("source_size")).withColumn("_cap_ratio", F.col("_cap") / F.col("_w"))
     w = w.withColumns({"_t": F.sum("source_size").over(everything), "_all_w": F.sum("_w").over(everything)})
     rest_words = F.col("_t") - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     rest_w = F.col("_all_w") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    w = w.withColumn("_level", rest_words / rest_w)
-    final = w.withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_cap_ratio"), F.col("_level"))).over(everything))
+    w = w.withColumns({"_level": rest_words / rest_w, "_n": F.row_number().over(filling)})
+    first = F.when(F.col("_level") <= F.col("_cap_ratio"), F.struct("_n", "_level"))
+    final = w.withColumn("_final", F.min(first).over(everything)["_level"])
     target = F.when(F.col("_final").isNull() | (F.col("_cap_ratio") < F.col("_final")), F.col("_cap").cast("double")).otherwise(F.col("_final") * F.col("_w"))
     return final.select("source", "source_size", target.alias("target"))
 
