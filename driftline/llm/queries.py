@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from driftline.llm import decontaminate, line_templates, mixing, quality, simhash, suffix_dedup, toxicity, url_filter, warc, window_index
 from driftline.llm.common import read
 
@@ -77,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
@@ -95,7 +97,8 @@ r AS (
 l AS (
   SELECT *, (t - coalesce(sum(3 * source_size) OVER p, 0)) / (all_w - coalesce(sum(w) OVER p, 0.0)) AS level FROM r
   WINDOW p AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS final FROM l),
+k AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS n FROM l),
+f AS (SELECT *, arg_min(level, CASE WHEN level <= ratio THEN n END) OVER () AS final FROM k),
 g AS (SELECT source, source_size, CASE WHEN final IS NULL OR ratio < final THEN (3 * source_size)::DOUBLE ELSE final * w END AS target FROM f),
 q AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,

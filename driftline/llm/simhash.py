@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise
+from driftline.llm.common import materialise, maybe_broadcast
+from driftline.llm.winnow import mix64
 
 RADIUS = 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -212,3 +213,144 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     final = classes.join(of, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_component", "_low").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(final, F.col("fp") == F.col("_fp")).select(key, digits.alias("fingerprint"), "component_id")
+
+
+#: Words of 64 bits in a wide fingerprint, and the tables of keys drawn from its bits.
+WIDE_WORDS = 8
+TABLES = 20
+#: Exact bits beside the 23 fuzzy ones of a table's key.
+EXACT_BITS = 8
+#: In a bucket up to this size all pairs are compared; in a larger one, a breadth-first tree over the same links.
+PAIRED = 64
+
+
+def wide_fingerprint(text: str | None, n: int = 5) -> np.ndarray:
+    """WIDE_WORDS words: the SimHash of the shingles under as many hash functions, all made from one XXH64."""
+    s = shingles(text, n)
+    if not s:
+        return np.zeros(WIDE_WORDS, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    seeds = mix64(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    for i in range(0, len(h), 1 << 12):
+        words = mix64(h[i : i + (1 << 12), None] ^ seeds)
+        ones += np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s)).view(">u8").astype(np.uint64)
+
+
+def _wide_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of each table: a Golay codeword near 23 bits of the fingerprint, and EXACT_BITS others as they are."""
+    bits = 64 * WIDE_WORDS
+    chosen = [np.random.Generator(np.random.PCG64(t)).permutation(bits)[: 23 + EXACT_BITS] for t in range(TABLES)]
+    for b in batches:
+        for i in range(0, len(b), 5_000):
+            part = b.iloc[i : i + 5_000]
+            w = np.column_stack([part[f"w{j}"].to_numpy(np.int64) for j in range(WIDE_WORDS)])
+            all_bits = np.unpackbits(w.astype(">i8").view(np.uint8).reshape(len(w), -1), axis=1)
+            keys, at = [], []
+            for t, where in enumerate(chosen):
+                v = all_bits[:, where].astype(np.int64) @ (1 << np.arange(23 + EXACT_BITS, dtype=np.int64))
+                rows, code = golay_keys(v & 0x7FFFFF)
+                keys.append((np.int64(t) << np.int64(40)) | (code << EXACT_BITS) | (v[rows] >> 23))
+                at.append(rows)
+            at = np.concatenate(at)
+            yield pd.DataFrame({"key": np.concatenate(keys), "t": part["t"].to_numpy(np.int64)[at], "w0": w[at, 0]})
+
+
+def _candidates(near: int):
+    """Sorted (key, t, w0) rows to pairs of classes whose first words differ in ``near`` bits at most."""
+
+    def pairs(t: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(t) <= PAIRED:
+            a, b = np.triu_indices(len(t), 1)
+            ok = np.bitwise_count(w[a] ^ w[b]) <= near
+            return [(t[a[ok]], t[b[ok]])]
+        out, rest = [], np.arange(len(t))
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                at = front.pop()
+                hit = np.bitwise_count(w[rest] ^ w[at]) <= near
+                if hit.any():
+                    out.append((np.full(int(hit.sum()), t[at]), t[rest[hit]]))
+                    front.extend(rest[hit])
+                    rest = rest[~hit]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, t, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def links(key: np.ndarray, t: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[begin, len(key)])
+            two = begin[size == 2]
+            ok = np.bitwise_count(w[two] ^ w[two + 1]) <= near
+            found = [(t[two[ok]], t[two[ok] + 1])]
+            for i, n in zip(begin[size > 2], size[size > 2], strict=True):
+                found += pairs(t[i : i + n], w[i : i + n])
+            both = np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1)
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.concatenate([key, batch["key"].to_numpy(np.int64)])
+            t = np.concatenate([t, batch["t"].to_numpy(np.int64)])
+            w = np.concatenate([w, batch["w0"].to_numpy(np.int64).view(np.uint64)])
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield links(key[:last], t[:last], w[:last])
+                key, t, w = key[last:], t[last:], w[last:]
+        if len(key):
+            yield links(key, t, w)
+
+    return run
+
+
+def similar_classes(docs: DataFrame, text: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``t, root`` for texts (by xxhash64 ``t``) that are near copies of others: similar shingle sets, at any distance in a chain.
+
+    Near copies this unlike differ in more bits than a 64-bit fingerprint can tell, so fingerprints are WIDE_WORDS words.
+    Two texts become candidates if in one of TABLES tables 23 bits have a Golay codeword in common and EXACT_BITS others
+    agree, and are linked if the whole fingerprints differ in no more bits than the given similarity leads to, plus
+    one standard deviation. At similarity 0.8 the tables miss about one pair in twenty, at 0.9 none in ten thousand.
+    """
+    from math import acos, pi, sqrt
+
+    bits, p = 64 * WIDE_WORDS, acos(2 * similarity / (1 + similarity)) / pi
+    cut = int(bits * p + sqrt(bits * p * (1 - p)))
+    near = int(64 * p + 3 * sqrt(64 * p * (1 - p)))
+    names = [f"w{i}" for i in range(WIDE_WORDS)]
+
+    @F.pandas_udf(", ".join(f"{w} long" for w in names))
+    def wide(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([wide_fingerprint(t, n) for t in texts], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+        return pd.DataFrame(rows, columns=names)
+
+    fps = docs.select(F.xxhash64(F.col(text)).alias("t"), wide(F.col(text)).alias("w")).select("t", "w.*")
+    fps = materialise(materialise(fps, "wide").dropDuplicates(["t"]), "classes")
+    keyed = fps.mapInPandas(_wide_keys, "key long, t long, w0 long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_candidates(near), "a long, b long").distinct()
+    left, right = (fps.select(F.col("t").alias(side), *[F.col(w).alias(f"{side}{w}") for w in names]) for side in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
+    edges = pairs.join(left, "a").join(right, "b").filter(differ <= cut).select("a", "b")
+    return components(edges).select(F.col("node").alias("t"), "root")
+
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Input rows without near copies: of each group the row with the smallest key stays (null keys last, then by text hash).
+
+    Equal texts are one class before anything else, so groups of copies cost one fingerprint; null and empty texts are a
+    class each. Rows equal in key and text are copies, too: one stays. Columns are those of the input.
+    """
+    docs = docs.drop("_t", "_root", "_t2", "_key2")
+    tagged = docs.withColumn("_t", F.xxhash64(F.col(text)))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_t").alias("t"))
+    classes = tagged.groupBy("_t").agg(F.min(order).alias("low"))
+    groups = similar_classes(docs, text, n, similarity)
+    lows = classes.join(groups, classes["_t"] == groups["t"], "left").groupBy(F.coalesce("root", "_t").alias("root")).agg(F.min("low").alias("low"))
+    stay = materialise(lows.select(F.col("low.t").alias("_t2"), F.col("low.key").alias("_key2")), "stay")
+    kept = tagged.join(maybe_broadcast(stay, 32), (F.col("_t") == F.col("_t2")) & F.col(key).eqNullSafe(F.col("_key2")), "left_semi")
+    again = tagged.groupBy("_t", key).count().filter("count > 1")
+    return (kept if again.isEmpty() else kept.dropDuplicates(["_t", key])).drop("_t")
