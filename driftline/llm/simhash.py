@@ -227,8 +227,8 @@ FEW = 100
 
 
 def wide_fingerprint(text: str | None, n: int = 5) -> np.ndarray:
-    """WIDE_WORDS words: the SimHash of the shingles under as many hash functions, all made from one XXH64."""
-    s = shingles(text, n)
+    """WIDE_WORDS words: the SimHash of the different shingles under as many hash functions, all made from one XXH64."""
+    s = set(shingles(text, n))
     if not s:
         return np.zeros(WIDE_WORDS, np.uint64)
     h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
