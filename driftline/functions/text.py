@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words without identity in headlines.
 STOPWORDS = (
@@ -40,13 +41,13 @@ SPACED_NAME = r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+(\d[\w.]*)\b"
 MONTHS = r"^(?:january|february|march|april|may|june|july|august|september|october|november|december|янв|фев|мар|апр|мая|июн|июл|авг|сен|окт|ноя|дек)[-.]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_unicode(text: pd.Series) -> pd.Series:
     """NFKC and case folding; null stays null."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def hyphenate_names(text: pd.Series) -> pd.Series:
     """``Product Name 5`` as ``Product-Name-5``, so that prose and API names read alike."""
     import re

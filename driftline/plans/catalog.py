@@ -367,13 +367,13 @@ def fil07_verify_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH p AS (SELECT l_orderkey AS claim_id, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, l_partkey % 3 AS sid, l_returnflag AS vendor, l_linestatus AS kind FROM lineitem),
+WITH p AS (SELECT l_orderkey AS claim_id, l_linenumber * 1000000000000 + l_partkey * 1000000 + floor(l_extendedprice)::BIGINT AS seq, l_partkey % 3 AS sid, l_returnflag AS vendor, l_linestatus AS kind FROM lineitem),
 m AS (SELECT *, CASE WHEN vendor <> 'N' THEN 'vendor_mismatch' WHEN kind <> 'O' THEN 'change_type_mismatch' END AS bad FROM p),
 k AS (SELECT *, coalesce(max((bad IS NULL)::INT) OVER (PARTITION BY claim_id, sid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS again FROM m)
 SELECT claim_id, seq, CASE WHEN again THEN 'duplicate' ELSE bad END AS reason FROM k"""
 )
 def fil08_validate_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"), (F.col("l_partkey") % 3).alias("statement_id"), F.col("l_returnflag").alias("vendor"), F.col("l_linestatus").alias("change_type"), F.lit("N").alias("claim_vendor"), F.lit("O").alias("claim_type"))
+    p = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.floor("l_extendedprice")).alias("seq"), (F.col("l_partkey") % 3).alias("statement_id"), F.col("l_returnflag").alias("vendor"), F.col("l_linestatus").alias("change_type"), F.lit("N").alias("claim_vendor"), F.lit("O").alias("claim_type"))
     return evidence.validate_precedents(p).select("claim_id", "seq", "reason")
 
 
