@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from driftline.plans import catalog
+from driftline.plans import catalog, catalog_stages  # noqa: F401  (the second adds its queries to the first)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
