@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word and space classes of the contracts.
@@ -14,11 +15,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: A relation at most this large (rows times row bytes) may be broadcast; larger ones are merge-joined.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+
+
+#: Rows and bytes of an Arrow batch at most, as texts may be long and workers share an executor's memory with its heap.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches unless the session sets smaller ones; results don't depend on them."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, whole."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -27,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is absent and the master is local (tests), a temporary folder is made and set.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -55,8 +70,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the counted rows prove ``df`` small; otherwise leave a merge join."""
-    bound = limit // max(row_bytes, 1)
-    small = df.limit(bound + 1).count() <= bound
-    return F.broadcast(df) if small else df
+def maybe_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, element_bytes: int = 0, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if ``df``, counted with the elements of ``array``, proves small; else a merge join stays."""
+    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    rows, n = df.agg(F.count("*"), elements).first()
+    return F.broadcast(df) if rows * row_bytes + n * element_bytes <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished queries now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def merge_span_rows(spans: DataFrame) -> DataFrame:
+    """``_k, spans``: rows ``_k, s, e`` (half-open) merged to maximal runs, in order."""
+    order = Window.partitionBy("_k").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("_new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = runs.groupBy("_k", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return one.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))

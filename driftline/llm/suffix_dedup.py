@@ -9,6 +9,7 @@ neighbouring suffixes by increasing value and stops at the minimum length; what
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,15 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, maybe_broadcast
-from driftline.llm.winnow import Grams, anchors, merge_spans, mix64
+from driftline.llm.common import materialise, merge_span_rows, release
+from driftline.llm.winnow import Grams, anchors, mix64
 
 LENGTH = 400
 #: Bytes of an anchor. Shared strings shorter than this never bring contexts together.
 GRAM = 160
 #: Bytes of contexts in one transform, about.
 BATCH_BYTES = 1 << 20
-#: Anchors with more different contexts than this are compared by window hashes over the whole cluster instead.
+#: Anchors with more different contexts than this are split by longer anchors; what still is hot is compared by
+#: window hashes over the whole cluster.
 HOT_CONTEXTS = 1_000
 #: Levels up to this one come from the sort that builds the suffix array.
 SORTED_DEPTH = 64
@@ -36,21 +38,38 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _split(data: bytes, grams: Grams, length: int, gram: int) -> tuple[list[int], list[int], list[int], list[int], list[list[int]]]:
+    """Contexts of a string: anchor, context hash, first and last window, and the first windows of equal contexts further on."""
+    h = grams.hashes(_BYTE[np.frombuffer(data, np.uint8)], gram)
+    at, lo, hi = anchors(h, length - gram + 1)
+    lo, hi = lo.tolist(), hi.tolist()
+    ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[i : j + length]) for i, j in zip(lo, hi, strict=True)), np.uint64, len(lo))
+    anchor, ctx = _signed(h[at]).tolist(), _signed(ctx).tolist()
+    first: dict[tuple[int, int], int] = {}
+    more: dict[int, list[int]] = {}
+    for n, key in enumerate(zip(anchor, ctx, strict=True)):
+        if (m := first.setdefault(key, n)) != n:
+            more.setdefault(m, []).append(lo[n])
+    own = list(first.values())
+    return [anchor[n] for n in own], [ctx[n] for n in own], [lo[n] for n in own], [hi[n] for n in own], [more.get(n, []) for n in own]
+
+
+FOUND = "_k long, base int, anchor long, ctx long, lo int, hi int, more array<int>, w long"
+
+
 def _contexts(length: int, gram: int):
+    """Rows (_k, lo, w, data) to their contexts; one that a string holds several times is one row, with all places."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for b in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for key, text in zip(b["_k"], b["_text"], strict=True):
-                data = text.encode()
-                if len(data) < length:
-                    continue
-                h = grams.hashes(_BYTE[np.frombuffer(data, np.uint8)], gram)
-                at, lo, hi = anchors(h, length - gram + 1)
-                ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-                parts.append((np.full(len(at), key, np.int64), _signed(h[at]), _signed(ctx), lo, hi))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 5
-            yield pd.DataFrame(dict(zip(("_k", "anchor", "ctx", "lo", "hi"), columns, strict=True))).astype({"lo": "int32", "hi": "int32"})
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+            for key, start, w, data in zip(b["_k"], b["lo"], b["w"], b["data"], strict=True):
+                anchor, ctx, lo, hi, more = _split(bytes(data), grams, length, gram)
+                columns = ([key] * len(lo), [start] * len(lo), anchor, ctx, [start + x for x in lo], [start + x for x in hi], [[start + y for y in x] for x in more], [w] * len(lo))
+                for column, values in zip(out, columns, strict=True):
+                    column.extend(values)
+            yield pd.DataFrame(dict(zip(("_k", "base", "anchor", "ctx", "lo", "hi", "more", "w"), out, strict=True))).astype({"_k": "int64", "base": "int32", "anchor": "int64", "ctx": "int64", "lo": "int32", "hi": "int32", "w": "int64"})
 
     return run
 
@@ -158,20 +177,22 @@ def _sweep(length: int, batch_bytes: int):
 
 
 def _slice(length: int):
+    """The wanted stretches of strings that begin at ``base``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for key, text, wanted in zip(b["_k"], b["_text"], b["_wanted"], strict=True):
-                data = text.encode()
+            for key, base, data, wanted in zip(b["_k"], b["base"], b["data"], b["_wanted"], strict=True):
+                data = bytes(data)
                 for w in wanted:
-                    piece = data[w["lo"] : w["hi"] + length]
-                    rows.append((w["anchor"], key, w["lo"], w["n"], piece))
+                    piece = data[w["lo"] - base : w["hi"] - base + length]
+                    rows.append((w["anchor"], key, w["lo"], w["n"], w["hot"], piece))
                     held += len(piece)
                 if held > 8 << 20:
-                    yield pd.DataFrame(rows, columns=["anchor", "_k", "lo", "n", "data"])
+                    yield pd.DataFrame(rows, columns=["anchor", "_k", "lo", "n", "hot", "data"])
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["anchor", "_k", "lo", "n", "data"])
+            yield pd.DataFrame(rows, columns=["anchor", "_k", "lo", "n", "hot", "data"])
 
     return run
 
@@ -179,45 +200,53 @@ def _slice(length: int):
 def _window_hashes(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(xxhash.xxh3_128_digest(data[i : i + length]), key, lo + i) for key, lo, data in zip(b["_k"], b["lo"], b["data"], strict=True) for data in [bytes(data)] for i in range(len(data) - length + 1)]
-            yield pd.DataFrame(rows, columns=["h", "_k", "s"])
+            rows = [(xxhash.xxh3_128_digest(data[i : i + length]), key, lo + i, n) for key, lo, n, data in zip(b["_k"], b["lo"], b["n"], b["data"], strict=True) for data in [bytes(data)] for i in range(len(data) - length + 1)]
+            yield pd.DataFrame(rows, columns=["h", "_k", "s", "w"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """``_k, spans``: for the rows that have any, the byte spans that strings of ``length`` occurring again cover.
+    """``_k, spans``: for the rows that have any, the byte runs of bytes that strings of ``length`` occurring again cover.
 
-    ``_k`` is the xxhash64 of key and text; spans may overlap. Equal rows are two documents and repeat each other.
+    ``_k`` is the xxhash64 of key and text. Equal rows are two documents and repeat each other.
     """
-    rows = docs.select(F.xxhash64(key, text).alias("_k"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= length)
-    found = rows.mapInPandas(_contexts(length, gram), "_k long, anchor long, ctx long, lo int, hi int")
-    of_ctx = Window.partitionBy("anchor", "ctx").orderBy("_k", "lo")
-    of_anchor = Window.partitionBy("anchor")
-    marked = (
-        found.repartition("anchor")
-        .withColumns({"rn": F.row_number().over(of_ctx), "n": F.count("*").over(Window.partitionBy("anchor", "ctx"))})
-        .withColumn("contexts", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(of_anchor))
-        .filter("n > 1 or contexts > 1")
-    )
-    marked = materialise(marked, "contexts")
-    whole = marked.filter("n > 1").select("_k", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    wanted = marked.filter("contexts > 1 and rn = 1").withColumn("n", F.least("n", F.lit(2)).cast("int"))
-
-    def pieces(of: DataFrame) -> DataFrame:
-        lists = of.groupBy(F.col("_k").alias("_k2")).agg(F.collect_list(F.struct("anchor", "lo", "hi", "n")).alias("_wanted"))
+    spark = docs.sparkSession
+    strings = docs.filter(F.octet_length(text) >= length).select(F.xxhash64(key, text).alias("_k"), F.lit(0).alias("base"), F.lit(1).cast("long").alias("w"), F.encode(text, "UTF-8").alias("data"))
+    spans, levels = [], (gram, length - length // 10)
+    for level in levels:
+        found = strings.select("_k", F.col("base").alias("lo"), "w", "data").mapInPandas(_contexts(length, level), FOUND)
+        of_ctx = Window.partitionBy("anchor", "ctx")
+        marked = (
+            found.repartition("anchor")
+            .withColumns({"rn": F.row_number().over(of_ctx.orderBy("_k", "lo")), "n": F.sum(F.col("w") * (1 + F.size("more"))).over(of_ctx)})
+            .withColumn("contexts", F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
+            .filter("n > 1 or contexts > 1")
+        )
+        marked = materialise(marked, "contexts")
+        release(spark)
+        places = F.explode(F.concat(F.array("lo"), "more")).alias("s")
+        spans.append(marked.filter("n > 1").select("_k", places, (F.col("hi") - F.col("lo") + length).alias("_n")).select("_k", "s", (F.col("s") + F.col("_n")).alias("e")))
+        wanted = marked.filter("contexts > 1 and rn = 1").select(F.col("_k").alias("_k2"), F.col("base").alias("_b2"), F.struct("anchor", "lo", "hi", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("contexts") > hot).alias("hot")).alias("_w"))
+        lists = wanted.groupBy("_k2", "_b2").agg(F.collect_list("_w").alias("_wanted"))
         # equal rows have equal texts and n > 1: a piece that comes twice changes nothing
-        joined = rows.join(maybe_broadcast(lists, 400), F.col("_k") == F.col("_k2")).drop("_k2")
-        return joined.mapInPandas(_slice(length), "anchor long, _k long, lo int, n int, data binary")
-
-    cool = pieces(wanted.filter(F.col("contexts") <= hot)).repartition("anchor").sortWithinPartitions("anchor")
-    swept = cool.mapInPandas(_sweep(length, batch_bytes), "_k long, s int, e int")
-    spans = whole.unionByName(swept)
-    if not wanted.filter(F.col("contexts") > hot).isEmpty():
-        windows = materialise(pieces(wanted.filter(F.col("contexts") > hot)).mapInPandas(_window_hashes(length), "h binary, _k long, s int"), "windows")
-        again = windows.groupBy("h").count().filter(F.col("count") > 1).select("h")
-        spans = spans.unionByName(windows.join(again, "h").select("_k", "s", (F.col("s") + length).alias("e")))
-    return spans.groupBy("_k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        joined = strings.join(lists, (F.col("_k") == F.col("_k2")) & (F.col("base") == F.col("_b2"))).select("_k", "base", "data", "_wanted")
+        pieces = materialise(joined.mapInPandas(_slice(length), "anchor long, _k long, lo int, n int, hot boolean, data binary"), "pieces")
+        release(spark)
+        cool = pieces.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+        spans.append(materialise(cool.mapInPandas(_sweep(length, batch_bytes), "_k long, s int, e int"), "swept"))
+        release(spark)
+        left = pieces.filter("hot")
+        if left.isEmpty():
+            break
+        if level != levels[-1]:
+            # what shares a short anchor only is told apart by a long one
+            strings = left.select("_k", F.col("lo").alias("base"), F.col("n").cast("long").alias("w"), "data")
+        else:
+            windows = materialise(left.drop("hot", "anchor").mapInPandas(_window_hashes(length), "h binary, _k long, s int, w long"), "windows")
+            repeated = windows.groupBy("h").agg(F.sum("w").alias("n")).filter("n > 1").select("h")
+            spans.append(windows.join(repeated, "h").select("_k", "s", (F.col("s") + length).alias("e")))
+    return merge_span_rows(reduce(DataFrame.unionByName, spans))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, **limits: int) -> DataFrame:
@@ -229,14 +258,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_k2", "_c", "spans")
     spans = materialise(repeated_spans(docs, text, key, length, **limits), "spans").withColumnRenamed("_k", "_k2")
-    joined = docs.join(maybe_broadcast(spans, 200), F.xxhash64(key, text) == F.col("_k2"), "left")
+    release(docs.sparkSession)
+    joined = docs.join(spans, F.xxhash64(key, text) == F.col("_k2"), "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for t, s in zip(texts, spans, strict=True):
             data = (t or "").encode()
-            runs = merge_spans([(x["s"], x["e"]) for x in s]) if s is not None else []
+            runs = [(x["s"], x["e"]) for x in s] if s is not None else []
             at, kept = 0, []
             for a, b in runs:
                 kept.append(data[at:a])
