@@ -128,6 +128,31 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+ORACLES["op3_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i + 1 : i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+isl AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM rep),
+grp AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM isl),
+span AS (SELECT doc_id, g, min(i) AS s, max(i) + 400 AS e FROM grp GROUP BY 1, 2),
+gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM span),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last, string_agg(hex(b[before + 1 : s]), '' ORDER BY s) AS head FROM gap JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1 : octet_length(b)]))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 20], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM again) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(c), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN c IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(c, j - 1)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 ORACLES["op6_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS head FROM p)
