@@ -5,13 +5,14 @@ Markup is parsed with the standard library inside vectorised functions; a docume
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -20,7 +21,7 @@ from driftline.functions import dates as D
 #: Elements without text for readers, elements that end a line, least body, longest section.
 SILENT = frozenset("script style nav noscript template svg head footer aside form button".split())
 BLOCKS = frozenset("p div li ul ol tr table section article header h1 h2 h3 h4 h5 h6 br pre blockquote main".split())
-MIN_BODY, MAX_SECTION = 16, 20_000
+MIN_BODY, MAX_SECTION, MARK_CHARS = 16, 20_000, 80
 ITEM = "url string, title string, raw_text string, published string, anchor string, date_text string"
 
 
@@ -97,8 +98,64 @@ def html_to_text(html: pd.Series) -> pd.DataFrame:
 _DATE = re.compile(r"\d{4}-\d{2}(?:-\d{2})?|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:\d{1,2},?\s+)?\d{4}|\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}", re.I)
 
 
+def _marked(text: str) -> list[tuple[str, str, str, str]]:
+    """Sections under lines that state a date and little else: the line below is the title, all up to the next mark the body."""
+    lines = text.split("\n")
+    marks = [(i, m.group()) for i, x in enumerate(lines) if len(x) <= MARK_CHARS and (m := _DATE.search(x)) and len(re.sub(r"\W", "", x.replace(m.group(), ""))) <= 12]
+    found = []
+    for (i, date), end in zip(marks, [*[m[0] for m in marks[1:]], len(lines)][: len(marks)], strict=True):
+        body = "\n".join(lines[i + 1 : end])[:MAX_SECTION]
+        if len(body) >= MIN_BODY:
+            found.append((lines[i + 1], body, "", date))
+    return found
+
+
+def json_index(html: str | None) -> list[tuple[str, str, str, str]]:
+    """Entries of an index embedded as JSON: flat objects of 8 to 2000 characters with a link and a date, each (date, label) once."""
+    found: dict[tuple[str, str], tuple[str, str, str, str]] = {}
+    for m in re.finditer(r"\{[^{}]{8,2000}\}", html or ""):
+        try:
+            entry = json.loads(m.group())
+        except ValueError:
+            continue
+        texts = {k: v for k, v in entry.items() if isinstance(v, str)}
+        link = next((v for k, v in texts.items() if re.search(r"url|link|href|slug|path", k, re.I)), None)
+        date = next((d.group() for k, v in texts.items() if re.search(r"date|published|time|updated", k, re.I) and (d := _DATE.search(v))), None)
+        label = next((v for k, v in texts.items() if re.search(r"title|name|label|headline", k, re.I)), None)
+        if link and date and label:
+            found.setdefault((date, label), (label, " | ".join(texts.values())[:MAX_SECTION], link, date))
+    return list(found.values())
+
+
+def channel_posts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Posts of channel preview pages, once each by id; posts without text are left out, all need corroboration."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        post = re.compile(r'data-post="([^"/]+)/(\d+)"(.*?)(?=data-post="|\Z)', re.S)
+        for b in batches:
+            rows = []
+            for h in b["h"]:
+                for channel, number, body in post.findall(h or ""):
+                    at = re.search(r'<time[^>]+datetime="([^"]+)"', body)
+                    inner = re.search(r'<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>', body, re.S)
+                    text = _tidy(read_html(inner[1]).text) if inner else ""
+                    if text:
+                        rows.append((channel, int(number), text, at[1] if at else None))
+            yield pd.DataFrame(rows, columns=["channel", "message_id", "text", "published"]).astype({"message_id": "int64"})
+
+    posts = pages.select(F.col(html).alias("h")).mapInPandas(parse, "channel string, message_id long, text string, published string")
+    first = posts.groupBy("channel", "message_id").agg(F.min(F.struct("published", "text")).alias("p"))
+    return first.select("channel", "message_id", "p.text", F.try_to_timestamp("p.published").alias("published"), F.lit(True).alias("requires_corroboration"))
+
+
+def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A journal of JSON lines; lines that cannot be read are skipped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def sections(html: str | None, hint: str | None = None) -> list[tuple[str, str, str, str]]:
-    """(title, text, anchor, date text) of dated sections: headings with dates, else dated table rows, else dated sentences."""
+    """(title, text, anchor, date text) of dated sections: headings with dates, else dated table rows, else the fuller of
+    date marks and an embedded index, else dated sentences. A hint names the one way to use."""
     r = read_html(html)
     found: list[tuple[str, str, str, str]] = []
     if hint in (None, "headings"):
@@ -120,6 +177,10 @@ def sections(html: str | None, hint: str | None = None) -> list[tuple[str, str,
             date = next((m for i in ranked if (m := _DATE.search(row[i][1]))), None)
             if date:
                 found.append((row[0][1], " | ".join(t for _, t in row)[:MAX_SECTION], "", date.group()))
+    if not found and hint in (None, "marks", "json"):
+        by_mark = _marked(_tidy(r.text)) if hint != "json" else []
+        by_index = json_index(html) if hint != "marks" else []
+        found = max(by_mark, by_index, key=len)
     if not found and hint in (None, "sentences"):
         for s in re.split(r"(?<=[.!?])\s+|\n+", _tidy(r.text)):
             if (date := _DATE.search(s)) and len(s) >= MIN_BODY:
