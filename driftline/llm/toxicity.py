@@ -103,10 +103,9 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
             seen[int(toxic)].update({t for w in set(fold(text).split()) for t in _terms(w)})
-        keys = list(seen[1])
-        yield pd.DataFrame({"term": keys, "t": [seen[1][k] for k in keys], "c": [seen[0][k] for k in keys]})
-        rest = [k for k in seen[0] if k not in seen[1]]
-        yield pd.DataFrame({"term": rest, "t": 0, "c": [seen[0][k] for k in rest]})
+        rows = [(k, seen[1][k], seen[0][k]) for k in {**seen[0], **seen[1]}]
+        # rows with named columns: a frame of empty lists would have numbers for terms
+        yield pd.DataFrame(rows, columns=["term", "t", "c"]).astype({"t": "int64", "c": "int64"})
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
