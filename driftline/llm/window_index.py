@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, maybe_broadcast, shared_dir
-from driftline.llm.winnow import Grams, anchors, merge_spans
+from driftline.llm.common import discard, materialise, merge_span_rows, release, shared_dir
+from driftline.llm.winnow import Grams, anchors
 
 WORDS = 20
 #: Words of an anchor; shared phrases shorter than this never bring contexts together.
@@ -51,9 +51,19 @@ def _contexts(length: int, gram: int):
                 at, lo, hi = anchors(h, length - gram + 1)
                 data = v.tobytes()
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[8 * i : 8 * (j + length)]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-                parts.append((_signed(h[at]), _signed(ctx), np.full(len(at), doc, np.int64), np.full(len(at), key, np.int64), lo, hi))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 6
-            yield pd.DataFrame(dict(zip(("anchor", "ctx", "_d", "_k", "lo", "hi"), columns, strict=True))).astype({"lo": "int32", "hi": "int32"})
+                anchor, ctx, last = _signed(h[at]), _signed(ctx), hi.copy()
+                # a context that a document holds again is one row with all later places, which are repeats by themselves
+                first: dict[tuple[int, int], int] = {}
+                more: dict[int, list[int]] = {}
+                for n, k in enumerate(zip(anchor.tolist(), ctx.tolist(), strict=True)):
+                    if (m := first.setdefault(k, n)) != n:
+                        more.setdefault(m, []).append(int(lo[n]))
+                own = np.fromiter(first.values(), np.int64, len(first))
+                later = np.empty(len(own), object)
+                later[:] = [more.get(n, []) for n in own.tolist()]
+                parts.append((anchor[own], ctx[own], np.full(len(own), doc, np.int64), np.full(len(own), key, np.int64), lo[own], last[own], later))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [*[np.empty(0, np.int64)] * 6, np.empty(0, object)]
+            yield pd.DataFrame(dict(zip(("anchor", "ctx", "_d", "_k", "lo", "hi", "more"), columns, strict=True))).astype({"lo": "int32", "hi": "int32"})
 
     return run
 
@@ -99,13 +109,13 @@ class FingerprintIndex:
 
 
 def add_batch(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame, length: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """Put a batch (``_d, _k, _text``) into the index and return ``_k, s, e``: spans of words that windows seen earlier cover.
+    """Put a batch (``_d, _k, _text``) into the index and return ``_k, spans``: runs of words that windows seen earlier cover.
 
     ``corpus`` has the same columns and holds at least the batch and all documents of earlier batches.
     """
-    new = batch.filter(F.col("_text").isNotNull()).mapInPandas(_contexts(length, gram), RUN).withColumn("age", F.lit(1))
+    new = batch.filter(F.col("_text").isNotNull()).mapInPandas(_contexts(length, gram), RUN + ", more array<int>").withColumn("age", F.lit(1))
     old = index.read()
-    both = new if old is None else new.unionByName(old.withColumn("age", F.lit(0)))
+    both = new if old is None else new.unionByName(old.withColumn("age", F.lit(0)), allowMissingColumns=True)
     # rank: rows that share document and position are not earlier than each other
     marked = (
         both.repartition("anchor")
@@ -118,15 +128,20 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame, leng
     path = index.new_run()
     # rows of older runs come along only to be compared; the run proper is what this batch brought first
     marked.withColumn("kept_first", F.col("first")).withColumn("first", F.expr("first and age = 1")).write.parquet(path)
-    stored = index.spark.read.schema(RUN + ", age int, first boolean, mixed boolean, kept_first boolean").parquet(path)
-    whole = stored.filter("age = 1 and not kept_first").select("_k", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    lists = stored.filter("kept_first and mixed").groupBy(F.col("_k").alias("_k2")).agg(F.collect_set(F.struct("lo", "hi", "age")).alias("_wanted"))
-    windows = corpus.join(maybe_broadcast(lists, 400), F.col("_k") == F.col("_k2")).mapInPandas(_windows(length), "h binary, _d long, _k long, s int, age int")
+    stored = index.spark.read.schema(RUN + ", more array<int>, age int, first boolean, mixed boolean, kept_first boolean").parquet(path)
+    places = F.when(F.col("kept_first"), F.col("more")).otherwise(F.concat(F.array("lo"), "more"))
+    whole = stored.filter("age = 1 and (not kept_first or size(more) > 0)").select("_k", F.explode(places).alias("s"), (F.col("hi") - F.col("lo") + length).alias("_n")).select("_k", "s", (F.col("s") + F.col("_n")).alias("e"))
+    lists = materialise(stored.filter("kept_first and mixed").groupBy(F.col("_k").alias("_k2")).agg(F.collect_set(F.struct("lo", "hi", "age")).alias("_wanted")), "wanted")
+    release(index.spark)
+    windows = corpus.join(lists, F.col("_k") == F.col("_k2")).mapInPandas(_windows(length), "h binary, _d long, _k long, s int, age int")
     windows = materialise(windows, "windows")
-    first = windows.groupBy("h").agg(F.min(F.struct("age", "_d", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, "h").filter(F.struct("age", "_d", "s") > F.col("first")).filter("age = 1").select("_k", "s", (F.col("s") + length).alias("e"))
+    release(index.spark)
+    earliest = F.min(F.struct("age", "_d", "s")).over(Window.partitionBy("h"))
+    later = windows.withColumn("first", earliest).filter(F.struct("age", "_d", "s") > F.col("first")).filter("age = 1").select("_k", "s", (F.col("s") + length).alias("e"))
+    spans = materialise(merge_span_rows(whole.unionByName(later)), "spans")
+    discard(lists, windows)
     index.compact()
-    return whole.unionByName(later)
+    return spans
 
 
 def remove_repeated_words(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = WORDS, gram: int = GRAM, batches: int = 2) -> DataFrame:
@@ -146,9 +161,11 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", key: str = "doc_i
         batch = rows if low is None else rows.filter(F.col("_d") > low)
         batch = batch if high is None else batch.filter(F.col("_d") <= high)
         found = add_batch(index, batch, rows if high is None else rows.filter(F.col("_d") <= high), length, gram)
+        # a document is in one batch, so its runs come from one
         spans = found if spans is None else spans.unionByName(found)
-    per_row = materialise(spans.groupBy(F.col("_k").alias("_k2")).agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
-    joined = docs.join(maybe_broadcast(per_row, 200), F.xxhash64(key, text) == F.col("_k2"), "left")
+        release(docs.sparkSession)
+    per_row = spans.withColumnRenamed("_k", "_k2")
+    joined = docs.join(per_row, F.xxhash64(key, text) == F.col("_k2"), "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -156,7 +173,7 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", key: str = "doc_i
         for t, s in zip(texts, spans, strict=True):
             w = (t or "").encode().split()
             at, kept = 0, []
-            for a, b in merge_spans([(x["s"], x["e"]) for x in s]) if s is not None else []:
+            for a, b in [(x["s"], x["e"]) for x in s] if s is not None else []:
                 kept += w[at:a]
                 at = b
             kept += w[at:]

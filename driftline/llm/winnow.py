@@ -62,15 +62,3 @@ def anchors(grams: np.ndarray, per_window: int) -> tuple[np.ndarray, np.ndarray,
     at = (m & _POSITION).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], first, np.r_[first[1:], n] - 1
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of half-open spans; those that touch become one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            if e > out[-1][1]:
-                out[-1] = (out[-1][0], e)
-        else:
-            out.append((s, e))
-    return out
