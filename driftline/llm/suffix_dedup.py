@@ -69,7 +69,9 @@ def _contexts(length: int, gram: int):
                 columns = ([key] * len(lo), [start] * len(lo), anchor, ctx, [start + x for x in lo], [start + x for x in hi], [[start + y for y in x] for x in more], [w] * len(lo))
                 for column, values in zip(out, columns, strict=True):
                     column.extend(values)
-            yield pd.DataFrame(dict(zip(("_k", "base", "anchor", "ctx", "lo", "hi", "more", "w"), out, strict=True))).astype({"_k": "int64", "base": "int32", "anchor": "int64", "ctx": "int64", "lo": "int32", "hi": "int32", "w": "int64"})
+            out[6][:] = [np.array(x, np.int32) for x in out[6]]
+            frame = pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in zip(("_k", "base", "anchor", "ctx", "lo", "hi", "more", "w"), out, strict=True)})
+            yield frame.astype({"_k": "int64", "base": "int32", "anchor": "int64", "ctx": "int64", "lo": "int32", "hi": "int32", "w": "int64"})
 
     return run
 
