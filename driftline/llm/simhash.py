@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, maybe_broadcast
+from driftline.llm.common import materialise
 from driftline.llm.winnow import mix64
 
 RADIUS = 3
@@ -350,8 +350,8 @@ def similar_classes(docs: DataFrame, text: str = "text", n: int = 5, similarity:
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """Input rows without near copies: of each group the row with the smallest key stays (null keys last, then by text hash).
 
-    Equal texts are one class before anything else, so groups of copies cost one fingerprint; null and empty texts are a
-    class each. Rows equal in key and text are copies, too: one stays. Columns are those of the input.
+    Equal texts are one class before anything else, so groups of copies cost one fingerprint; null and empty texts
+    are copies of each other. Rows equal in key and text are copies, too: one stays. Columns are those of the input.
     """
     docs = docs.drop("_t", "_root", "_t2", "_key2")
     tagged = docs.withColumn("_t", F.xxhash64(F.col(text)))
@@ -360,6 +360,6 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n
     groups = similar_classes(docs, text, n, similarity)
     lows = classes.join(groups, classes["_t"] == groups["t"], "left").groupBy(F.coalesce("root", "_t").alias("root")).agg(F.min("low").alias("low"))
     stay = materialise(lows.select(F.col("low.t").alias("_t2"), F.col("low.key").alias("_key2")), "stay")
-    kept = tagged.join(maybe_broadcast(stay, 32), (F.col("_t") == F.col("_t2")) & F.col(key).eqNullSafe(F.col("_key2")), "left_semi")
+    kept = tagged.join(stay, (F.col("_t") == F.col("_t2")) & F.col(key).eqNullSafe(F.col("_key2")), "left_semi")
     again = tagged.groupBy("_t", key).count().filter("count > 1")
     return (kept if again.isEmpty() else kept.dropDuplicates(["_t", key])).drop("_t")
