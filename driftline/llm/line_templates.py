@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import pandas as pd
 import xxhash
@@ -22,8 +21,6 @@ FIELD = "<*>"
 LEADING = 2
 SIMILARITY = 0.8
 MIN_DOCS = 5
-#: Of the documents with a template, the share that must differ from each other; below, they are copies of few.
-MIN_VARIED = 0.3
 _DIGIT = re.compile(r"\d")
 
 
@@ -41,16 +38,15 @@ def leaf_of(t: list[str], leading: int = LEADING) -> int:
 
 
 def _emit_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Key, line number, leaf, signature and the document's sketch (least CRC of its long words, equal in near copies)."""
+    """Key, hash of the whole text, line number, leaf, signature and number of tokens."""
     for b in batches:
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for key, text in zip(b["_k"], b["_text"], strict=True):
-            sketch = min((crc32(w.encode()) for w in set(text.split()) if len(w) >= 6), default=0)
+        out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
+        for key, whole, text in zip(b["_k"], b["_d"], b["_text"], strict=True):
             for i, line in enumerate(text.split("\n")):
                 if t := tokens(line):
-                    for column, value in zip(out, (key, i, leaf_of(t), _digest(t), sketch), strict=True):
+                    for column, value in zip(out, (key, whole, i, leaf_of(t), _digest(t), len(t)), strict=True):
                         column.append(value)
-        yield pd.DataFrame(dict(zip(("_k", "line", "leaf", "sig", "sketch"), out, strict=True))).astype("int64")
+        yield pd.DataFrame(dict(zip(("_k", "_d", "line", "leaf", "sig", "size"), out, strict=True))).astype("int64")
 
 
 def _emit_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,12 +93,31 @@ def _cluster(similarity: float):
     return run
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, min_varied: float = MIN_VARIED) -> DataFrame:
+def _varied(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """``template, content``: for each text that holds a template, what the text is without the template's lines.
+
+    A text of which half the other tokens or more stand in lines that no other text has is a content of its own. Else it
+    is a near copy of others, whose content is the least other template that they share. Equal texts count as one; as
+    their tokens are summed alike, shares stay the same.
+    """
+    total = lines.groupBy("_d").agg(F.sum("size").alias("total"))
+    held = named.groupBy("_d", "template").agg(F.sum("size").alias("size"))
+    shared = held.groupBy("template").count().filter("count > 1").select("template")
+    held = materialise(held.join(shared, "template"), "held")
+    common = held.groupBy("_d").agg(F.sum("size").alias("common"), F.min("template").alias("low"))
+    second = held.join(common.select("_d", "low"), "_d").filter("template != low").groupBy("_d").agg(F.min("template").alias("second"))
+    texts = materialise(common.join(total, "_d").join(second, "_d", "left"), "texts")
+    own, other = F.col("total") - F.col("common"), F.col("total") - F.col("size")
+    near = F.coalesce(F.when(F.col("template") == F.col("low"), F.col("second")).otherwise(F.col("low")), F.lit(0))
+    return held.join(texts, "_d").select("template", F.when((own > 0) & (2 * own >= other), F.col("_d")).otherwise(near).alias("content"))
+
+
+def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``_k, line, template``: lines (by number, from 0) whose template recurs; ``_k`` is the xxhash64 of key and text."""
-    rows = docs.select(F.xxhash64(key, text).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lines = materialise(rows.mapInPandas(_emit_lines, "_k long, line long, leaf long, sig long, sketch long"), "lines")
-    # a template's documents are among its leaf's: leaves with few lines are done
-    leaves = lines.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    rows = docs.select(F.xxhash64(key, text).alias("_k"), F.xxhash64(text).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    lines = materialise(rows.mapInPandas(_emit_lines, "_k long, _d long, line long, leaf long, sig long, size long"), "lines")
+    # a template's documents are among its leaf's: a line alone in its leaf is shared with no other document
+    leaves = lines.groupBy("leaf").count().filter("count > 1").select("leaf")
     busy = materialise(lines.join(leaves, "leaf"), "busy")
     sigs = busy.groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.min(F.struct("_k", "line")).alias("rep"))
     mixed = sigs.groupBy("leaf").agg(F.count("*").alias("_sigs")).filter("_sigs > 1").select("leaf")
@@ -111,17 +126,17 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     wanted = rows.join(reps, "_k").mapInPandas(_emit_tokens, "leaf long, sig long, n long, tokens string")
     placed = wanted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens", "sig").mapInPandas(_cluster(similarity), "leaf long, sig long, template long").distinct()
     named = busy.join(placed, ["leaf", "sig"], "left").withColumn("template", F.coalesce("template", "sig"))
-    counts = named.groupBy("leaf", "template").agg(F.count_distinct("_k").alias("docs"), F.count_distinct("sketch").alias("varied"))
-    again = counts.filter((F.col("varied") >= min_docs) & (F.col("varied") >= min_varied * F.col("docs"))).select("leaf", "template")
-    return named.join(again, ["leaf", "template"]).select("_k", "line", "template")
+    named = materialise(named.select("_k", "_d", "line", "size", F.xxhash64("leaf", "template").alias("template")), "named")
+    again = _varied(lines, named).groupBy("template").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") >= min_docs).select("template")
+    return named.join(again, "template").select("_k", "line", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: float) -> DataFrame:
     """Input columns with ``text`` freed of recurring lines, plus ``n_lines`` and ``n_dropped``, which replace columns of those names.
 
-    A template recurs if at least ``min_docs`` documents that differ from each other hold it and these are at least
-    ``min_varied`` of all documents with it: lines that only copies of one document share are left to
-    deduplication of documents. Lines without tokens are never dropped. Null texts stay null with 0 lines, an
+    A template recurs if at least ``min_docs`` documents that differ from each other hold it, however many hold it in all.
+    Copies, and near copies by what they hold besides the template, count as one document: lines that only these share
+    are left to deduplication of documents. Lines without tokens are never dropped. Null texts stay null with 0 lines, an
     empty text has one line; rows are neither dropped nor merged, and repeated rows lose the same lines.
     """
     docs = docs.drop("n_lines", "n_dropped", "_k", "_gone", "_k2")

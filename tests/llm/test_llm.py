@@ -215,6 +215,32 @@ def test_line_templates(spark):
     assert got[200].text is None and got[200].n_lines == 0 and got[201].text == "" and got[202].n_dropped == 0
 
 
+def test_wide_line_templates_recur(spark):
+    """A line in many documents of a small vocabulary or of short words recurs; a line of near copies alone does not."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+    some = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    notice = ["This boilerplate sentence stands below everything", "and so does another sentence beside it"]
+    rows = [(i, "\n".join([some(9, vocabulary), some(11, vocabulary), *notice, some(8, vocabulary)])) for i in range(400)]
+    short = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(40)]
+    rows += [(1000 + i, f"{some(12, short)}\nsee the end of it all\n{some(9, short)}") for i in range(30)]
+    copy = [some(14, vocabulary).split() for _ in range(8)]
+    for i in range(60):
+        edited = [list(line) for line in copy]
+        for _ in range(3):
+            edited[rng.randrange(8)][rng.randrange(2, 14)] = f"new{''.join(rng.choice('abcdefghij') for _ in range(5))}"
+        rows.append((2000 + i, "\n".join(" ".join(line) for line in edited)))
+    # five documents of six near copies each have a line in common
+    for g in range(5):
+        base = [some(10, vocabulary) for _ in range(6)]
+        rows += [(3000 + 10 * g + i, "\n".join([*base, f"edit {some(4, vocabulary)}", "what five kinds of documents share"])) for i in range(6)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not any(line in got[i].text for line in notice) and got[i].n_dropped == 2 for i in range(400))
+    assert all("see the end" not in got[1000 + i].text and got[1000 + i].n_dropped == 1 for i in range(30))
+    assert all(got[2000 + i].n_dropped == 0 for i in range(60))
+    assert all("what five" not in got[3000 + 10 * g + i].text and got[3000 + 10 * g + i].n_dropped == 1 for g in range(5) for i in range(6))
+
+
 def test_leaf_merges_variable_fields():
     leaf = line_templates.Leaf(0.8)
     a = leaf.place("user bob has logged in from the main door today".split(), 1)
