@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -220,7 +220,7 @@ WIDE_WORDS = 8
 TABLES = 20
 #: Exact bits beside the 23 fuzzy ones of a table's key.
 EXACT_BITS = 8
-#: In a bucket up to this size all pairs are compared; in a larger one, a breadth-first tree over the same links.
+#: Groups of a bucket up to this size give all their pairs at once; of larger ones, pairs that a star has not linked follow.
 PAIRED = 64
 #: Texts with at most this many different shingles carry them all, and two such texts are compared exactly.
 FEW = 100
@@ -260,24 +260,44 @@ def _wide_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _candidates(near: int):
-    """Sorted (key, t, w0) rows to pairs of classes whose first words differ in ``near`` bits at most."""
+    """Sorted (key, t, w0) rows to pairs ``a, b`` of classes whose first words differ in ``near`` bits at most.
 
-    def pairs(t: np.ndarray, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(t) <= PAIRED:
-            a, b = np.triu_indices(len(t), 1)
-            ok = np.bitwise_count(w[a] ^ w[b]) <= near
-            return [(t[a[ok]], t[b[ok]])]
-        out, rest = [], np.arange(len(t))
+    Groups that such pairs connect give all of them if they have at most PAIRED members. A larger group gives those of
+    one member that is near the others, and itself as rows ``a`` (group), ``b`` (member) with ``large`` set.
+    """
+
+    def groups(w: np.ndarray) -> Iterator[np.ndarray]:
+        rest = np.arange(len(w))
         while len(rest) > 1:
             front, rest = [rest[0]], rest[1:]
+            group = [np.array(front)]
             while front and len(rest):
-                at = front.pop()
-                hit = np.bitwise_count(w[rest] ^ w[at]) <= near
+                hit = np.bitwise_count(w[rest] ^ w[front.pop()]) <= near
                 if hit.any():
-                    out.append((np.full(int(hit.sum()), t[at]), t[rest[hit]]))
+                    group.append(rest[hit])
                     front.extend(rest[hit])
                     rest = rest[~hit]
-        return out
+            if len(group) > 1:
+                yield np.concatenate(group)
+
+    def pairs(t: np.ndarray, w: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
+        if len(t) <= PAIRED:
+            a, b = np.triu_indices(len(t), 1)
+            ok = np.bitwise_count(w[a] ^ w[b]) <= near
+            return [(t[a[ok]], t[b[ok]])], []
+        out, large = [], []
+        for at in groups(w):
+            if len(at) <= PAIRED:
+                out += pairs(t[at], w[at])[0]
+                continue
+            some = w[at[:: len(at) // PAIRED]]
+            far = sum(np.bitwise_count(w[at] ^ x).astype(np.int64) for x in some)
+            centre = at[np.argmin(far)]
+            ok = (np.bitwise_count(w[at] ^ w[centre]) <= near) & (at != centre)
+            out.append((np.full(int(ok.sum()), t[centre]), t[at[ok]]))
+            name = np.uint64(xxhash.xxh3_64_intdigest(np.sort(t[at]).tobytes())).astype(np.int64)
+            large.append((np.full(len(at), name), t[at]))
+        return out, large
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, t, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -287,12 +307,15 @@ def _candidates(near: int):
             size = np.diff(np.r_[begin, len(key)])
             two = begin[size == 2]
             ok = np.bitwise_count(w[two] ^ w[two + 1]) <= near
-            found = [(t[two[ok]], t[two[ok] + 1])]
+            found, large = [(t[two[ok]], t[two[ok] + 1])], [(t[:0], t[:0])]
             for i, n in zip(begin[size > 2], size[size > 2], strict=True):
-                found += pairs(t[i : i + n], w[i : i + n])
-            both = np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1)
+                more = pairs(t[i : i + n], w[i : i + n])
+                found += more[0]
+                large += more[1]
+            both, whole = (np.stack([np.concatenate([f[k] for f in x]) for k in (0, 1)], axis=1) for x in (found, large))
             both = np.unique(np.sort(both, axis=1), axis=0)
-            return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            rows = np.concatenate([both, whole])
+            return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "large": np.arange(len(rows)) >= len(both)})
 
         for batch in batches:
             if not len(batch):
@@ -310,6 +333,34 @@ def _candidates(near: int):
     return run
 
 
+def _across(near: int):
+    """Sorted (g, t, w0, root) rows to the pairs of a group whose first words differ in ``near`` bits at most and whose roots differ."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                rest = b if rest is None else pd.concat([rest, b])
+            if rest is None or not len(rest):
+                continue
+            g = rest["g"].to_numpy(np.int64)
+            done = len(g) if b is None else int(np.searchsorted(g, g[-1]))
+            part, rest = rest.iloc[:done], rest.iloc[done:]
+            for _, group in part.groupby("g", sort=False):
+                t, w, root = (group[c].to_numpy(np.int64) for c in ("t", "w0", "root"))
+                w, found, n = w.view(np.uint64), [], 0
+                for i in range(len(t) - 1):
+                    ok = (root[i + 1 :] != root[i]) & (np.bitwise_count(w[i + 1 :] ^ w[i]) <= near)
+                    if ok.any():
+                        found.append((np.full(int(ok.sum()), t[i]), t[i + 1 :][ok]))
+                        n += len(found[-1][0])
+                    if found and (n > 1 << 18 or i == len(t) - 2):
+                        yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+                        found, n = [], 0
+
+    return run
+
+
 def similar_classes(docs: DataFrame, text: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``t, root`` for texts (by xxhash64 ``t``) that are near copies of others: similar shingle sets, at any distance in a chain.
 
@@ -336,14 +387,26 @@ def similar_classes(docs: DataFrame, text: str = "text", n: int = 5, similarity:
     fps = docs.select(F.xxhash64(F.col(text)).alias("t"), wide(F.col(text)).alias("w")).select("t", "w.*")
     fps = materialise(materialise(fps, "wide").dropDuplicates(["t"]), "classes")
     keyed = fps.mapInPandas(_wide_keys, "key long, t long, w0 long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_candidates(near), "a long, b long").distinct()
+    found = materialise(keyed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_candidates(near), "a long, b long, large boolean").distinct(), "found")
     left, right = (fps.select(F.col("t").alias(side), *[F.col(w).alias(f"{side}{w}") for w in [*names, "n", "few"]]) for side in ("a", "b"))
     differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
     shared = F.size(F.array_intersect("afew", "bfew"))
     exact = shared >= similarity * (F.col("an") + F.col("bn") - shared) - 1e-9
     alike = F.when(F.col("afew").isNotNull() & F.col("bfew").isNotNull(), exact).otherwise(differ <= cut)
     sizes = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
-    edges = pairs.join(left, "a").join(right, "b").filter(sizes & alike).select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").filter(sizes & alike).select("a", "b")
+
+    roots = materialise(components(verified(found.filter("not large").select("a", "b"))).select(F.col("node").alias("t"), "root"), "roots")
+    large = found.filter("large").select(F.col("a").alias("g"), F.col("b").alias("t"))
+    if large.isEmpty():
+        return roots
+    # the other pairs of large groups; within a component they would add nothing
+    large = large.join(fps.select("t", "w0"), "t").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    others = large.repartition("g").sortWithinPartitions("g", "t").mapInPandas(_across(near), "a long, b long")
+    others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = roots.select(F.col("t").alias("a"), F.col("root").alias("b")).unionByName(verified(others))
     return components(edges).select(F.col("node").alias("t"), "root")
 
 

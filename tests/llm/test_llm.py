@@ -374,6 +374,24 @@ def test_keep_one_of_each(spark, docs):
     assert simhash.keep_one_of_each(docs).columns == docs.columns
 
 
+def test_large_group_of_near_copies(spark):
+    """Every copy is similar to the original alone; in a large bucket, a star around another copy does not connect them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    original = [word() for _ in range(100)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 150):
+        copy = list(original)
+        for at in rng.sample(range(10, 90), 2):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    sets = [set(simhash.shingles(text, 5)) for _, text in rows]
+    want = components_of(range(len(rows)), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = {r.doc_id for r in kept.collect()}
+    assert set(want.values()) <= ids and len(ids) <= len(set(want.values())) + 7  # at similarity 0.81 the tables miss one in twenty
+
+
 def test_decontamination(spark):
     item = "A train leaves at 9 km per hour. Then Alice pays 12 dollars to Bob while Alice keeps 12 apples for the long way home today."
     same = item.upper()
