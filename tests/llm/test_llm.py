@@ -391,6 +391,20 @@ def test_large_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_all_pairs_of_a_large_bucket_can_be_verified():
+    import pandas as pd
+
+    n = 3 * simhash.PAIRED
+    t, w = np.arange(n), np.zeros(n, np.int64)
+    found = pd.concat(simhash._candidates(18)(iter([pd.DataFrame({"key": 1, "t": t, "w0": w})])))
+    large = found[found["large"]]
+    assert sorted(large["b"]) == t.tolist() and large["a"].nunique() == 1
+    for roots, pairs in ((t, n * (n - 1) // 2), (t % 2, n * n // 4), (0 * t, 0)):
+        group = pd.DataFrame({"g": large["a"].to_numpy(), "t": t, "w0": w, "root": roots})
+        got = [p for b in simhash._across(18)(iter([group.iloc[:50], group.iloc[50:]])) for p in zip(b["a"], b["b"], strict=True)]
+        assert len(got) == len(set(got)) == pairs
+
+
 def test_long_near_copies_are_compared_exactly(spark):
     """Pairs of long texts on both sides of similarity 0.8, against their shingle sets."""
     rng = random.Random(9)
