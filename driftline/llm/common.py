@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import gc
-import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A relation at most this large (rows times row bytes) may be broadcast; larger ones are merge-joined.
-BROADCAST_BYTES = 16 << 20
-
-
 #: Rows and bytes of an Arrow batch at most, as texts may be long and workers share an executor's memory with its heap.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
@@ -60,9 +56,28 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tree(uri: str) -> None:
-    """Remove a folder made by the tests."""
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
+#: Bits of a hash filter, as a power of two: 2 MB, whatever it is made of.
+FILTER_BITS = 24
+
+
+def hash_filter(df: DataFrame, column: str) -> np.ndarray:
+    """Bitmap of the top FILTER_BITS bits of a column of 64-bit hashes, for ``passes``.
+
+    It is collected as at most 2 ** (FILTER_BITS - 6) rows. Made of many more hashes than bits, it lets more through;
+    what passes is joined afterwards, so that changes no result.
+    """
+    word = F.shiftrightunsigned(column, 70 - FILTER_BITS)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - FILTER_BITS}) & 63 as int))")
+    rows = df.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).filter("word is not null").collect()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (64 bits, of either sign) a filter lets through: all that it was made of, and some others."""
+    at = hashes.view(np.uint64) >> np.uint64(59 - len(bits).bit_length())
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def words(text: Column) -> Column:
@@ -70,13 +85,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, element_bytes: int = 0, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if ``df``, counted with the elements of ``array``, proves small; else a merge join stays."""
-    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
-    rows, n = df.agg(F.count("*"), elements).first()
-    return F.broadcast(df) if rows * row_bytes + n * element_bytes <= limit else df
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished queries now, not when the driver next happens to collect garbage."""
     gc.collect()

@@ -10,12 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise
+from driftline.llm.common import hash_filter, materialise, passes
 
 FIELD = "<*>"
 LEADING = 2
@@ -49,13 +50,18 @@ def _emit_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(dict(zip(("_k", "_d", "line", "leaf", "sig", "size"), out, strict=True))).astype("int64")
 
 
-def _emit_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for text, wanted in zip(b["_text"], b["_wanted"], strict=True):
-            lines = text.split("\n")
-            rows += [(r["leaf"], r["sig"], r["n"], " ".join(tokens(lines[r["line"]]))) for r in wanted]
-        yield pd.DataFrame(rows, columns=["leaf", "sig", "n", "tokens"]).astype({"leaf": "int64", "sig": "int64", "n": "int64"})
+def _emit_tokens(bits: np.ndarray):
+    """Leaf, signature and tokens of the lines whose leaf passes the filter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [t for text in b["_text"] for line in text.split("\n") if (t := tokens(line))]
+            leaf = np.array([leaf_of(t) for t in read], np.int64)
+            wanted = np.flatnonzero(passes(bits, leaf)).tolist() if read else []
+            rows = {(int(leaf[i]), _digest(read[i])): " ".join(read[i]) for i in wanted}
+            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["leaf", "sig", "tokens"]).astype({"leaf": "int64", "sig": "int64"})
+
+    return run
 
 
 class Leaf:
@@ -113,22 +119,22 @@ def _varied(lines: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """``_k, line, template``: lines (by number, from 0) whose template recurs; ``_k`` is the xxhash64 of key and text."""
+    """``_k, _d, line, template``: lines (by number, from 0) whose template recurs; xxhash64 of key and text and of the text say whose."""
     rows = docs.select(F.xxhash64(key, text).alias("_k"), F.xxhash64(text).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     lines = materialise(rows.mapInPandas(_emit_lines, "_k long, _d long, line long, leaf long, sig long, size long"), "lines")
     # a template's documents are among its leaf's: a line alone in its leaf is shared with no other document
     leaves = lines.groupBy("leaf").count().filter("count > 1").select("leaf")
     busy = materialise(lines.join(leaves, "leaf"), "busy")
-    sigs = busy.groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.min(F.struct("_k", "line")).alias("rep"))
-    mixed = sigs.groupBy("leaf").agg(F.count("*").alias("_sigs")).filter("_sigs > 1").select("leaf")
-    reps = sigs.join(mixed, "leaf").groupBy(F.col("rep._k").alias("_k")).agg(F.collect_list(F.struct("rep.line", "leaf", "sig", "n")).alias("_wanted"))
-    # equal rows have equal texts: the tokens of either serve
-    wanted = rows.join(reps, "_k").mapInPandas(_emit_tokens, "leaf long, sig long, n long, tokens string")
+    sigs = materialise(busy.groupBy("leaf", "sig").agg(F.count("*").alias("n")), "sigs")
+    mixed = materialise(sigs.groupBy("leaf").agg(F.count("*").alias("_sigs")).filter("_sigs > 1").select("leaf"), "mixed")
+    # texts stay where they are: a second reading gives the tokens of leaves that hold several signatures
+    read = rows.mapInPandas(_emit_tokens(hash_filter(mixed, "leaf")), "leaf long, sig long, tokens string").groupBy("leaf", "sig").agg(F.min("tokens").alias("tokens"))
+    wanted = read.join(sigs.join(mixed, "leaf"), ["leaf", "sig"])
     placed = wanted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens", "sig").mapInPandas(_cluster(similarity), "leaf long, sig long, template long").distinct()
     named = busy.join(placed, ["leaf", "sig"], "left").withColumn("template", F.coalesce("template", "sig"))
     named = materialise(named.select("_k", "_d", "line", "size", F.xxhash64("leaf", "template").alias("template")), "named")
     again = _varied(lines, named).groupBy("template").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") >= min_docs).select("template")
-    return named.join(again, "template").select("_k", "line", "template")
+    return named.join(again, "template").select("_k", "_d", "line", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: float) -> DataFrame:
@@ -139,10 +145,10 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     are left to deduplication of documents. Lines without tokens are never dropped. Null texts stay null with 0 lines, an
     empty text has one line; rows are neither dropped nor merged, and repeated rows lose the same lines.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_k", "_gone", "_k2")
-    gone = recurring_lines(docs, text, key, **limits).groupBy(F.col("_k").alias("_k2")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
-    gone = materialise(gone, "gone")
-    out = docs.join(gone, F.xxhash64(key, text) == F.col("_k2"), "left")
+    docs = docs.drop("n_lines", "n_dropped", "_k", "_gone", "_k2", "_d2")
+    gone = recurring_lines(docs, text, key, **limits).groupBy(F.col("_k").alias("_k2"), F.col("_d").alias("_d2")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
+    gone = materialise(gone, "gone").hint("merge")
+    out = docs.join(gone, (F.xxhash64(key, text) == F.col("_k2")) & (F.xxhash64(text) == F.col("_d2")), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     return out.withColumns(
         {
@@ -150,4 +156,4 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"),
             "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         }
-    ).drop("_k2", "_gone")
+    ).drop("_k2", "_d2", "_gone")
