@@ -101,17 +101,17 @@ k AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS n FROM
 f AS (SELECT *, arg_min(level, CASE WHEN level <= ratio THEN n END) OVER () AS final FROM k),
 g AS (SELECT source, source_size, CASE WHEN final IS NULL OR ratio < final THEN (3 * source_size)::DOUBLE ELSE final * w END AS target FROM f),
 q AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target,
+  SELECT row_number() OVER () AS rid, d.doc_id, d.source, d.size, g.source_size, g.target,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 c AS (
-  SELECT *, greatest(0, least(size, floor(target)::BIGINT - start)) AS a,
-         greatest(0, least(size, floor(target)::BIGINT - start - source_size)) AS b,
-         greatest(0, least(size, floor(target)::BIGINT - start - 2 * source_size)) AS e
-  FROM q)
-SELECT doc_id, size, source_size, target, (a + b + e)::BIGINT AS taken,
-       ((a > 0)::INT + (b > 0)::INT + (e > 0)::INT)::BIGINT AS n_copies
-FROM c
+  SELECT *, (start + e * source_size + size) / target AS finish FROM (SELECT *, unnest([0, 1, 2]) AS e FROM q WHERE size > 0)
+  WHERE start + e * source_size < target),
+t AS (
+  SELECT rid, greatest(0, least(size, (SELECT sum(size) FROM d) - (sum(size) OVER (ORDER BY finish, source NULLS LAST, start + e * source_size) - size)))::BIGINT AS words FROM c),
+x AS (SELECT rid, sum(words)::BIGINT AS taken, count(*) FILTER (words > 0) AS n FROM t GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n, 0)::BIGINT AS n_copies
+FROM q LEFT JOIN x USING (rid)
 """
 
 ORACLES["op2_url_filter"] = r"""
