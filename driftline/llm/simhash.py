@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import materialise
-from driftline.llm.winnow import mix64
 
 RADIUS = 3
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -166,7 +165,7 @@ def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(key, fp)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of the undirected edges ``a, b`` (long); root is the least node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) on whole relations. Every round is stored in
@@ -175,7 +174,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:  # labels only ever fall, so this ends
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -186,8 +185,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -213,220 +210,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     final = classes.join(of, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("_component", "_low").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(final, F.col("fp") == F.col("_fp")).select(key, digits.alias("fingerprint"), "component_id")
-
-
-#: Words of 64 bits in a wide fingerprint, and the tables of keys drawn from its bits.
-WIDE_WORDS = 8
-TABLES = 40
-#: Exact bits beside the 23 fuzzy ones of a table's key.
-EXACT_BITS = 8
-#: Groups of a bucket up to this size give all their pairs at once; of larger ones, pairs that a star has not linked follow.
-PAIRED = 64
-
-
-def wide_fingerprint(text: str | None, n: int = 5) -> np.ndarray:
-    """WIDE_WORDS words: the SimHash of the different shingles under as many hash functions, all made from one XXH64."""
-    s = set(shingles(text, n))
-    if not s:
-        return np.zeros(WIDE_WORDS, np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s))
-    ones = np.zeros(64 * WIDE_WORDS, np.int64)
-    seeds = mix64(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    for i in range(0, len(h), 1 << 12):
-        words = mix64(h[i : i + (1 << 12), None] ^ seeds)
-        ones += np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(words), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(s)).view(">u8").astype(np.uint64)
-
-
-def _wide_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of each table: a Golay codeword near 23 bits of the fingerprint, and EXACT_BITS others as they are."""
-    bits = 64 * WIDE_WORDS
-    chosen = [np.random.Generator(np.random.PCG64(t)).permutation(bits)[: 23 + EXACT_BITS] for t in range(TABLES)]
-    for b in batches:
-        for i in range(0, len(b), 5_000):
-            part = b.iloc[i : i + 5_000]
-            w = np.column_stack([part[f"w{j}"].to_numpy(np.int64) for j in range(WIDE_WORDS)])
-            all_bits = np.unpackbits(w.astype(">i8").view(np.uint8).reshape(len(w), -1), axis=1)
-            keys, at = [], []
-            for t, where in enumerate(chosen):
-                v = all_bits[:, where].astype(np.int64) @ (1 << np.arange(23 + EXACT_BITS, dtype=np.int64))
-                rows, code = golay_keys(v & 0x7FFFFF)
-                keys.append((np.int64(t) << np.int64(40)) | (code << EXACT_BITS) | (v[rows] >> 23))
-                at.append(rows)
-            at = np.concatenate(at)
-            yield pd.DataFrame({"key": np.concatenate(keys), "t": part["t"].to_numpy(np.int64)[at], "w0": w[at, 0]})
-
-
-def _candidates(near: int):
-    """Sorted (key, t, w0) rows to pairs ``a, b`` of classes whose first words differ in ``near`` bits at most.
-
-    Groups that such pairs connect give all of them if they have at most PAIRED members. A larger group gives those of
-    one member that is near the others, and itself as rows ``a`` (group), ``b`` (member) with ``large`` set.
-    """
-
-    def groups(w: np.ndarray) -> Iterator[np.ndarray]:
-        rest = np.arange(len(w))
-        while len(rest) > 1:
-            front, rest = [rest[0]], rest[1:]
-            group = [np.array(front)]
-            while front and len(rest):
-                hit = np.bitwise_count(w[rest] ^ w[front.pop()]) <= near
-                if hit.any():
-                    group.append(rest[hit])
-                    front.extend(rest[hit])
-                    rest = rest[~hit]
-            if len(group) > 1:
-                yield np.concatenate(group)
-
-    def pairs(t: np.ndarray, w: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
-        if len(t) <= PAIRED:
-            a, b = np.triu_indices(len(t), 1)
-            ok = np.bitwise_count(w[a] ^ w[b]) <= near
-            return [(t[a[ok]], t[b[ok]])], []
-        out, large = [], []
-        for at in groups(w):
-            if len(at) <= PAIRED:
-                out += pairs(t[at], w[at])[0]
-                continue
-            some = w[at[:: len(at) // PAIRED]]
-            far = sum(np.bitwise_count(w[at] ^ x).astype(np.int64) for x in some)
-            centre = at[np.argmin(far)]
-            ok = (np.bitwise_count(w[at] ^ w[centre]) <= near) & (at != centre)
-            out.append((np.full(int(ok.sum()), t[centre]), t[at[ok]]))
-            name = np.uint64(xxhash.xxh3_64_intdigest(np.sort(t[at]).tobytes())).astype(np.int64)
-            large.append((np.full(len(at), name), t[at]))
-        return out, large
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, t, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def links(key: np.ndarray, t: np.ndarray, w: np.ndarray) -> pd.DataFrame:
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[begin, len(key)])
-            two = begin[size == 2]
-            ok = np.bitwise_count(w[two] ^ w[two + 1]) <= near
-            found, large = [(t[two[ok]], t[two[ok] + 1])], [(t[:0], t[:0])]
-            for i, n in zip(begin[size > 2], size[size > 2], strict=True):
-                more = pairs(t[i : i + n], w[i : i + n])
-                found += more[0]
-                large += more[1]
-            both, whole = (np.stack([np.concatenate([f[k] for f in x]) for k in (0, 1)], axis=1) for x in (found, large))
-            both = np.unique(np.sort(both, axis=1), axis=0)
-            rows = np.concatenate([both, whole])
-            return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "large": np.arange(len(rows)) >= len(both)})
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = np.concatenate([key, batch["key"].to_numpy(np.int64)])
-            t = np.concatenate([t, batch["t"].to_numpy(np.int64)])
-            w = np.concatenate([w, batch["w0"].to_numpy(np.int64).view(np.uint64)])
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield links(key[:last], t[:last], w[:last])
-                key, t, w = key[last:], t[last:], w[last:]
-        if len(key):
-            yield links(key, t, w)
-
-    return run
-
-
-def _across(near: int):
-    """Sorted (g, t, w0, root) rows to the pairs of a group whose first words differ in ``near`` bits at most and whose roots differ."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in chain(batches, [None]):
-            if b is not None:
-                rest = b if rest is None else pd.concat([rest, b])
-            if rest is None or not len(rest):
-                continue
-            g = rest["g"].to_numpy(np.int64)
-            done = len(g) if b is None else int(np.searchsorted(g, g[-1]))
-            part, rest = rest.iloc[:done], rest.iloc[done:]
-            for _, group in part.groupby("g", sort=False):
-                t, w, root = (group[c].to_numpy(np.int64) for c in ("t", "w0", "root"))
-                w, found, n = w.view(np.uint64), [], 0
-                for i in range(len(t) - 1):
-                    ok = (root[i + 1 :] != root[i]) & (np.bitwise_count(w[i + 1 :] ^ w[i]) <= near)
-                    if ok.any():
-                        found.append((np.full(int(ok.sum()), t[i]), t[i + 1 :][ok]))
-                        n += len(found[-1][0])
-                    if found and (n > 1 << 18 or i == len(t) - 2):
-                        yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
-                        found, n = [], 0
-
-    return run
-
-
-def similar_classes(docs: DataFrame, text: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``t, root`` for texts (by xxhash64 ``t``) that are near copies of others: similar shingle sets, at any distance in a chain.
-
-    Near copies this unlike differ in more bits than a 64-bit fingerprint can tell, so fingerprints are WIDE_WORDS words.
-    Two texts become candidates if in one of TABLES tables 23 bits have a Golay codeword in common and EXACT_BITS others
-    agree, and their whole fingerprints differ in no more bits than the similarity leads to, plus four standard deviations.
-    Candidates of any length are linked by the true similarity of their whole shingle sets. At similarity 0.8 the tables
-    miss about one pair in four hundred and the test of first words as many, at 0.9 hardly any.
-    """
-    from math import acos, pi, sqrt
-
-    bits, p = 64 * WIDE_WORDS, acos(2 * similarity / (1 + similarity)) / pi
-    cut = int(bits * p + 4 * sqrt(bits * p * (1 - p)))
-    near = int(64 * p + 3 * sqrt(64 * p * (1 - p)))
-    names = [f"w{i}" for i in range(WIDE_WORDS)]
-
-    @F.pandas_udf(", ".join(f"{w} long" for w in names) + ", n long")
-    def wide(texts: pd.Series) -> pd.DataFrame:
-        rows = np.array([wide_fingerprint(t, n) for t in texts], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-        return pd.DataFrame(rows, columns=names).assign(n=[len(set(shingles(t, n))) for t in texts])
-
-    @F.pandas_udf("array<bigint>")
-    def whole(texts: pd.Series) -> pd.Series:
-        sets = (set(shingles(t, n)) for t in texts)
-        return pd.Series([np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in s), np.uint64, len(s)).view(np.int64) for s in sets], dtype=object)
-
-    fps = docs.select(F.xxhash64(F.col(text)).alias("t"), wide(F.col(text)).alias("w")).select("t", "w.*")
-    fps = materialise(materialise(fps, "wide").dropDuplicates(["t"]), "classes")
-    keyed = fps.mapInPandas(_wide_keys, "key long, t long, w0 long")
-    found = materialise(keyed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_candidates(near), "a long, b long, large boolean").distinct(), "found")
-    left, right = (fps.select(F.col("t").alias(side), *[F.col(w).alias(f"{side}{w}") for w in [*names, "n"]]) for side in ("a", "b"))
-    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
-    sizes = F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9
-    shared = F.size(F.array_intersect("aset", "bset"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        close = materialise(pairs.join(left, "a").join(right, "b").filter(sizes & (differ <= cut)).select("a", "b", "an", "bn"), "close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-        sets = docs.select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("_text")).join(wanted, "t", "left_semi").dropDuplicates(["t"])
-        sets = materialise(sets.select("t", whole("_text").alias("set")), "sets")
-        both = close.join(sets.select(F.col("t").alias("a"), F.col("set").alias("aset")), "a").join(sets.select(F.col("t").alias("b"), F.col("set").alias("bset")), "b")
-        return both.filter(shared >= similarity * (F.col("an") + F.col("bn") - shared) - 1e-9).select("a", "b")
-
-    roots = materialise(components(verified(found.filter("not large").select("a", "b"))).select(F.col("node").alias("t"), "root"), "roots")
-    large = found.filter("large").select(F.col("a").alias("g"), F.col("b").alias("t"))
-    if large.isEmpty():
-        return roots
-    # the other pairs of large groups; within a component they would add nothing
-    large = large.join(fps.select("t", "w0"), "t").join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
-    others = large.repartition("g").sortWithinPartitions("g", "t").mapInPandas(_across(near), "a long, b long")
-    others = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = roots.select(F.col("t").alias("a"), F.col("root").alias("b")).unionByName(verified(others))
-    return components(edges).select(F.col("node").alias("t"), "root")
-
-
-def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Input rows without near copies: of each group the row with the smallest key stays (null keys last, then by text hash).
-
-    Equal texts are one class before anything else, so groups of copies cost one fingerprint; null and empty texts
-    are copies of each other. Rows equal in key and text are copies, too: one stays. Columns are those of the input.
-    """
-    docs = docs.drop("_t", "_root", "_t2", "_key2")
-    tagged = docs.withColumn("_t", F.xxhash64(F.col(text)))
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_t").alias("t"))
-    classes = tagged.groupBy("_t").agg(F.min(order).alias("low"))
-    groups = similar_classes(docs, text, n, similarity)
-    lows = classes.join(groups, classes["_t"] == groups["t"], "left").groupBy(F.coalesce("root", "_t").alias("root")).agg(F.min("low").alias("low"))
-    stay = materialise(lows.select(F.col("low.t").alias("_t2"), F.col("low.key").alias("_key2")), "stay")
-    kept = tagged.join(stay, (F.col("_t") == F.col("_t2")) & F.col(key).eqNullSafe(F.col("_key2")), "left_semi")
-    again = tagged.groupBy("_t", key).count().filter("count > 1")
-    return (kept if again.isEmpty() else kept.dropDuplicates(["_t", key])).drop("_t")
