@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, line_templates, mixing, simhash, toxicity
+from driftline.llm import decontaminate, line_templates, mixing, near_copies, toxicity
 from driftline.llm.common import materialise, read
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,7 +25,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies or near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.keep_one_of_each(docs).select(*DOCUMENTS)
+    return near_copies.keep_one_of_each(docs).select(*DOCUMENTS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
