@@ -90,7 +90,7 @@ def _writer(base: str, date: str, roll_bytes: int):
         refers: int | None = None
         for b in batches:
             for raw_key, url, html, to, sha1, kind in zip(b["_key"], b["_url"], b["_body"], b["_refers"], b["_sha"], b["_kind"], strict=True):
-                key = None if pd.isna(raw_key) else int(raw_key)
+                key = None if raw_key is None else int(raw_key)
                 if kind == 0:
                     known, refers = (key, bytes(sha1)), int(to)
                     continue
@@ -140,7 +140,10 @@ def write_warc(
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, root = _uri_fs(base)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    parts = merged.select("_key", "_url", "_body", "_refers", "_sha", "_kind").repartitionByRange(n, "_key", "_sha").sortWithinPartitions("_key", "_sha", "_kind", "_url").mapInPandas(_writer(base, date, roll_bytes), MANIFEST_SCHEMA)
+    ordered = merged.repartitionByRange(n, "_key", "_sha").sortWithinPartitions("_key", "_sha", "_kind", "_url")
+    # pandas reads integers with nulls among them as floats: keys travel as text
+    rows = ordered.select(F.col("_key").cast("string").alias("_key"), "_url", "_body", F.col("_refers").cast("string").alias("_refers"), "_sha", "_kind")
+    parts = rows.mapInPandas(_writer(base, date, roll_bytes), MANIFEST_SCHEMA)
     parts.write.parquet(f"{base}/_manifest.parquet")
     return base, commit_warc(spark, base)
 
@@ -215,4 +218,5 @@ def read_warc(spark: SparkSession, base: str, manifest: DataFrame, rows: int = 2
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=names, dtype=object)
-    return df.astype({"key": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "block_ok": "bool"})
+    df = df.assign(**{name: pd.array([r[names.index(name)] for r in rows], "Int64") for name in ("key", "refers_to")})
+    return df.astype({"payload_bytes": "int64", "block_ok": "bool"})
