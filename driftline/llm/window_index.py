@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm.common import discard, materialise, merge_span_rows, release, shared_dir
 from driftline.llm.winnow import Grams, anchors
@@ -149,11 +150,16 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", key: str = "doc_i
 
     A word goes if a window of ``length`` words that covers it also starts earlier: in a document with a smaller key, or
     in the same document. Windows are judged on the input. The table goes into a new index in ``batches`` key ranges,
-    smallest first, as daily batches would; their number does not change results. Null texts have no words, null keys
+    smallest first, as daily batches would; their number does not change results. Keys may be of any type that sorts. Null texts have no words, null keys
     come after all others, and rows that share a key are not earlier than each other. Rows are neither dropped nor merged.
     """
     docs = docs.drop("n_words", "n_removed", "kept", "_k2", "_c", "spans", "_d", "_k", "_text")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64(key, text).alias("_k"), F.col(text).alias("_text"))
+    last = F.lit((1 << 63) - 1)
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        rows = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("_d"), F.xxhash64(key, text).alias("_k"), F.col(text).alias("_text"))
+    else:  # the place of a key among all keys
+        places = materialise(docs.select(F.col(key).alias("_c")).filter("_c is not null").distinct().orderBy("_c").withColumn("_d", F.monotonically_increasing_id()), "places")
+        rows = docs.join(places, F.col(key) == F.col("_c"), "left").select(F.coalesce("_d", last).alias("_d"), F.xxhash64(key, text).alias("_k"), F.col(text).alias("_text"))
     index = FingerprintIndex(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/index")
     borders = [None, *sorted(set(rows.approxQuantile("_d", [i / batches for i in range(1, batches)], 0.01))), None] if batches > 1 else [None, None]
     spans = None

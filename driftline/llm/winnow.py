@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_POSITION = np.uint64((1 << 28) - 1)
+#: Low bits that hold a position: enough for the longest text that a Spark row can hold.
+_POSITION = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -45,14 +46,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def anchors(grams: np.ndarray, per_window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) for windows of ``per_window`` k-grams: the leftmost least k-gram owns the window.
 
-    The order is that of the hash's upper 36 bits, then of the position, which is the same for equal windows.
+    The order is that of the hash's upper 33 bits, then of the position, which is the same for equal windows.
     """
     n = len(grams) - per_window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
         return none, none, none
-    if len(grams) > int(_POSITION):
-        raise ValueError("a text of over 2^28 positions must be cut before")
     m = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
     width = 1
     while 2 * width <= per_window:

@@ -271,6 +271,21 @@ def test_warc_round_trip(spark):
     assert rows_of(m2, "name", "records", "bytes", "sha256") == rows_of(manifest, "name", "records", "bytes", "sha256")
 
 
+def test_large_keys_survive_null_keys(spark):
+    big = 1152921504606846977
+    rows = [(big, "u", "same"), (None, "u", "other"), (big + 2, "u", "same")]
+    base, manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert rows_of(warc.read_warc(spark, base, manifest), "key", "refers_to") == sorted([(big, None), (None, None), (big + 2, big)], key=str)
+
+
+def test_word_windows_with_string_keys(spark):
+    rng = random.Random(12)
+    passage = words(rng, 30)
+    rows = [("b", f"{words(rng, 10)} {passage}"), ("a10", f"{words(rng, 20)} {passage}"), ("a9", passage), (None, passage)]
+    got = {r.doc_id: r.n_removed for r in window_index.remove_repeated_words(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a10": 0, "a9": 30, "b": 30, None: 30}
+
+
 def test_commit_can_be_repeated(spark):
     base, manifest = warc.write_warc(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))
     store, root = warc._uri_fs(base)
