@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English month names as the parsers of printed dates read them.
+#: English month names as the parsers of printed dates read them, in full, by three letters, or as "sept".
 MONTH_NAMES = "january february march april may june july august september october november december".split()
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+MONTH = "(?:" + "|".join(x for m in MONTH_NAMES for x in dict.fromkeys((m, *(["sept"] if m == "september" else []), m[:3]))) + ")"
+#: Pieces of printed dates: what follows a day number, what parts month and day, what joins the ends of a range.
+ORDINAL, GAP, DASH = r"(?:st|nd|rd|th)?", r"(?:\.\s*|\s+)", r"\s*[-–—]\s*"
 
 
 def _month(name: Column) -> Column:
@@ -16,23 +18,57 @@ def _month(name: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    """A date, or null if the parts make none."""
-    text = F.format_string("%04d-%02d-%02d", y.try_cast("int"), m, d.try_cast("int"))
-    return F.when((y != "") & (d != ""), F.try_to_date(text, "yyyy-MM-dd"))
+    """A date of three integers, or null if they make none."""
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
 def parse_date_fragment(text: Column) -> Column:
-    """struct(value, precision) of the first date in the text: year-month-day, month day year, day month year, month year, year-month."""
+    """struct(value, precision, text, month, day, year_missing) of the date that a text states; null if none.
+
+    The most specific kind that the text holds wins: day with year (also as a range, which means its first day), month
+    with year, year-month, day without year (``inferred``, no value), and a year at the beginning of the text.
+    """
     t = F.coalesce(text, F.lit(""))
-    ex = lambda p, g: F.regexp_extract(t, p, g)
-    ymd = r"(?<![\w-])(\d{4})-(\d{2})-(\d{2})(?!\d)"
-    mdy = rf"(?i)\b({_MONTH})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
-    dmy = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH}),?\s+(\d{{4}})\b"
-    my = rf"(?i)\b({_MONTH})\s+(\d{{4}})\b"
-    ym = r"(?<![\w-])(\d{4})-(\d{2})(?![\w-])"
-    day = F.coalesce(_date(ex(ymd, 1), ex(ymd, 2).try_cast("int"), ex(ymd, 3)), _date(ex(mdy, 3), _month(ex(mdy, 1)), ex(mdy, 2)), _date(ex(dmy, 3), _month(ex(dmy, 2)), ex(dmy, 1)))
-    month = F.coalesce(_date(ex(my, 2), _month(ex(my, 1)), F.lit("1")), _date(ex(ym, 1), ex(ym, 2).try_cast("int"), F.lit("1")))
-    return F.struct(F.coalesce(day, month).alias("value"), F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").alias("precision"))
+    number = lambda c: F.when(c != "", c).try_cast("int")
+
+    def found(pattern: str, precision: str, year: int = 0, month: int = 0, day: int = 0, closing: int = 0, named: bool = True) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i)
+        y = number(part(year)) if year else F.lit(None).cast("int")
+        m = (_month(part(month)) if named else number(part(month))) if month else F.lit(None).cast("int")
+        d = number(part(day)) if day else F.lit(None).cast("int")
+        if closing:  # a range over the turn of the year begins in the year before
+            y = y - F.when(_month(part(closing)) < m, 1).otherwise(0)
+        value = _date(y, F.coalesce(m, F.lit(1)), F.coalesce(d, F.lit(1))) if year else F.lit(None).cast("date")
+        stated = part(0) != ""
+        good = stated & (value.isNotNull() if year else m.isNotNull())
+        kept = [F.lit(None).cast("int")] * 2 if precision == "year" else [m, d]
+        return F.when(good, F.struct(value.alias("value"), F.lit(precision).alias("precision"), part(0).alias("text"), kept[0].alias("month"), kept[1].alias("day"), F.lit(not year).alias("year_missing")))
+
+    name = f"({MONTH})"
+    return F.coalesce(
+        found(r"(\d{4})-(\d{1,2})-(\d{1,2})(?![\d-])", "day", 1, 2, 3, named=False),
+        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL}{DASH}(?:{name}\.?\s+)?\d{{1,2}}{ORDINAL},?\s+(\d{{4}})\b", "day", 4, 1, 2, 3),
+        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL},?\s+(\d{{4}})\b", "day", 3, 1, 2),
+        found(rf"(?i)(\d{{1,2}}){ORDINAL}\s+{name}\.?,?\s+(\d{{4}})\b", "day", 3, 2, 1),
+        found(rf"(?i){name}\.?,?\s+(\d{{4}})\b", "month", 2, 1),
+        found(r"(\d{4})-(\d{1,2})(?!\d|-)", "month", 1, 2, named=False),
+        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL}(?!\d)", "inferred", 0, 1, 2),
+        found(rf"(?iU)(\d{{1,2}}){ORDINAL}\s+{name}\.?(?!\w)", "inferred", 0, 2, 1),
+        found(r"(?U)^\W*(20\d{2})\b", "year", 1),
+    )
+
+
+def with_year(parsed: Column, year: Column) -> Column:
+    """A parsed date whose year was missing, in the year that its surroundings give; others, and days that the year lacks, as they are."""
+    value = _date(year, parsed["month"], F.coalesce(parsed["day"], F.lit(1)))
+    made = F.struct(value.alias("value"), F.when(parsed["day"].isNotNull(), "day").otherwise("month").alias("precision"), parsed["text"].alias("text"), parsed["month"].alias("month"), parsed["day"].alias("day"), F.lit(False).alias("year_missing"))
+    return F.when(parsed["year_missing"] & parsed["month"].isNotNull() & value.isNotNull(), made).otherwise(parsed)
+
+
+def stated_alone(text: Column, found: Column) -> Column:
+    """Whether the date stands by itself: not glued to a word, number, hyphen, underscore, slash or dot before it."""
+    at = F.instr(text, found)
+    return (at > 0) & ((at == 1) | ~F.substring(text, at - 1, 1).rlike(r"(?U)[\w/.-]"))
 
 
 def stated_date(value: Column) -> Column:
@@ -53,6 +89,23 @@ def due_date(dates: Column, as_of: Column) -> Column:
     return F.coalesce(ahead, F.array_max(dates))
 
 
+def card_due_date(facts: Column, as_of: Column) -> Column:
+    """struct(value, precision) of the date that a card is about: the due date among its stated sunset and effective dates.
+
+    ``facts`` are structs ``kind, value, value_date, precision``. Inferred dates never lead; without any date the value is null, the precision ``day``.
+    """
+    dated = F.filter(facts, lambda f: f["value_date"].isNotNull() & f["kind"].isin("sunset_date", "effective_date") & (f["precision"] != "inferred"))
+    best = due_date(F.transform(dated, lambda f: f["value_date"]), as_of)
+    first = F.get(F.filter(dated, lambda f: f["value_date"] == best), F.lit(0))
+    return F.struct(best.alias("value"), F.coalesce(first["precision"], F.lit("day")).alias("precision"))
+
+
+def score_due_date(facts: Column, kinds: tuple[str, ...], as_of: Column) -> Column:
+    """The due date that scoring takes: of all facts of the kinds, inferred ones too, read from ``value`` where no date is given."""
+    dates = F.transform(F.filter(facts, lambda f: f["kind"].isin(*kinds)), lambda f: F.coalesce(f["value_date"], F.try_to_date(f["value"], "yyyy-MM-dd")))
+    return due_date(F.filter(dates, lambda d: d.isNotNull()), as_of)
+
+
 def half_up(x: Column) -> Column:
     """floor(x + 0.5)."""
     return F.floor(x + 0.5)

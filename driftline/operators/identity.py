@@ -35,27 +35,33 @@ def corpus_key(url: Column, slot: Column, position: Column) -> tuple[Column, Col
 def clusters(items: DataFrame) -> DataFrame:
     """Two passes: same page section and text, then same vendor, type and headline signature.
 
-    Columns: ``item_id, url, title, body, vendor, change_type, priority, published_at, source_id, seq``. The primary is the
-    item of the best priority, then the earliest, then by url; only aggregates of items travel, never their bodies.
+    Columns: ``item_id, url, title, body, vendor, change_type, priority, published_at, source_id, seq``. Vendor, type and
+    title of a section are those of its first arrival (``seq``). The primary is the item of the best priority, then the
+    earliest, then by url; ``seen_in`` are the sources in order. Only aggregates of items travel, never their bodies.
     """
-    sectioned = items.withColumn("_page", T.canonical_url(F.col("url"), keep_fragment=True)).withColumn("_head", F.sha2(F.substring(F.coalesce("body", F.lit("")), 1, 2000), 256))
-    rank = lambda c: F.struct(F.coalesce(c["priority"], F.lit(CLUSTER_PRIORITY)).alias("p"), c["published_at"].isNull().alias("n"), c["published_at"].alias("at"), c["url"].alias("url"), c["seq"].alias("seq"), c["item_id"].alias("id"), c["title"].alias("title"), c["vendor"].alias("vendor"), c["change_type"].alias("change_type"))
-    one = sectioned.groupBy("_page", "_head").agg(F.min(rank(sectioned)).alias("lead"), F.count("*").alias("n"), F.min("seq").alias("seq"))
-    signed = one.withColumn("signature", T.title_signature(F.col("lead.title")))
-    merged = signed.groupBy(F.col("lead.vendor").alias("vendor"), F.col("lead.change_type").alias("change_type"), "signature").agg(F.min("lead").alias("lead"), F.sum("n").alias("items"), F.count("*").alias("sections"))
-    return merged.select(T.cluster_id(F.col("vendor"), F.col("change_type"), F.col("signature")).alias("cluster_id"), "vendor", "change_type", "items", "sections", F.col("lead.id").alias("primary_id"))
+    sectioned = items.withColumn("_page", T.canonical_url(F.col("url"), keep_fragment=True)).withColumn("_text", F.sha2(F.substring(F.coalesce("body", F.lit("")), 1, 2000), 256))
+    rank = F.struct(F.coalesce("priority", F.lit(CLUSTER_PRIORITY)).alias("p"), F.col("published_at").isNull().alias("n"), F.col("published_at").alias("at"), "url", "seq", F.col("item_id").alias("id"))
+    sources = F.collect_set(F.when(F.col("source_id") != "", F.col("source_id")))
+    one = sectioned.groupBy("_page", "_text").agg(F.min(rank).alias("lead"), F.min_by(F.struct("vendor", "change_type", "title"), "seq").alias("head"), F.count("*").alias("n"), sources.alias("seen"))
+    signed = one.withColumn("signature", T.title_signature(F.col("head.title")))
+    merged = signed.groupBy(F.col("head.vendor").alias("vendor"), F.col("head.change_type").alias("change_type"), "signature").agg(F.min("lead").alias("lead"), F.sum("n").alias("items"), F.count("*").alias("sections"), F.collect_set("seen").alias("seen"))
+    id_ = T.cluster_id(F.col("vendor"), F.col("change_type"), F.col("signature"))
+    return merged.select(id_.alias("cluster_id"), F.col("signature").alias("dedup_key"), "vendor", "change_type", "items", "sections", F.col("lead.id").alias("primary_id"), F.array_sort(F.array_distinct(F.flatten("seen"))).alias("seen_in"))
 
 
 def vendor_from_alias(names: DataFrame, aliases: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``vendor``: the exact folded alias, else for names of up to six words the longest alias contained in it.
 
-    Each name is cut into the alias lengths that occur, so containment is an equi-join whatever the number of aliases.
+    Each name is cut into pieces of the lengths that aliases have (a list as short as the longest alias), so containment
+    is an equi-join whatever the number of aliases.
     """
     table = aliases.select(T.fold_key(F.col("alias")).alias("_a"), "vendor").filter("_a != ''").groupBy("_a").agg(F.max("vendor").alias("vendor"))
     keyed = names.withColumn("_key", T.fold_key(F.col(raw))).withColumn("_short", T.word_count(F.col(raw)) <= 6)
     distinct = keyed.select("_key", "_short").filter("_key != ''").distinct()
     n = F.length("_key")
-    pieces = F.when(F.col("_short"), F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("_key"), i, k))))).otherwise(F.array("_key"))
+    distinct = distinct.join(F.broadcast(table.agg(F.collect_set(F.length("_a")).alias("_lengths"))), how="cross")
+    fitting = F.filter("_lengths", lambda k: k <= n)
+    pieces = F.when(F.col("_short"), F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_key"), i, k))))).otherwise(F.array("_key"))
     hits = distinct.select("_key", "_short", F.explode(F.array_distinct(pieces)).alias("_a")).join(table, "_a")
     found = hits.groupBy("_key", "_short").agg(F.max_by("vendor", F.struct((F.col("_a") == F.col("_key")).alias("x"), F.length("_a").alias("n"), "_a")).alias("vendor"))
     return keyed.join(found, ["_key", "_short"], "left").drop("_key", "_short")

@@ -12,7 +12,7 @@ from driftline.plans.store import materialise
 
 #: Horizon and number of upcoming deadlines, the kinds that have one, and what an identifier looks like.
 UPCOMING_DAYS = 120
-MAX_UPCOMING = 3
+MAX_UPCOMING, UPCOMING_SCAN = 3, 200
 OBLIGATIONS = ("deprecation", "breaking_change")
 IDENTIFIER = r"(?i)\b[a-z][a-z0-9]*(?:[.-][a-z0-9]+)+\b"
 
@@ -26,35 +26,36 @@ def upcoming_identifiers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), 0), lambda x: F.lower(x))))
 
 
-def upcoming(corpus: DataFrame, as_of: date) -> DataFrame:
-    """Obligations after today within the horizon, one row per (date, vendor) event.
+def upcoming(corpus: DataFrame, as_of: date, limit: int = MAX_UPCOMING, order: str = "statement_id") -> DataFrame:
+    """Obligations after today within the horizon, nearest first: the first ``limit`` events.
 
-    Statements of a date and vendor fold in order of (text length, text): one joins the first event it shares an identifier
-    with, or that has none, or any if it has none itself; an event keeps its shortest wording that names an identifier.
-    Distinct texts alone enter the fold, so copies do not lengthen a group.
+    Statements come by date and ``order``; the scan ends after ``UPCOMING_SCAN`` of them. In that order, one joins the first
+    event of its date and vendor that it shares an identifier with, or that has none, or any if it has none itself. An event
+    keeps the wording that names an identifier, then the shortest, then the least.
     """
     rows = corpus.filter(F.col("change_type").isin(*OBLIGATIONS) & (F.col("event_date") > F.lit(as_of)) & (F.col("event_date") <= F.date_add(F.lit(as_of), UPCOMING_DAYS)))
-    rows = rows.select("event_date", F.coalesce("vendor", F.lit("")).alias("vendor"), F.trim(F.coalesce("text", F.lit(""))).alias("text")).distinct()
+    rows = rows.orderBy("event_date", order).limit(UPCOMING_SCAN)
+    rows = rows.select("event_date", F.coalesce("vendor", F.lit("")).alias("vendor"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.col("source_url").alias("url"), F.col(order).cast("long").alias("at"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        events: list[list] = []
-        for text, ids in group.assign(n=group["text"].str.len()).sort_values(["n", "text"])[["text", "ids"]].itertuples(index=False):
-            ids = set(ids)
-            for event in events:
-                if not ids or not event[0] or ids & event[0]:
-                    if ids and not event[2]:
-                        event[1:] = [text, True]
-                    event[0] |= ids
-                    break
-            else:
-                events.append([ids, text, bool(ids)])
-        head = group.iloc[0]
-        return pd.DataFrame([(head["event_date"], head["vendor"], e[1], len(e[0])) for e in events], columns=["event_date", "vendor", "text", "identifiers"])
-
-    return rows.withColumn("ids", upcoming_identifiers(F.col("text"))).groupBy("event_date", "vendor").applyInPandas(fold, "event_date date, vendor string, text string, identifiers long")
-
-
-def append_unique(existing: DataFrame, batch: DataFrame, max_rounds: int = 100) -> DataFrame:
+        events: list[dict] = []
+        for row in group.sort_values("at").to_dict("records"):
+            ids = set(row["ids"])
+            wording = (not ids, len(row["text"]), row["text"])
+            event = next((e for e in events if not ids or not e["ids"] or ids & e["ids"]), None)
+            if event is None:
+                events.append({**row, "ids": ids, "wording": wording})
+                continue
+            event["ids"] |= ids
+            if wording < event["wording"]:
+                event.update(text=row["text"], url=row["url"], wording=wording)
+        return pd.DataFrame([(e["event_date"], e["vendor"], e["text"], e["url"], len(e["ids"]), e["at"]) for e in events], columns=["event_date", "vendor", "text", "source_url", "identifiers", "at"])
+
+    events = rows.withColumn("ids", upcoming_identifiers(F.col("text"))).groupBy("event_date", "vendor").applyInPandas(fold, "event_date date, vendor string, text string, source_url string, identifiers long, at long")
+    return events.orderBy("event_date", "at").limit(limit).drop("at")
+
+
+def append_unique(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of ``batch`` (ordered by ``seq``) to insert: the first writer wins on statement_id, (source_url, statement_index) and event_key.
 
     A row rejected on one key does not block later rows on another. Known keys are removed by anti-joins; the rest is
@@ -67,7 +68,7 @@ def append_unique(existing: DataFrame, batch: DataFrame, max_rounds: int = 100)
     # an empty event key is no key: such rows are alone under their sequence number
     rest = left.select(*batch.columns).withColumn("_event", F.when(F.col("event_key") == "", F.concat(F.lit("\0"), F.col("seq").cast("string"))).otherwise(F.col("event_key")))
     accepted = None
-    for _ in range(max_rounds):
+    while True:  # every round inserts at least the first row that is left
         # the first row under all of its keys is inserted in any order; what shares a key with it is ignored
         leads = F.lit(True)
         for k in keys:
@@ -81,7 +82,6 @@ def append_unique(existing: DataFrame, batch: DataFrame, max_rounds: int = 100)
         rest = rest.select(*first.columns)
         if rest.isEmpty():
             return accepted.drop("_event")
-    raise RuntimeError("insertion did not settle")
 
 
 def collapse_events(enriched: DataFrame) -> DataFrame:

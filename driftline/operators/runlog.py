@@ -53,8 +53,9 @@ def missed_days(delivered: DataFrame, first: date, last: date, day: str = "for_d
 
 
 def superseded(runs: DataFrame) -> DataFrame:
-    """Adds ``superseded``: a run of the same day began later."""
-    return runs.withColumn("superseded", F.lead("started_at").over(Window.partitionBy("for_date").orderBy("started_at", "run_id")).isNotNull())
+    """Adds ``superseded``: some other run began later. Runs without a start are not."""
+    last = runs.agg(F.max("started_at").alias("_last"))  # one row
+    return runs.join(F.broadcast(last), how="cross").withColumn("superseded", F.coalesce(F.col("started_at") < F.col("_last"), F.lit(False))).drop("_last")
 
 
 def latest_per(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:

@@ -341,11 +341,21 @@ def jn10_corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.corroborated(p)
 
 
-@query()
+@query(
+    rf"""
+WITH i AS (SELECT doc_id, 'https://' || coalesce(source, 'null') || '.example.com/p/' || (doc_id % 100) AS url, substr(coalesce(text, ''), 1, 2000) AS head, split_part(coalesce(text, ''), E'\n', 1) AS title, lang, source, doc_id % 5 + 1 AS priority FROM documents),
+s AS (SELECT url, head, arg_min(struct_pack(v := lang, t := title), doc_id) AS x FROM i GROUP BY 1, 2),
+f AS (SELECT url, head, x.v AS vendor, lower(x.t) AS low, list_transform(string_split_regex(trim(regexp_replace(replace(lower(x.t), 'ß', 'ss'), '[^\p{{L}}\p{{N}}\p{{M}}_\s.-]', ' ', 'g')), '\s+'), lambda t: regexp_replace(t, '^[.-]+|[.-]+$', '', 'g')) AS t FROM s),
+g AS (SELECT url, head, vendor, sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(low, '\bv?\d+(?:\.\d+)+(?:[-.][0-9a-z]+)?\b'))), '|') || chr(0) ||
+    array_to_string(list_sort(list_distinct(list_filter(t, lambda x: length(x) > 1 AND x NOT IN ({_STOP}))))[1:8], '|') || chr(0)) AS dedup_key FROM f)
+SELECT dedup_key, g.vendor, count(*) AS items, count(DISTINCT (url, head)) AS sections, arg_min(doc_id, (priority, url, doc_id)) AS primary_id,
+       coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE source <> ''), '') AS seen_in
+FROM i JOIN g USING (url, head) GROUP BY 1, 2"""
+)
 def agg15_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.table(spark, sf_dir, "documents")
     items = d.select(F.col("doc_id").alias("item_id"), F.format_string("https://%s.example.com/p/%d", "source", F.col("doc_id") % 100).alias("url"), F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("title"), F.col("text").alias("body"), F.col("lang").alias("vendor"), F.lit(None).cast("string").alias("change_type"), (F.col("doc_id") % 5 + 1).alias("priority"), F.lit(None).cast("timestamp").alias("published_at"), F.col("source").alias("source_id"), F.col("doc_id").alias("seq"))
-    return identity.clusters(items)
+    return identity.clusters(items).select("dedup_key", "vendor", "items", "sections", "primary_id", F.array_join("seen_in", ",").alias("seen_in"))
 
 
 # evidence and decisions
@@ -443,7 +453,14 @@ def win01_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rank(_scored(spark, sf_dir)).select("signal_id", "score", "rank")
 
 
-@query()
+@query(
+    S.CORPUS
+    + """
+, w AS (SELECT *, regexp_extract(text, 'acme-[0-9]+[.][0-9]+') AS id FROM corpus
+        WHERE change_type IN ('deprecation', 'breaking_change') AND event_date > DATE '2001-02-01' AND event_date <= DATE '2001-02-01' + 120 ORDER BY event_date, statement_id LIMIT 200)
+SELECT event_date, vendor, arg_min(text, (length(text), text)) AS text, arg_min(source_url, (length(text), text)) AS source_url, 1::BIGINT AS identifiers
+FROM w GROUP BY event_date, vendor, id ORDER BY event_date, min(statement_id) LIMIT 3"""
+)
 def agg16_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.upcoming(S.corpus(spark, sf_dir), S.AS_OF)
 
@@ -519,7 +536,7 @@ def stm07_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.diagnose(S.runs(spark, sf_dir), S.NOW).select("run_id", "state", "action")
 
 
-@query(S.RUNS + " SELECT run_id, lead(started_at) OVER (PARTITION BY for_date ORDER BY started_at, run_id) IS NOT NULL AS superseded FROM runs")
+@query(S.RUNS + " SELECT run_id, started_at < (SELECT max(started_at) FROM runs) AS superseded FROM runs")
 def win07_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.superseded(S.runs(spark, sf_dir)).select("run_id", "superseded")
 
@@ -544,12 +561,38 @@ def agg31_stars_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
 # dates and sources
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS value, 'day' AS precision, last_day(o_orderdate::DATE) AS month_end FROM orders")
+#: Ways to print a date (after, before), with what a reader may take from each: day, month, year, or a day without its year.
+_PRINTED = (
+    ("Posted ", "yyyy-MM-dd", "T07:00:00Z for all", "day"),
+    ("Posted ", "MMMM d, yyyy", " for all", "day"),
+    ("Posted ", "d MMM yyyy", " for all", "day"),
+    ("On ", "MMM.d, yyyy", ".", "day"),
+    ("Week of ", "MMMM d'-29, 'yyyy", ", early.", "day"),
+    ("Seen ", "yyyy-M-d", "", "day"),
+    ("In ", "MMMM, yyyy", " we moved", "month"),
+    ("Build ", "yyyy-MM", " is out", "month"),
+    ("Until ", "MMMM d", "th only", "inferred"),
+    ("Until the ", "d'th' MMM", " only", "inferred"),
+    ("", "yyyy", " roadmap", "year"),
+    ("Our marketing ", "yyyy", " plan", None),
+    ("A decision ", "yyyy", " by the Mayor", None),
+)
+
+
+@query(
+    f"""
+WITH k AS (SELECT o_orderkey, o_orderdate::DATE AS d, (o_orderkey % {len(_PRINTED)})::INT AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k <= 5 THEN d WHEN k <= 7 THEN date_trunc('month', d)::DATE WHEN k = 10 AND year(d) >= 2000 THEN date_trunc('year', d)::DATE END AS value,
+       CASE WHEN k <= 5 THEN 'day' WHEN k <= 7 THEN 'month' WHEN k <= 9 THEN 'inferred' WHEN k = 10 AND year(d) >= 2000 THEN 'year' END AS precision,
+       CASE WHEN k <= 9 THEN month(d) END AS month, CASE WHEN k <= 5 OR k IN (8, 9) THEN day(d) END AS day,
+       CASE WHEN k <= 5 THEN d WHEN k <= 7 THEN last_day(d) WHEN k IN (8, 9) THEN CASE WHEN month(d) = 2 AND day(d) = 29 THEN NULL ELSE make_date(2001, month(d), day(d)) END WHEN k = 10 AND year(d) >= 2000 THEN make_date(year(d), 12, 31) END AS period_end FROM k"""
+)
 def fn30_parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")
-    shapes = F.array(*[F.concat(F.lit("Posted "), F.date_format("o_orderdate", f), F.lit(" for all")) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "d MMM yyyy", "MMM d yyyy")])
-    d = D.parse_date_fragment(F.element_at(shapes, (F.col("o_orderkey") % 4 + 1).cast("int")))
-    return o.select("o_orderkey", d.alias("d")).select("o_orderkey", "d.value", "d.precision", D.period_end(F.col("d.value"), F.lit("month")).alias("month_end"))
+    shapes = F.array(*[F.concat(F.lit(a), F.date_format("o_orderdate", f), F.lit(b)) for a, f, b, _ in _PRINTED])
+    o = o.select("o_orderkey", D.parse_date_fragment(F.element_at(shapes, (F.col("o_orderkey") % len(_PRINTED) + 1).cast("int"))).alias("d"))
+    placed = o.withColumn("p", D.with_year(F.col("d"), F.lit(2001)))
+    return placed.select("o_orderkey", "d.value", "d.precision", "d.month", "d.day", D.period_end(F.col("p.value"), F.col("p.precision")).alias("period_end"))
 
 
 @query("SELECT n_nationkey, unnest(generate_series(date_trunc('month', DATE '2024-03-10' - (n_nationkey * 30)::INT)::TIMESTAMP, TIMESTAMP '2024-03-01', INTERVAL 1 MONTH))::DATE AS month FROM nation")
@@ -569,9 +612,9 @@ def fn19_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "t.title", F.length("t.text").cast("long").alias("chars"), F.sha2("t.text", 256).alias("text_sha256"))
 
 
-@query("SELECT o_orderkey, 'https://x.example.com/log' AS url, o_orderdate::DATE AS event_date, 'day' AS date_precision FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, 'https://x.example.com/log' AS url, o_orderdate::DATE AS event_date, 'day' AS date_precision FROM orders")
 def tf01_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = S.table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = S.table(spark, sf_dir, "orders")
     html = F.format_string("<html><body><nav>2001-01-01</nav><h2 id='o%d'>Order %d, %s</h2><p>Some text long enough to keep.</p><h2>No day</h2><p>Other text that is here.</p></body></html>", "o_orderkey", "o_orderkey", F.date_format("o_orderdate", "MMMM d, yyyy"))
     out = parsers.page_sections(o.select(F.lit("https://x.example.com/log").alias("url"), html.alias("html")))
     return out.select(F.regexp_extract("anchor", r"o(\d+)", 1).cast("long").alias("o_orderkey"), "url", "event_date", "date_precision")

@@ -54,9 +54,9 @@ def src13_failing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("source_id").cast("long").alias("source_id"), F.col("error").isNotNull().alias("failed"), "title")
 
 
-@query("SELECT o_orderkey, 'T' || o_orderkey AS title, 'B' || o_orderkey AS raw_text, o_orderdate::DATE::VARCHAR AS published FROM orders WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, 'T' || o_orderkey AS title, 'B' || o_orderkey AS raw_text, o_orderdate::DATE::VARCHAR AS published FROM orders")
 def src04_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = S.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = S.table(spark, sf_dir, "orders")
     entry = F.format_string("<item><title>T%d</title><link>https://f/%d</link><description>B%d</description><pubDate>%s</pubDate></item>", "o_orderkey", "o_orderkey", "o_orderkey", F.to_date("o_orderdate").cast("string"))
     feeds = o.groupBy(F.floor(F.col("o_orderkey") / 200)).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(entry), ""), F.lit("</channel></rss>")).alias("body"))
     return parsers.feed_entries(feeds).select(F.substring_index("url", "/", -1).cast("long").alias("o_orderkey"), "title", "raw_text", "published")
@@ -114,11 +114,10 @@ def win09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.batches(d, "source")
 
 
-@query("SELECT doc_id, 1 AS chunks, length(coalesce(text, '')) AS chars FROM documents WHERE length(coalesce(text, '')) <= 24000")
+@query()
 def win10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.table(spark, sf_dir, "documents").withColumn("c", collect.chunk_expression(F.coalesce("text", F.lit(""))))
-    kept = d.filter(F.length(F.coalesce("text", F.lit(""))) <= collect.CHUNK)
-    return kept.select("doc_id", F.size("c").alias("chunks"), F.length(F.array_join("c", "\n")).cast("long").alias("chars"))
+    return d.select("doc_id", F.size("c").alias("chunks"), F.length(F.array_join("c", "\n")).cast("long").alias("chars"))
 
 
 # extraction
@@ -139,9 +138,9 @@ def ext11_fact_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.check_facts(m, ("sunset_date", "version")).select("material_id", "kind", "value_date", "reason")
 
 
-@query("SELECT o_orderkey AS material_id, o_orderdate::DATE AS value_date, 'sunset_date' AS kind, NULL::VARCHAR AS reason FROM orders WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey AS material_id, o_orderdate::DATE AS value_date, 'sunset_date' AS kind, NULL::VARCHAR AS reason FROM orders")
 def ext04_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = S.table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0")
+    o = S.table(spark, sf_dir, "orders")
     m = o.select(F.col("o_orderkey").alias("material_id"), F.concat(F.lit("The old model of this family will be shut down on "), F.to_date("o_orderdate").cast("string"), F.lit(" for everybody.")).alias("text"))
     return extract.check_facts(extract.ask(m, extract.rule_backend), ("sunset_date",)).select("material_id", "value_date", "kind", "reason")
 
@@ -178,10 +177,12 @@ def ext07_type_and_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("statement_id", extract.corrected_type(raw, has).alias("change_type"), extract.needs_escalation(F.col("change_type"), F.col("event_date"), has).alias("escalate"))
 
 
-@query("SELECT doc_id, (doc_id % 7 = 0 OR lang = 'en' AND false) AS sample, 0::BIGINT AS offenders FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS offenders FROM documents")
 def fil11_quantifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.select("doc_id", (F.col("doc_id") % 7 == 0).alias("sample"), F.size(evidence.unsupported_quantifiers(F.col("text"))).cast("long").alias("offenders"))
+    """Documents with sentences added that must be found (one or two) or must not (a number supports the phrase)."""
+    added = F.when(F.col("doc_id") % 5 == 0, " Вендор всё чаще меняет цены. Это новость.").when(F.col("doc_id") % 5 == 1, " Цены всё чаще растут. Лимиты всё чаще падают!").when(F.col("doc_id") % 5 == 2, " Цены всё чаще растут: 12 раз за год.").otherwise("")
+    d = S.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.size(evidence.unsupported_quantifiers(F.concat(F.coalesce("text", F.lit("")), F.lit("."), added))).cast("long").alias("offenders"))
 
 
 # accounting and state
@@ -296,10 +297,10 @@ def fn17_context_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.CORPUS
     + """
 , g AS (SELECT vendor, change_type, count(*) AS n FROM corpus WHERE event_date IS NOT NULL GROUP BY 1, 2)
-SELECT vendor, change_type, change_type || ':' || n AS cell FROM g WHERE vendor < 'NATION_2' ORDER BY n DESC, vendor"""
+SELECT vendor, change_type, change_type || ':' || n AS cell FROM g ORDER BY n DESC, vendor"""
 )
 def srt02_trend_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = trends.candidates(S.corpus(spark, sf_dir), S.AS_OF).filter("vendor < 'NATION_2'")
+    c = trends.candidates(S.corpus(spark, sf_dir), S.AS_OF)
     return c.orderBy(F.desc("members"), "vendor").select("vendor", "change_type", F.concat_ws(":", "change_type", "members").alias("cell"))
 
 

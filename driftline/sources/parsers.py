@@ -95,7 +95,10 @@ def html_to_text(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"title": [" ".join(d.title.split()) for d in docs], "text": [_tidy(d.text) for d in docs]})
 
 
-_DATE = re.compile(r"\d{4}-\d{2}(?:-\d{2})?|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(?:\d{1,2},?\s+)?\d{4}|\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}", re.I)
+_DATE = re.compile(
+    rf"\d{{4}}-\d{{1,2}}(?:-\d{{1,2}})?(?![\d-])|{D.MONTH}{D.GAP}\d{{1,2}}{D.ORDINAL}(?:{D.DASH}(?:{D.MONTH}\.?\s+)?\d{{1,2}}{D.ORDINAL})?,?\s+\d{{4}}\b|\d{{1,2}}{D.ORDINAL}\s+{D.MONTH}\.?,?\s+\d{{4}}\b|{D.MONTH}\.?,?\s+\d{{4}}\b",
+    re.I,
+)
 
 
 def _marked(text: str) -> list[tuple[str, str, str, str]]:
