@@ -31,7 +31,8 @@ def price_ratio(critical: tuple[float, float], base: tuple[float, float]) -> flo
 
 def backoff(attempt: Column, retry_after: Column) -> Column:
     """Seconds to wait: what the server says, within a minute, else two to the power of the attempt."""
-    return F.coalesce(F.least(F.lit(MAX_WAIT_SECONDS), F.greatest(F.lit(0.0), retry_after.try_cast("double"))), F.pow(F.lit(2.0), attempt))
+    told = retry_after.try_cast("double")
+    return F.when(told.isNotNull(), F.least(F.lit(MAX_WAIT_SECONDS), F.greatest(F.lit(0.0), told))).otherwise(F.pow(F.lit(2.0), attempt))
 
 
 def ingested_slots(corpus: DataFrame) -> DataFrame:
