@@ -47,11 +47,17 @@ def rule_backend(texts: pd.Series) -> pd.Series:
 
 
 def ask(materials: DataFrame, backend: Callable[[pd.Series], pd.Series], text: str = "text") -> DataFrame:
-    """Materials with the backend's answer parsed as facts; fences around JSON are stripped, malformed answers give null."""
+    """Materials with the backend's answer parsed as facts; fences around JSON are stripped, malformed answers give null.
+
+    A backend that raises never stops the stage: its batch has no answers.
+    """
 
     @F.pandas_udf("string")
     def call(texts: pd.Series) -> pd.Series:
-        return backend(texts)
+        try:
+            return backend(texts)
+        except Exception:  # no answer
+            return pd.Series([None] * len(texts), dtype=object)
 
     raw = F.regexp_replace(call(F.col(text)), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     return materials.withColumn("facts", F.from_json(raw, ANSWER))

@@ -49,6 +49,11 @@ def clusters(items: DataFrame) -> DataFrame:
     return merged.select(id_.alias("cluster_id"), F.col("signature").alias("dedup_key"), "vendor", "change_type", "items", "sections", F.col("lead.id").alias("primary_id"), F.array_sort(F.array_distinct(F.flatten("seen"))).alias("seen_in"))
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """Clusters by id, so that a rerun prints the same sequence."""
+    return found.orderBy("cluster_id")
+
+
 def vendor_from_alias(names: DataFrame, aliases: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``vendor``: the exact folded alias, else for names of up to six words the longest alias contained in it.
 

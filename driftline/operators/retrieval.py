@@ -57,6 +57,18 @@ def report(requests: DataFrame, corpus: DataFrame, windows: Sequence[int] = WIND
     return out.select("request_id", "vendor", "change_type", "as_of", window.cast("long").alias("window_days"), zero(pick("n")).alias("total_found"), F.least(zero(pick("rows")), F.lit(page)).alias("shown"), zero(F.col("relaxed")).alias("relaxed_hits"), pick("first").alias("earliest"))
 
 
+def relaxed_only(requests: DataFrame, corpus: DataFrame, excluded: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """``request_id, statement_id``: what a request finds under neighbouring types and not under its own, in the widest window.
+
+    Superseded and ``excluded`` statements are left out by anti-joins, which null ids cannot upset.
+    """
+    gone = corpus.filter("supersedes is not null").select(F.col("supersedes").alias("statement_id")).unionByName(excluded.select("statement_id"))
+    usable = corpus.filter("event_date is not null").join(gone, "statement_id", "left_anti")
+    wanted = requests.withColumn("type", F.explode(F.array_remove(relaxed_types(F.col("change_type")), F.col("change_type"))))
+    same = (F.col("r.vendor") == F.col("c.vendor")) & (F.col("r.type") == F.col("c.change_type")) & in_window(F.col("c.event_date"), F.col("r.as_of"), max(windows))
+    return wanted.alias("r").join(usable.alias("c"), same).select("r.request_id", "c.statement_id")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", terms: str = "terms") -> DataFrame:
     """``query_id, doc_id, score`` of documents that hold any of a query's terms; df, N and mean length are those of the whole corpus.
 

@@ -27,7 +27,23 @@ def _lookup(weights: dict[str, int], key: Column) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(0.0))
 
 
-def score(signals: DataFrame, as_of: date, stack: Sequence[str] = ()) -> DataFrame:
+def authority(priority: Column, shares: dict[int, float] | None = None) -> Column:
+    """Points of a source: by the configured share of its priority (0 to 1), else one over the priority; none without one."""
+    table = F.create_map(*[F.lit(x) for k, v in (shares or {}).items() for x in (k, min(1.0, max(0.0, float(v))))]) if shares else F.lit(None)
+    given = F.try_element_at(table, priority.cast("int")) if shares else F.lit(None).cast("double")
+    share = F.coalesce(given, F.when(priority > 0, 1.0 / priority).when(priority.isNotNull(), 1.0))
+    return F.coalesce(AUTHORITY * share, F.lit(0.0))
+
+
+def rationale_sentence(named: Column, details: dict[str, str], empty: str) -> Column:
+    """The named factors (``rationale``) in words, as one sentence; a constant where none is named."""
+    table = F.create_map(*[F.lit(x) for kv in details.items() for x in kv])
+    words = F.filter(F.transform(F.split(named, ", "), lambda k: F.try_element_at(table, k)), lambda w: w.isNotNull())
+    joined = F.array_join(words, ", ")
+    return F.when(F.coalesce(joined, F.lit("")) == "", empty).otherwise(F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 30)))
+
+
+def score(signals: DataFrame, as_of: date, stack: Sequence[str] = (), shares: dict[int, float] | None = None) -> DataFrame:
     """Adds the five factors, ``score`` 0..100, ``tier`` and ``rationale`` (the named factors by weight).
 
     Columns read: ``change_type, due (date), vendor, product, source_priority, delta_status``. A missing value makes its factor 0
@@ -41,7 +57,7 @@ def score(signals: DataFrame, as_of: date, stack: Sequence[str] = ()) -> DataFra
         "change_type": _lookup(CHANGE, F.col("change_type")),
         "urgency": F.coalesce(URGENCY * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (HORIZON - days) / HORIZON)), F.lit(0.0)),
         "stack_overlap": F.when(overlap, STACK).otherwise(0.0),
-        "source_authority": F.coalesce(AUTHORITY * F.when(priority > 0, 1.0 / priority).when(priority.isNotNull(), 1.0), F.lit(0.0)),
+        "source_authority": authority(priority, shares),
         "novelty": _lookup(NOVELTY, F.col("delta_status")),
     }
     out = signals.withColumns({f"p_{k}": v for k, v in points.items()})

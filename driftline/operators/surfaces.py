@@ -68,6 +68,14 @@ def messages(signals: DataFrame, by: str = "run_id", cards: int = CARDS, limit:
     return grouped.select(by, fit.alias("message"))
 
 
+def mail(signals: DataFrame, by: str = "run_id") -> DataFrame:
+    """A plain mail per run: all cards in rank order, with their number and the first title as the subject."""
+    line = F.concat(F.lit("- "), F.col("title"), F.lit("\n  "), safe_url(F.col("url")))
+    rows = signals.withColumn("_l", line).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "title", "_l"))).alias("_c"))
+    subject = F.concat(F.size("_c").cast("string"), F.lit(" - "), F.get("_c", F.lit(0))["title"])
+    return rows.select(by, subject.alias("subject"), F.array_join(F.transform("_c", lambda c: c["_l"]), "\n").alias("body"))
+
+
 def site(signals: DataFrame, by: str = "run_id") -> DataFrame:
     """One HTML page per run: cards in rank order, escaped."""
     card = F.concat(F.lit('<article><h2><a href="'), safe_url(F.col("url")), F.lit('">'), escape(F.col("title")), F.lit("</a></h2></article>"))
