@@ -107,9 +107,10 @@ def agg26_duplicate_event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vendor, change_type, count(gap) AS gaps, max(gap)::BIGINT AS longest, sum(gap)::BIGINT AS span FROM d GROUP BY 1, 2"""
 )
 def win02_event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = S.corpus(spark, sf_dir).filter("event_date is not null").groupBy("vendor", "change_type").agg(F.array_sort(F.collect_list("event_date")).alias("d"))
-    gaps = F.transform(F.slice("d", 2, F.greatest(F.size("d") - 1, F.lit(0))), lambda x, i: F.datediff(x, F.get("d", i)))
-    return cells.select("vendor", "change_type", F.size(gaps).cast("long").alias("gaps"), F.array_max(gaps).cast("long").alias("longest"), F.datediff(F.array_max("d"), F.array_min("d")).cast("long").alias("span"))
+    cells = trends.event_days(S.corpus(spark, sf_dir))
+    longest = F.greatest(F.array_max(trends.gaps(F.col("days"))), F.when(F.col("members") > F.size("days"), 0))  # events of one day are no days apart
+    span = F.datediff(F.element_at("days", -1)["event_date"], F.get("days", F.lit(0))["event_date"])
+    return cells.select("vendor", "change_type", (F.col("members") - 1).alias("gaps"), longest.cast("long").alias("longest"), F.when(F.col("members") > 1, span).cast("long").alias("span"))
 
 
 # retrieval

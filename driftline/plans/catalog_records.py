@@ -142,7 +142,7 @@ _TRENDS = """
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.trend_members(S.corpus(spark, sf_dir)).withColumn("trend_id", F.concat_ws("/", "vendor", "change_type"))
+    return records.trend_members(S.corpus(spark, sf_dir)).withColumn("trend_id", trends.trend_id(F.col("vendor"), F.col("change_type")))
 
 
 @query(S.CORPUS + _TRENDS + " SELECT vendor, change_type, n AS members, first, sha256(array_to_string(ids, ',')) AS member_ids FROM m")
@@ -155,8 +155,8 @@ def agg07_trend_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.CORPUS
     + _TRENDS
     + """
-, kept AS (SELECT vendor || '/' || change_type AS trend_id, n AS members FROM m WHERE change_type <> 'other'),
-old AS (SELECT vendor || '/' || change_type AS trend_id, 0 AS members FROM m WHERE change_type IN ('other', 'pricing'))
+, kept AS (SELECT substr(sha256(vendor || chr(0) || change_type || chr(0)), 1, 20) AS trend_id, n AS members FROM m WHERE change_type <> 'other'),
+old AS (SELECT substr(sha256(vendor || chr(0) || change_type || chr(0)), 1, 20) AS trend_id, 0 AS members FROM m WHERE change_type IN ('other', 'pricing'))
 SELECT kept.trend_id, kept.members, CASE WHEN old.trend_id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM kept LEFT JOIN old USING (trend_id)
 UNION ALL SELECT trend_id, members, 'deleted' FROM old WHERE trend_id NOT IN (SELECT trend_id FROM kept)"""
 )
@@ -166,7 +166,7 @@ def snk05_refreshed_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.refresh_trends(stored, m.filter("change_type != 'other'").select("trend_id", "members"))
 
 
-@query(S.CORPUS + " SELECT statement_id, CASE WHEN event_date IS NOT NULL AND change_type <> 'release' THEN vendor || '/' || change_type END AS trend_id FROM corpus")
+@query(S.CORPUS + " SELECT statement_id, CASE WHEN event_date IS NOT NULL AND change_type <> 'release' THEN substr(sha256(vendor || chr(0) || change_type || chr(0)), 1, 20) END AS trend_id FROM corpus")
 def jn14_trend_of_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.trend_of(S.corpus(spark, sf_dir).select("statement_id"), _members(spark, sf_dir).filter("change_type != 'release'"))
 
