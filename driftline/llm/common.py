@@ -100,11 +100,11 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def merge_span_rows(spans: DataFrame) -> DataFrame:
-    """``_k, spans``: rows ``_k, s, e`` (half-open) merged to maximal runs, in order."""
-    order = Window.partitionBy("_k").orderBy("s", "e")
+def merge_span_rows(spans: DataFrame, by: tuple[str, ...] = ("_k",)) -> DataFrame:
+    """``spans`` by the columns ``by``: their rows ``s, e`` (half-open) merged to maximal runs, in order."""
+    order = Window.partitionBy(*by).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("_new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
     runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    one = runs.groupBy("_k", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return one.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    one = runs.groupBy(*by, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return one.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))

@@ -198,12 +198,29 @@ def test_word_windows(docs, texts, batches):
 
 
 def test_index_compacts_runs(spark, docs):
-    index = window_index.FingerprintIndex(spark, shared_dir(spark))
+    index = window_index.FingerprintIndex.open(spark, f"{shared_dir(spark)}/index")
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_d"), F.xxhash64("doc_id", "text").alias("_k"), F.col("text").alias("_text"))
     for i in range(4):
-        window_index.add_batch(index, rows.filter(F.col("_d") % 4 == i), rows)
-    assert [level for level, _ in index.runs] == [1]
-    assert index.read().groupBy("anchor", "ctx").count().filter("count > 1").isEmpty()
+        window_index.add_batch(index, rows.filter(F.col("_d") % 4 == i))
+    assert [level for level, _ in index.runs] == [1] and len(index.store) == 4
+    assert index.read([index.runs[0][1]]).groupBy("anchor", "ctx", "sig").count().filter("count > 1").isEmpty()
+
+
+def test_index_reopens(spark, docs):
+    """A later session finds the runs and the texts in the index's folder, and meets them without moving them."""
+    folder = f"{shared_dir(spark)}/index"
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_d"), F.xxhash64("doc_id", "text").alias("_k"), F.col("text").alias("_text"))
+    index = window_index.FingerprintIndex.open(spark, folder)
+    first = {r._d: r.spans for r in window_index.add_batch(index, rows.filter("_d < 14")).collect()}
+    for name in [index.runs[0][1], *index.store]:
+        spark.sql(f"DROP TABLE {index.table(name)}")
+    again = window_index.FingerprintIndex.open(spark, folder)
+    assert (again.buckets, again.runs, again.store) == (index.buckets, index.runs, index.store)
+    both = again.read([again.runs[0][1]]).withColumn("n", F.count("*").over(window_index.Window.partitionBy("anchor")))
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    later = {r._d: r.spans for r in window_index.add_batch(again, rows.filter("_d >= 14")).collect()}
+    # the passage of 90 words stands in documents 10 to 17: the first keeps it
+    assert 10 not in first and {11, 12, 13} <= set(first) and {14, 15, 16, 17} <= set(later)
 
 
 def test_line_templates(spark):
