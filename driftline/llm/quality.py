@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACES, words
+from driftline.llm.common import SPACES, materialise, words
 
 #: The symbols that count, and the base limits of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -24,17 +24,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text, the first occurrence included."""
-    grams = F.when(
+    """Words inside 3-word windows that occur twice or more in the text, the first occurrence included.
+
+    Windows are known by a 64-bit hash: a text whose hashes all differ repeats nothing, and in others windows of one hash
+    count only if their words are equal.
+    """
+    hashes = F.when(
         F.size(w) >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")),
-        ),
-    ).otherwise(F.expr("cast(array() as array<struct<g:string,i:int>>)"))
+        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
+    ).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["h"] == b["h"]) & (F.get(w, a["i"]) == F.get(w, b["i"])) & (F.get(w, a["i"] + 1) == F.get(w, b["i"] + 1)) & (F.get(w, a["i"] + 2) == F.get(w, b["i"] + 2))
 
     def starts(s: Column) -> Column:
-        twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"]))
+        twice = F.filter(s, lambda x, j: same(F.get(s, j - 1), x) | same(F.get(s, j + 1), x))
         return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
     covered = lambda p: F.aggregate(
@@ -42,7 +46,8 @@ def _repeat_words(w: Column) -> Column:
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")),
     )["n"]
-    return covered(_let(F.sort_array(grams), starts))
+    places = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(_let(places(h), starts))))
 
 
 def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -120,13 +125,15 @@ def line_rules(
             "_s": F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")),
         }
     )
-    lines = tagged.select("_k", "_s", F.explode(_lines(tagged, text)).alias("_line")).select("_k", "_s", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w"))
+    # stored, so that texts are cut into lines once
+    cut = tagged.select("_k", "_s", F.xxhash64(F.col(text)).alias("_t"), F.explode(_lines(tagged, text)).alias("_line"))
+    lines = materialise(cut.select("_k", "_s", "_t", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w")), "lines")
     hosts = tagged.groupBy("_s").agg(F.count_distinct(F.xxhash64(F.col(text))).alias("_texts"))
-    seen = tagged.select("_s", F.xxhash64(F.col(text)).alias("_t"), F.explode(F.array_distinct(F.transform(_lines(tagged, text), lambda x: x["h"]))).alias("_h")).distinct()
+    seen = lines.select("_s", "_t", "_h").distinct()
     many = seen.groupBy("_s", "_h").count().filter(F.col("count") > min_docs)
     bad = many.join(hosts, "_s").filter(F.col("count") > max_share * F.col("_texts")).select("_s", "_h", F.lit(True).alias("_bad"))
     lost = (
-        lines.join(bad, ["_s", "_h"], "left")
+        lines.drop("_t").join(bad, ["_s", "_h"], "left")
         .groupBy("_k")
         .agg(F.sum(F.when(F.col("_bad"), F.col("_w")).otherwise(0)).alias("_b"), F.sum("_w").alias("_all"), F.collect_set(F.when(F.col("_bad"), F.col("_h"))).alias("_gone"))
         .filter("_b > 0")
