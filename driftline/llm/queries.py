@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import decontaminate, line_templates, mixing, quality, simhash, suffix_dedup, toxicity, url_filter, warc, window_index
-from driftline.llm.common import read
+from driftline.llm import decontaminate, lexical_search, line_templates, mixing, periodic, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc, window_index
+from driftline.llm.common import read, words
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,39 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "contaminated", F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"), F.array_max(F.transform("leaks", lambda x: x["covered"])).alias("covered"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth document by the hash of its key repeats a stretch of its words to its end; keys that are null have no hash."""
+    w, h = words(F.col("text")), F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    cut = docs.select("doc_id", "text", w.alias("w"), h.alias("h")).select("*", F.size("w").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    cut = cut.withColumn("a", (F.col("g") % F.when(F.col("n") > 0, F.col("n"))).cast("int")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    looped = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a) div p + 1 as int))), 1, n - a))")
+    return cut.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_periods(read(spark, sf_dir, "documents")))
+    best = F.try_element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(1))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("best.shorter")
+    return out.select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.prefix_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_url_filter": op2_url_filter,
@@ -78,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -194,3 +230,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 AS kept, round(lost, 6) AS line_words_lost
 FROM b
 """
+
+ORACLES["op11_periodic_runs"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+c AS (
+  SELECT rid, doc_id, v, len(v) AS n,
+         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+             lambda r, b: list_reduce(range(8), lambda s, k: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END), xor(r, b)), 4294967295)) AS h
+  FROM d),
+a AS (SELECT *, (h // 10) % n AS a, (h // 10) % 8 AS z FROM c WHERE h % 10 = 0 AND n > 0),
+b AS (SELECT *, 1 + (n - a) // (3 + z) AS p FROM a),
+t AS (
+  SELECT rid, list_transform(range(n), lambda i: CASE WHEN i < a THEN v[i + 1] ELSE v[a + (i - a) % p + 1] END) AS w FROM b
+  UNION ALL SELECT rid, v FROM c WHERE rid NOT IN (SELECT rid FROM a)),
+x AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+pairs AS (SELECT l.rid, l.i, r.i - l.i AS p FROM x l JOIN x r ON l.rid = r.rid AND l.word = r.word AND l.i < r.i),
+isl AS (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS g FROM pairs),
+st AS (SELECT rid, p, min(i) AS s, count(*) + p AS l FROM isl GROUP BY rid, p, g HAVING count(*) >= p AND count(*) + p >= 12),
+runs AS (SELECT rid, s, l, min(p) AS p FROM st GROUP BY rid, s, l),
+best AS (
+  SELECT rid, count(*) AS n, arg_min({'s': s, 'l': l, 'p': p}, {'l': -l, 's': s, 'p': p}) AS b,
+         string_agg(s::VARCHAR || ',' || l::VARCHAR || ',' || p::VARCHAR || chr(10), '' ORDER BY s, p) AS rows FROM runs GROUP BY rid),
+gone AS (SELECT rid, list(DISTINCT k) AS k FROM (SELECT rid, unnest(range(s + p, s + l)) AS k FROM runs) GROUP BY rid)
+SELECT d.doc_id, coalesce(best.n, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.p::BIGINT AS period, (1000 * b.l // b.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(rows, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN k IS NULL THEN w ELSE list_filter(w, lambda y, j: NOT list_contains(k, j - 1)) END, ' ')) AS collapsed_sha256
+FROM d JOIN t USING (rid) LEFT JOIN best USING (rid) LEFT JOIN gone USING (rid)
+"""
+
+ORACLES["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+m AS (SELECT rid, doc_id, 50 + (50 * len(t) * docs) // terms AS m FROM d, s WHERE len(t) > 0),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+i AS (
+  SELECT DISTINCT item_id, text,
+         unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+r AS (
+  SELECT item_id, text, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
