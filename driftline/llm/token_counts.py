@@ -29,9 +29,9 @@ from driftline.llm.common import materialise, small_batches
 
 #: The contractions of the byte-level rule, and its three classes of characters.
 CONTRACTION = r"'(?:s|t|re|ve|m|ll|d)"
-PIECE = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+LETTERS, OTHERS = r"\p{L}+", r"\p{N}+|[^\s\p{L}\p{N}]+"
 #: Units remembered by a worker; longer ones than LONG characters are not. Results don't depend on either.
-REMEMBERED, LONG = 200_000, 64
+REMEMBERED, LONG = 400_000, 64
 
 _NEVER = 1 << 60
 
@@ -43,6 +43,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _frozen(grown: dict[int, list]) -> dict[int, tuple]:
+    """A tree of bytes in tuples, the many empty ends being one."""
+    return {b: (i, _frozen(f) if f else _END) for b, (i, f) in grown.items()}
+
+
+_END: dict[int, tuple] = {}
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary in the ``tokenizers`` library's JSON form, and the counts of prefixes under it."""
 
@@ -62,16 +70,14 @@ class Vocabulary:
 
         special = {t["content"] for t in added}
         self.ids = {data(t): i for t, i in model["vocab"].items() if t not in special}
-        #: tokens as a tree of bytes: node << 8 | byte to the next node, and the token that ends at a node (or -1)
-        self.next: dict[int, int] = {}
-        self.token = [-1]
+        #: tokens as a tree of bytes: of a byte, the token that ends there (or -1) and the bytes that follow
+        grown: dict[int, list] = {}
         for token, i in self.ids.items():
-            node = 0
+            node = [-1, grown]
             for byte in token:
-                node = self.next.setdefault(node << 8 | byte, len(self.token))
-                if node == len(self.token):
-                    self.token.append(-1)
-            self.token[node] = i
+                node = node[1].setdefault(byte, [-1, {}])
+            node[0] = i
+        self.tree = _frozen(grown)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         #: rank of the merge of two tokens, and the merge that makes a token
         self.rank: dict[tuple[int, int], int] = {}
@@ -86,9 +92,11 @@ class Vocabulary:
         self._edges: tuple[dict, dict] = ({}, {})
         self._beside: dict[int, bool] = {}
         self._kept: dict[int, bool] = {}
+        #: steps of units met lately, and of those met before them
         self._steps: dict[str, bytes] = {}
-        self._units = regex.compile(rf"\s*+(?:(?<! ){CONTRACTION}|{PIECE})|\s+")
-        self._unit = regex.compile(rf"(\s*+)(?:((?<! ){CONTRACTION})|({PIECE}))?")
+        self._older: dict[str, bytes] = {}
+        self._units = regex.compile(rf"\s*+(?:{LETTERS}|(?<! ){CONTRACTION}|{OTHERS})|\s+")
+        self._unit = regex.compile(rf"(\s*+)(?:((?<! ){CONTRACTION})|({LETTERS}|{OTHERS}))?")
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at the right (0) or left (1) end while ``token`` comes about, with the rank at which each is merged away."""
@@ -122,28 +130,35 @@ class Vocabulary:
             self._kept[token] = found
         return found
 
+    def _stands(self, left: int, token: int) -> bool:
+        """Whether a token stands beside its left neighbour (shifted; below 0: none), remembered."""
+        if len(self._beside) >= 8 * REMEMBERED:
+            self._beside.clear()
+        found = self._beside[left | token] = self._whole(token) and (left < 0 or not self._crossed(left >> 32, token, _NEVER))
+        return found
+
     def _piece(self, text: str) -> list[int]:
         """Number of tokens of each prefix of a piece, the empty one first, by characters."""
         data = text.encode()
-        size, tree, tokens, beside = len(data), self.next, self.token, self._beside
+        size, tree, beside = len(data), self.tree, self._beside
         last, count = [-1] * (size + 1), [0] * (size + 1)
         for begin in range(size):
             # as begins ascend, a prefix meets its longest candidates first; one of them holds
-            left, node = last[begin], 0
+            left, many, follows, end = last[begin], count[begin] + 1, tree, begin
             if begin and left < 0:
                 raise ValueError("the vocabulary does not hold all bytes")
-            for end in range(begin, size):
-                node = tree.get(node << 8 | data[end])
-                if node is None:
+            left <<= 32
+            for byte in data[begin:]:
+                if (found := follows.get(byte)) is None:
                     break
-                if (token := tokens[node]) >= 0 and last[end + 1] < 0:
-                    stands = beside.get(key := left << 32 | token)
+                end += 1
+                token, follows = found
+                if last[end] < 0 <= token:
+                    stands = beside.get(left | token)
                     if stands is None:
-                        if len(beside) >= 8 * REMEMBERED:
-                            beside.clear()
-                        stands = beside[key] = self._whole(token) and (left < 0 or not self._crossed(left, token, _NEVER))
+                        stands = self._stands(left, token)
                     if stands:
-                        last[end + 1], count[end + 1] = token, count[begin] + 1
+                        last[end], count[end] = token, many
         if len(data) == len(text):
             return count
         return [0, *[count[end] for end in range(1, size) if data[end] & 0xC0 != 0x80], count[-1]]
@@ -151,8 +166,10 @@ class Vocabulary:
     def _prefixes(self, unit: str) -> list[int]:
         """Number of tokens of each prefix of a unit but the empty one."""
         spaces, contraction, piece = self._unit.match(unit).groups()
-        counts = self._piece(spaces)[1:] if spaces else []
         core = contraction or piece
+        if spaces == " " and core and len(unit) > 1:
+            return self._piece(unit)[1:]
+        counts = self._piece(spaces)[1:] if spaces else []
         if not core:
             return counts
         before = 0
@@ -170,16 +187,20 @@ class Vocabulary:
         """How the count grows with each character of a unit, as 32-bit numbers."""
         found = self._steps.get(unit)
         if found is None:
-            counts = self._prefixes(unit)
-            found = array("i", map(sub, counts, [0, *counts])).tobytes()
+            found = self._older.get(unit)
+            if found is None:
+                counts = self._prefixes(unit)
+                found = array("i", map(sub, counts, [0, *counts])).tobytes()
             if len(unit) <= LONG:
                 if len(self._steps) >= REMEMBERED:
-                    self._steps.clear()
+                    self._older, self._steps = self._steps, {}
                 self._steps[unit] = found
         return found
 
     def _plain(self, text: str) -> np.ndarray:
-        steps = np.frombuffer(b"".join([self._unit_steps(u) for u in self._units.findall(text)]), np.int32)
+        units = self._units.findall(text)
+        known = self._steps
+        steps = np.frombuffer(b"".join([known.get(u) or self._unit_steps(u) for u in units]), np.int32)
         return np.cumsum(steps, dtype=np.int32)
 
     def prefix_counts(self, text: str) -> np.ndarray:
