@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,50 +16,73 @@ MONTH = "(?:" + "|".join(x for m in MONTH_NAMES for x in dict.fromkeys((m, *(["s
 ORDINAL, GAP, DASH = r"(?:st|nd|rd|th)?", r"(?:\.\s*|\s+)", r"\s*[-–—]\s*"
 
 
-def _month(name: Column) -> Column:
-    short = F.create_map(*[F.lit(x) for i, m in enumerate(MONTH_NAMES, 1) for x in (m[:3], i)])
-    return F.try_element_at(short, F.substring(F.lower(name), 1, 3))
-
-
 def _date(y: Column, m: Column, d: Column) -> Column:
     """A date of three integers, or null if they make none."""
     return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
+_NAMED, _CLOSING = rf"(?P<m>{MONTH})", rf"(?P<m2>{MONTH})"
+#: The ways in which a date is printed, the most specific first, and how much of it each states.
+PRINTED = (
+    ("day", r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})(?![\d-])"),
+    ("day", rf"{_NAMED}{GAP}(?P<d>\d{{1,2}}){ORDINAL}{DASH}(?:{_CLOSING}\.?\s+)?\d{{1,2}}{ORDINAL},?\s+(?P<y>\d{{4}})\b"),
+    ("day", rf"{_NAMED}{GAP}(?P<d>\d{{1,2}}){ORDINAL},?\s+(?P<y>\d{{4}})\b"),
+    ("day", rf"(?P<d>\d{{1,2}}){ORDINAL}\s+{_NAMED}\.?,?\s+(?P<y>\d{{4}})\b"),
+    ("month", rf"{_NAMED}\.?,?\s+(?P<y>\d{{4}})\b"),
+    ("month", r"(?P<y>\d{4})-(?P<m>\d{1,2})(?!\d|-)"),
+    ("inferred", rf"{_NAMED}{GAP}(?P<d>\d{{1,2}}){ORDINAL}(?!\d)"),
+    ("inferred", rf"(?P<d>\d{{1,2}}){ORDINAL}\s+{_NAMED}\.?(?!\w)"),
+    ("year", r"^\W*(?P<y>20\d{2})\b"),
+)
+_PRINTED = [(precision, re.compile(pattern, re.IGNORECASE)) for precision, pattern in PRINTED]
+_ANY_MONTH, _ANY_DIGIT = re.compile(MONTH, re.IGNORECASE), re.compile(r"\d")
+DATE = "value date, precision string, text string, month int, day int, year_missing boolean"
+
+
+def _month_number(name: str | None) -> int | None:
+    if name is None or name.isdigit():
+        return int(name) if name else None
+    return next(i for i, m in enumerate(MONTH_NAMES, 1) if m.startswith(name[:3].lower()))
+
+
+def read_date(text: str | None) -> tuple | None:
+    """Value, precision, text, month, day and whether the year is missing; see ``parse_date_fragment``."""
+    if not text or not _ANY_DIGIT.search(text):
+        return None
+    named = bool(_ANY_MONTH.search(text))
+    for precision, pattern in _PRINTED:
+        found = pattern.search(text) if named or "(?:january" not in pattern.pattern else None
+        if not found:
+            continue
+        part = found.groupdict()
+        year, month, day = (int(part["y"]) if part.get("y") else None), _month_number(part.get("m")), (int(part["d"]) if part.get("d") else None)
+        if year is None:
+            return None, precision, found[0], month, day, True
+        if part.get("m2") and _month_number(part["m2"]) < month:
+            year -= 1  # a range over the turn of the year begins in the year before
+        try:
+            value = date(year, month or 1, day or 1)
+        except ValueError:
+            continue
+        return value, precision, found[0], month, day, False
+    return None
+
+
+def _read_dates(texts: pd.Series) -> pd.DataFrame:
+    rows = [read_date(t) or (None,) * 6 for t in texts]
+    columns = dict(zip([c.split()[0] for c in DATE.split(", ")], zip(*rows, strict=True), strict=True)) if rows else {}
+    return pd.DataFrame({c.split()[0]: pd.Series(columns.get(c.split()[0], []), dtype={"int": "Int32", "boolean": "boolean"}.get(c.split()[1], object)) for c in DATE.split(", ")})
+
+
 def parse_date_fragment(text: Column) -> Column:
     """struct(value, precision, text, month, day, year_missing) of the date that a text states; null if none.
 
     The most specific kind that the text holds wins: day with year (also as a range, which means its first day), month
-    with year, year-month, day without year (``inferred``, no value), and a year at the beginning of the text.
+    with year, year-month, day without year (``inferred``, no value), and a year at the beginning of the text. The patterns
+    run compiled, in Arrow batches: as expressions of the JVM they are more code than Spark can compile into one stage.
     """
-    t = F.coalesce(text, F.lit(""))
-    number = lambda c: F.when(c != "", c).try_cast("int")
-
-    def found(pattern: str, precision: str, year: int = 0, month: int = 0, day: int = 0, closing: int = 0, named: bool = True) -> Column:
-        part = lambda i: F.regexp_extract(t, pattern, i)
-        y = number(part(year)) if year else F.lit(None).cast("int")
-        m = (_month(part(month)) if named else number(part(month))) if month else F.lit(None).cast("int")
-        d = number(part(day)) if day else F.lit(None).cast("int")
-        if closing:  # a range over the turn of the year begins in the year before
-            y = y - F.when(_month(part(closing)) < m, 1).otherwise(0)
-        value = _date(y, F.coalesce(m, F.lit(1)), F.coalesce(d, F.lit(1))) if year else F.lit(None).cast("date")
-        stated = part(0) != ""
-        good = stated & (value.isNotNull() if year else m.isNotNull())
-        kept = [F.lit(None).cast("int")] * 2 if precision == "year" else [m, d]
-        return F.when(good, F.struct(value.alias("value"), F.lit(precision).alias("precision"), part(0).alias("text"), kept[0].alias("month"), kept[1].alias("day"), F.lit(not year).alias("year_missing")))
-
-    name = f"({MONTH})"
-    return F.coalesce(
-        found(r"(\d{4})-(\d{1,2})-(\d{1,2})(?![\d-])", "day", 1, 2, 3, named=False),
-        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL}{DASH}(?:{name}\.?\s+)?\d{{1,2}}{ORDINAL},?\s+(\d{{4}})\b", "day", 4, 1, 2, 3),
-        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL},?\s+(\d{{4}})\b", "day", 3, 1, 2),
-        found(rf"(?i)(\d{{1,2}}){ORDINAL}\s+{name}\.?,?\s+(\d{{4}})\b", "day", 3, 2, 1),
-        found(rf"(?i){name}\.?,?\s+(\d{{4}})\b", "month", 2, 1),
-        found(r"(\d{4})-(\d{1,2})(?!\d|-)", "month", 1, 2, named=False),
-        found(rf"(?i){name}{GAP}(\d{{1,2}}){ORDINAL}(?!\d)", "inferred", 0, 1, 2),
-        found(rf"(?iU)(\d{{1,2}}){ORDINAL}\s+{name}\.?(?!\w)", "inferred", 0, 2, 1),
-        found(r"(?U)^\W*(20\d{2})\b", "year", 1),
-    )
+    found = F.pandas_udf(_read_dates, DATE)(text)
+    return F.when(found["precision"].isNotNull(), found)
 
 
 def with_year(parsed: Column, year: Column) -> Column:

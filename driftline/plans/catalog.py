@@ -607,20 +607,6 @@ def fil01_collection_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.filter(parsers.fresh(F.col("published"), F.lit(S.NOW))).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-@query()
-def fn19_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.table(spark, sf_dir, "pages").select("page_id", parsers.html_to_text("html").alias("t"))
-    return p.select("page_id", "t.title", F.length("t.text").cast("long").alias("chars"), F.sha2("t.text", 256).alias("text_sha256"))
-
-
-@query("SELECT o_orderkey, 'https://x.example.com/log' AS url, o_orderdate::DATE AS event_date, 'day' AS date_precision FROM orders")
-def tf01_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = S.table(spark, sf_dir, "orders")
-    html = F.format_string("<html><body><nav>2001-01-01</nav><h2 id='o%d'>Order %d, %s</h2><p>Some text long enough to keep.</p><h2>No day</h2><p>Other text that is here.</p></body></html>", "o_orderkey", "o_orderkey", F.date_format("o_orderdate", "MMMM d, yyyy"))
-    out = parsers.page_sections(o.select(F.lit("https://x.example.com/log").alias("url"), html.alias("html")))
-    return out.select(F.regexp_extract("anchor", r"o(\d+)", 1).cast("long").alias("o_orderkey"), "url", "event_date", "date_precision")
-
-
 @query("SELECT o_orderkey AS id, 'v' || o_orderkey AS title, o_orderdate AS published FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate > TIMESTAMP '1998-01-01'")
 def src06_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = S.table(spark, sf_dir, "orders")

@@ -1,149 +1,40 @@
-"""Sources: feeds, release lists, channel previews and pages as rows of one shape.
+"""Feeds, release lists, channel previews and journals that are tables already, as rows of one shape.
 
 Markup is parsed with the standard library inside vectorised functions; a document that cannot be parsed yields no rows.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from driftline.functions import dates as D
+from driftline.sources.pages import read_page
 
-#: Elements without text for readers, elements that end a line, least body, longest section.
-SILENT = frozenset("script style nav noscript template svg head footer aside form button".split())
-BLOCKS = frozenset("p div li ul ol tr table section article header h1 h2 h3 h4 h5 h6 br pre blockquote main".split())
-MIN_BODY, MAX_SECTION, MARK_CHARS = 16, 20_000, 80
 ITEM = "url string, title string, raw_text string, published string, anchor string, date_text string"
 
 
-class _Reader(HTMLParser):
-    """Text with line breaks at blocks, headings with their offsets, and table rows."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.text: list[str] = []
-        self.headings: list[tuple[int, str, str, int]] = []
-        self.rows: list[list[tuple[bool, str]]] = []
-        self.title = ""
-        self._silent = 0
-        self._heading: tuple[int, str, int] | None = None
-        self._cell: tuple[bool, int] | None = None
-        self._in_title = False
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "title":
-            self._in_title = True
-        if tag in SILENT:
-            self._silent += 1
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if re.fullmatch("h[1-6]", tag):
-            self._heading = (int(tag[1]), dict(attrs).get("id") or "", len(self.text))
-        if tag == "tr":
-            self.rows.append([])
-        if tag in ("td", "th"):
-            self._cell = (tag == "th", len(self.text))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self._in_title = False
-        if tag in SILENT and self._silent:
-            self._silent -= 1
-        if re.fullmatch("h[1-6]", tag) and self._heading:
-            level, anchor, at = self._heading
-            self.headings.append((level, anchor, " ".join("".join(self.text[at:]).split()), len(self.text)))
-            self._heading = None
-        if tag in ("td", "th") and self._cell and self.rows:
-            self.rows[-1].append((self._cell[0], " ".join("".join(self.text[self._cell[1] :]).split())))
-            self.text.append(" ")
-            self._cell = None
-        if tag in BLOCKS:
-            self.text.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if self._in_title:
-            self.title += data
-        if not self._silent:
-            self.text.append(data)
-
-
-def read_html(html: str | None) -> _Reader:
-    r = _Reader()
-    r.feed(html or "")
-    r.close()
-    return r
-
-
-def _tidy(parts: list[str]) -> str:
-    lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
-    return "\n".join(x for x in lines if x)
-
-
-@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
-def html_to_text(html: pd.Series) -> pd.DataFrame:
-    """Title and visible text; null html gives empty strings."""
-    docs = [read_html(h) for h in html]
-    return pd.DataFrame({"title": [" ".join(d.title.split()) for d in docs], "text": [_tidy(d.text) for d in docs]})
-
-
-_DATE = re.compile(
-    rf"\d{{4}}-\d{{1,2}}(?:-\d{{1,2}})?(?![\d-])|{D.MONTH}{D.GAP}\d{{1,2}}{D.ORDINAL}(?:{D.DASH}(?:{D.MONTH}\.?\s+)?\d{{1,2}}{D.ORDINAL})?,?\s+\d{{4}}\b|\d{{1,2}}{D.ORDINAL}\s+{D.MONTH}\.?,?\s+\d{{4}}\b|{D.MONTH}\.?,?\s+\d{{4}}\b",
-    re.I,
-)
-
-
-def _marked(text: str) -> list[tuple[str, str, str, str]]:
-    """Sections under lines that state a date and little else: the line below is the title, all up to the next mark the body."""
-    lines = text.split("\n")
-    marks = [(i, m.group()) for i, x in enumerate(lines) if len(x) <= MARK_CHARS and (m := _DATE.search(x)) and len(re.sub(r"\W", "", x.replace(m.group(), ""))) <= 12]
-    found = []
-    for (i, date), end in zip(marks, [*[m[0] for m in marks[1:]], len(lines)][: len(marks)], strict=True):
-        body = "\n".join(lines[i + 1 : end])[:MAX_SECTION]
-        if len(body) >= MIN_BODY:
-            found.append((lines[i + 1], body, "", date))
-    return found
-
-
-def json_index(html: str | None) -> list[tuple[str, str, str, str]]:
-    """Entries of an index embedded as JSON: flat objects of 8 to 2000 characters with a link and a date, each (date, label) once."""
-    found: dict[tuple[str, str], tuple[str, str, str, str]] = {}
-    for m in re.finditer(r"\{[^{}]{8,2000}\}", html or ""):
-        try:
-            entry = json.loads(m.group())
-        except ValueError:
-            continue
-        texts = {k: v for k, v in entry.items() if isinstance(v, str)}
-        link = next((v for k, v in texts.items() if re.search(r"url|link|href|slug|path", k, re.I)), None)
-        date = next((d.group() for k, v in texts.items() if re.search(r"date|published|time|updated", k, re.I) and (d := _DATE.search(v))), None)
-        label = next((v for k, v in texts.items() if re.search(r"title|name|label|headline", k, re.I)), None)
-        if link and date and label:
-            found.setdefault((date, label), (label, " | ".join(texts.values())[:MAX_SECTION], link, date))
-    return list(found.values())
+def channel_messages(html: str | None) -> list[tuple[str, int, str, str | None]]:
+    """Channel, number, text and printed moment of the messages of a channel preview."""
+    out = []
+    for channel, number, body in re.findall(r'data-post="([^"/]+)/(\d+)"(.*?)(?=data-post="|\Z)', html or "", re.S):
+        at = re.search(r'<time[^>]+datetime="([^"]+)"', body)
+        inner = re.search(r'<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>', body, re.S)
+        lines = (" ".join(x.split()) for x in read_page(inner[1])[1].text.split("\n")) if inner else ()
+        out.append((channel, int(number), "\n".join(x for x in lines if x), at[1] if at else None))
+    return out
 
 
 def channel_posts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Posts of channel preview pages, once each by id; posts without text are left out, all need corroboration."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        post = re.compile(r'data-post="([^"/]+)/(\d+)"(.*?)(?=data-post="|\Z)', re.S)
         for b in batches:
-            rows = []
-            for h in b["h"]:
-                for channel, number, body in post.findall(h or ""):
-                    at = re.search(r'<time[^>]+datetime="([^"]+)"', body)
-                    inner = re.search(r'<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>', body, re.S)
-                    text = _tidy(read_html(inner[1]).text) if inner else ""
-                    if text:
-                        rows.append((channel, int(number), text, at[1] if at else None))
+            rows = [m for h in b["h"] for m in channel_messages(h) if m[2]]
             yield pd.DataFrame(rows, columns=["channel", "message_id", "text", "published"]).astype({"message_id": "int64"})
 
     posts = pages.select(F.col(html).alias("h")).mapInPandas(parse, "channel string, message_id long, text string, published string")
@@ -156,52 +47,6 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def sections(html: str | None, hint: str | None = None) -> list[tuple[str, str, str, str]]:
-    """(title, text, anchor, date text) of dated sections: headings with dates, else dated table rows, else the fuller of
-    date marks and an embedded index, else dated sentences. A hint names the one way to use."""
-    r = read_html(html)
-    found: list[tuple[str, str, str, str]] = []
-    if hint in (None, "headings"):
-        for i, (level, anchor, title, at) in enumerate(r.headings):
-            date = _DATE.search(title)
-            if not date:
-                continue
-            end = next((h[3] for h in r.headings[i + 1 :] if h[0] <= level or _DATE.search(h[2])), None)
-            body = _tidy(r.text[at:end])[:MAX_SECTION]
-            if len(body) >= MIN_BODY:
-                found.append((title, body, anchor, date.group()))
-    if not found and hint in (None, "tables"):
-        header: list[str] = []
-        for row in r.rows:
-            if row and all(h for h, _ in row):
-                header = [t.lower() for _, t in row]
-                continue
-            ranked = sorted(range(len(row)), key=lambda i: (next((k for k, w in enumerate(("announc", "retire", "shutdown", "date")) if i < len(header) and w in header[i]), 9), i))
-            date = next((m for i in ranked if (m := _DATE.search(row[i][1]))), None)
-            if date:
-                found.append((row[0][1], " | ".join(t for _, t in row)[:MAX_SECTION], "", date.group()))
-    if not found and hint in (None, "marks", "json"):
-        by_mark = _marked(_tidy(r.text)) if hint != "json" else []
-        by_index = json_index(html) if hint != "marks" else []
-        found = max(by_mark, by_index, key=len)
-    if not found and hint in (None, "sentences"):
-        for s in re.split(r"(?<=[.!?])\s+|\n+", _tidy(r.text)):
-            if (date := _DATE.search(s)) and len(s) >= MIN_BODY:
-                found.append((s[:80], s[:MAX_SECTION], "", date.group()))
-    return found[:200] if hint == "sentences" else found
-
-
-def page_sections(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Dated sections of pages with parsed dates: ``url, title, raw_text, anchor, event_date, date_precision``."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(u, t, x, None, a, d) for u, h in zip(b["u"], b["h"], strict=True) for t, x, a, d in sections(h)], columns=["url", "title", "raw_text", "published", "anchor", "date_text"])
-
-    rows = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(parse, ITEM)
-    return rows.withColumn("_d", D.parse_date_fragment(F.col("date_text"))).select("url", "title", "raw_text", "anchor", F.col("_d.value").alias("event_date"), F.col("_d.precision").alias("date_precision"))
-
-
 def looks_like_html(text: Column, content_type: Column) -> Column:
     return F.coalesce(content_type.contains("text/html"), F.lit(False)) | F.lower(F.ltrim(F.substring(text, 1, 2048))).rlike(r"^(<!doctype html|<html)")
 

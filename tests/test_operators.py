@@ -168,10 +168,7 @@ def test_vendor_alias_prefers_exact_then_longest(spark):
     assert [r.vendor for r in sorted(identity.vendor_from_alias(names, aliases).collect(), key=lambda r: str(r.raw))] == [None, "acme", None, None, "cloud"]
 
 
-def test_html_sections_tables_and_feeds(spark):
-    html = "<table><tr><th>Model</th><th>Announced</th><th>Retired on date</th></tr><tr><td>acme-1</td><td>2023-01-02</td><td>2024-05-06</td></tr></table>"
-    assert parsers.sections(html) == [("acme-1", "acme-1 | 2023-01-02 | 2024-05-06", "", "2023-01-02")]
-    assert parsers.sections("<p>Nothing dated in here at all.</p>") == [] and parsers.sections(None) == []
+def test_feed_entries(spark):
     feed = "<rss><channel><item><title>A</title><link>https://e/1</link><description>d</description><pubDate>Mon</pubDate></item><item><title>B</title></item></channel></rss>"
     got = parsers.feed_entries(spark.createDataFrame([(feed,), ("<broken",), (None,)], "body string")).collect()
     assert [(r.url, r.title, r.raw_text, r.published) for r in got] == [("https://e/1", "A", "d", "Mon"), (None, "B", None, None)]

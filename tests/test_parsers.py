@@ -7,20 +7,6 @@ from datetime import datetime
 from driftline.sources import parsers
 
 
-def test_headings_end_at_the_next_dated_or_higher_one():
-    html = "<h2 id='a'>May 1, 2024</h2><p>First body that is long enough.</p><h3>Detail</h3><p>More of it.</p><h2>June 2, 2024</h2><p>Second body that is long.</p><h1>Other</h1><p>Not part.</p>"
-    got = parsers.sections(html)
-    assert [(t, a, d) for t, _, a, d in got] == [("May 1, 2024", "a", "May 1, 2024"), ("June 2, 2024", "", "June 2, 2024")]
-    assert "More of it." in got[0][1] and "Not part" not in got[1][1]
-
-
-def test_marks_and_embedded_index():
-    marks = "<div>2024-05-01</div><div>Thing shipped</div><p>It does what it says.</p><div>May 3, 2024</div><div>Other thing</div><p>And so does this.</p>"
-    assert [(t, d) for t, _, _, d in parsers.sections(marks)] == [("Thing shipped", "2024-05-01"), ("Other thing", "May 3, 2024")]
-    index = '<script>var x=[{"title":"A","url":"/a","date":"2024-01-02"},{"title":"A","url":"/a2","date":"2024-01-02"},{"title":"B","slug":"b","publishedAt":"2024-02-03"},{"broken":}]</script>'
-    assert [(t, link, d) for t, _, link, d in parsers.sections(index)] == [("A", "/a", "2024-01-02"), ("B", "b", "2024-02-03")]
-
-
 def test_channel_posts(spark):
     post = '<div data-post="chan/{n}"><div class="tgme_message_text js">{text}</div><time datetime="2024-01-0{n}T10:00:00+00:00"></time></div>'
     page = post.format(n=1, text="One<br>two") + post.format(n=2, text="") + post.format(n=3, text="three &amp; four")
