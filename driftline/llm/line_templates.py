@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import hash_filter, materialise, passes
+from driftline.llm.near_copies import similar_classes, text_class
 
 FIELD = "<*>"
 LEADING = 2
@@ -39,15 +40,15 @@ def leaf_of(t: list[str], leading: int = LEADING) -> int:
 
 
 def _emit_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Key, hash of the whole text, line number, leaf, signature and number of tokens."""
+    """Hashes of key and text and of the text, line number, leaf and signature."""
     for b in batches:
         out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
-        for key, whole, text in zip(b["_k"], b["_d"], b["_text"], strict=True):
+        for key, whole, other, text in zip(b["_k"], b["_d"], b["_u"], b["_text"], strict=True):
             for i, line in enumerate(text.split("\n")):
                 if t := tokens(line):
-                    for column, value in zip(out, (key, whole, i, leaf_of(t), _digest(t), len(t)), strict=True):
+                    for column, value in zip(out, (key, whole, other, i, leaf_of(t), _digest(t)), strict=True):
                         column.append(value)
-        yield pd.DataFrame(dict(zip(("_k", "_d", "line", "leaf", "sig", "size"), out, strict=True))).astype("int64")
+        yield pd.DataFrame(dict(zip(("_k", "_d", "_u", "line", "leaf", "sig"), out, strict=True))).astype("int64")
 
 
 def _emit_tokens(bits: np.ndarray):
@@ -99,29 +100,37 @@ def _cluster(similarity: float):
     return run
 
 
-def _varied(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """``template, content``: for each text that holds a template, what the text is without the template's lines.
+def _with_hash_in(bits: np.ndarray):
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits, hashes.to_numpy(np.int64)))
 
-    A text of which half the other tokens or more stand in lines that no other text has is a content of its own. Else it
-    is a near copy of others, whose content is the least other template that they share. Equal texts count as one; as
-    their tokens are summed alike, shares stay the same.
+    run.__annotations__ = {"hashes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")
+
+
+def _contents(docs: DataFrame, text: str, named: DataFrame, min_docs: int) -> DataFrame:
+    """``template, content, other`` for the templates of ``min_docs`` different texts or more: what each of these texts counts as.
+
+    Texts that hold such a template are brought into groups of near copies, by all their five-word shingles at a
+    similarity of 0.8; a group is one content. Texts without near copies are one each, known by 128 bits.
     """
-    total = lines.groupBy("_d").agg(F.sum("size").alias("total"))
-    held = named.groupBy("_d", "template").agg(F.sum("size").alias("size"))
-    shared = held.groupBy("template").count().filter("count > 1").select("template")
-    held = materialise(held.join(shared, "template"), "held")
-    common = held.groupBy("_d").agg(F.sum("size").alias("common"), F.min("template").alias("low"))
-    second = held.join(common.select("_d", "low"), "_d").filter("template != low").groupBy("_d").agg(F.min("template").alias("second"))
-    texts = materialise(common.join(total, "_d").join(second, "_d", "left"), "texts")
-    own, other = F.col("total") - F.col("common"), F.col("total") - F.col("size")
-    near = F.coalesce(F.when(F.col("template") == F.col("low"), F.col("second")).otherwise(F.col("low")), F.lit(0))
-    return held.join(texts, "_d").select("template", F.when((own > 0) & (2 * own >= other), F.col("_d")).otherwise(near).alias("content"))
+    held = named.select("template", "_d", "_u").distinct()
+    wide = held.groupBy("template").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs).select("template")
+    held = materialise(held.join(wide, "template"), "held")
+    asked = materialise(held.select("_d", "_u").distinct(), "asked")
+    t, u = text_class(text)
+    near = docs.select(F.col(text), t.alias("_t"), u.alias("_v")).filter(_with_hash_in(hash_filter(asked, "_d"))("_t"))
+    near = near.join(asked.hint("merge"), (F.col("_t") == F.col("_d")) & (F.col("_v") == F.col("_u")), "left_semi").select(text)
+    groups = similar_classes(materialise(near, "holders"), text)
+    placed = held.join(groups, held["_d"] == groups["t"], "left")
+    return placed.select("template", F.coalesce("root", "_d").alias("content"), F.when(F.col("root").isNull(), F.col("_u")).otherwise(0).alias("other"))
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``_k, _d, line, template``: lines (by number, from 0) whose template recurs; xxhash64 of key and text and of the text say whose."""
-    rows = docs.select(F.xxhash64(key, text).alias("_k"), F.xxhash64(text).alias("_d"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    lines = materialise(rows.mapInPandas(_emit_lines, "_k long, _d long, line long, leaf long, sig long, size long"), "lines")
+    t, u = text_class(text)
+    rows = docs.select(F.xxhash64(key, text).alias("_k"), t.alias("_d"), u.alias("_u"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    lines = materialise(rows.mapInPandas(_emit_lines, "_k long, _d long, _u long, line long, leaf long, sig long"), "lines")
     # a template's documents are among its leaf's: a line alone in its leaf is shared with no other document
     leaves = lines.groupBy("leaf").count().filter("count > 1").select("leaf")
     busy = materialise(lines.join(leaves, "leaf"), "busy")
@@ -132,23 +141,26 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mi
     wanted = read.join(sigs.join(mixed, "leaf"), ["leaf", "sig"])
     placed = wanted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens", "sig").mapInPandas(_cluster(similarity), "leaf long, sig long, template long").distinct()
     named = busy.join(placed, ["leaf", "sig"], "left").withColumn("template", F.coalesce("template", "sig"))
-    named = materialise(named.select("_k", "_d", "line", "size", F.xxhash64("leaf", "template").alias("template")), "named")
-    again = _varied(lines, named).groupBy("template").agg(F.count_distinct("content").alias("docs")).filter(F.col("docs") >= min_docs).select("template")
+    named = materialise(named.select("_k", "_d", "_u", "line", F.xxhash64("leaf", "template").alias("template")), "named")
+    counts = _contents(docs, text, named, min_docs).groupBy("template").agg(F.count_distinct("content", "other").alias("docs"))
+    again = counts.filter(F.col("docs") >= min_docs).select("template")
     return named.join(again, "template").select("_k", "_d", "line", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: float) -> DataFrame:
     """Input columns with ``text`` freed of recurring lines, plus ``n_lines`` and ``n_dropped``, which replace columns of those names.
 
-    A template recurs if at least ``min_docs`` documents that differ from each other hold it, however many hold it in all.
-    Copies, and near copies by what they hold besides the template, count as one document: lines that only these share
-    are left to deduplication of documents. Lines without tokens are never dropped. Null texts stay null with 0 lines, an
+    A template recurs if texts of at least ``min_docs`` groups of near copies hold it, however many hold it in all and
+    however much of a text stands in recurring lines. A group are texts that are similar by 0.8 or more of their five-word
+    shingles, at any distance in a chain, so lines that only copies or near copies share are left to deduplication of
+    documents. Lines without tokens are never dropped. Null texts stay null with 0 lines, an
     empty text has one line; rows are neither dropped nor merged, and repeated rows lose the same lines.
     """
     docs = docs.drop("n_lines", "n_dropped", "_k", "_gone", "_k2", "_d2")
+    t, _ = text_class(text)
     gone = recurring_lines(docs, text, key, **limits).groupBy(F.col("_k").alias("_k2"), F.col("_d").alias("_d2")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
     gone = materialise(gone, "gone").hint("merge")
-    out = docs.join(gone, (F.xxhash64(key, text) == F.col("_k2")) & (F.xxhash64(text) == F.col("_d2")), "left")
+    out = docs.join(gone, (F.xxhash64(key, text) == F.col("_k2")) & (t == F.col("_d2")), "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     return out.withColumns(
         {
