@@ -23,13 +23,10 @@ from driftline.llm.common import materialise
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "ⅰ": "i", "​": "", "‌": "", "‍": "", "­": "", "﻿": ""}
 #: Labelled rows that the lexicon is fitted on, at most (in expectation; the choice is by a hash of the key).
 MAX_LABELLED = 20_000
-#: Entries of the lexicon, at most: the strongest are kept.
-MAX_TERMS = 5_000
 PREFIXES = (4, 5, 6, 7)
-LONGEST = 24
 
 _FULLWIDTH = {c: chr(c - 0xFEE0) for c in range(0xFF21, 0xFF5B) if chr(c - 0xFEE0).isalpha()}
-_SPACES = {c: " " for c in map(ord, "\t\n\x0b\x0c\r.,;:?\"'()[]{}<>|/\\-_=+*#%&^~`")}
+_SPACES = {c: " " for c in map(ord, "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))) + ".,;:?\"'()[]{}<>|/\\-_=+*#%&^~`")}
 _FOLD = str.maketrans(_SPACES | {k: v.lower() for k, v in _FULLWIDTH.items()} | {ord(k): v for k, v in LOOKALIKES.items()})
 #: A sign ends a word where a blank follows, and stands for a letter elsewhere.
 _END_SIGNS = ("! ", "!\n", "$ ", "$\n")
@@ -46,7 +43,7 @@ def fold(text: str | None) -> str:
 
 def _terms(word: str) -> list[str]:
     """Entries a word can match: itself (closed by a blank) and its beginnings."""
-    own = [f" {word} "] if 3 <= len(word) <= LONGEST else []
+    own = [f" {word} "] if len(word) >= 3 else []
     return own + [f" {word[:n]}" for n in PREFIXES if len(word) > n]
 
 
@@ -84,9 +81,13 @@ class Matcher:
         """The word at ``start`` with the word before and with the word after."""
         end = folded.find(" ", start)
         word = folded[start:end]
-        before = folded[max(0, start - 2 * LONGEST) : start].rsplit(None, 1)
-        after = folded[end : end + 2 * LONGEST].split(None, 1)
-        return f"{before[-1] if before else ''} {word}", f"{word} {after[0] if after else ''}"
+        left, right = start - 1, end
+        while left > 0 and folded[left] == " ":
+            left -= 1
+        while right < len(folded) and folded[right] == " ":
+            right += 1
+        before = folded[folded.rfind(" ", 0, left + 1) + 1 : left + 1].strip()
+        return f"{before} {word}", f"{word} {folded[right : folded.find(' ', right)] if right < len(folded) else ''}"
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Sum of weights outside of exceptions, and the same by the root of the length in words."""
@@ -95,7 +96,7 @@ class Matcher:
         for start, w in self.hits(folded).items():
             if not self.exceptions or self.exceptions.isdisjoint(self.pairs(folded, start)):
                 total += w
-        return min(total, 60.0), total / (1 + folded.count(" ")) ** 0.5
+        return total, total / (1 + folded.count(" ")) ** 0.5
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,16 +123,17 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def held_out(key: Column) -> Column:
-    """Rows that nothing is learned from."""
-    return F.crc32(key.cast("string")) % 3 == 1
+    """Rows that nothing is learned from; a null key is not held out (nor learned from, as no label belongs to it)."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Lexicon:
     """Learn the lexicon from labelled rows that are not held out, at most about ``max_labelled`` of them.
 
     Rows without key or label are left out, a key labelled twice takes the larger label, and equal texts count once.
     An entry needs five toxic documents and a share of toxic ones that chance does not give (z of 6). Without any
-    toxic label the lexicon is empty, and every text scores the base rate.
+    toxic label the lexicon is empty, and every text scores the base rate. The number of entries and of exceptions has no
+    limit of its own: entries stand in five toxic rows, exceptions in three rows, of the bounded number fitted on.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("toxic"))
     n = known.count()
@@ -148,7 +150,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     weight = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     z = (F.col("t") - (F.col("t") + F.col("c")) * base) / F.sqrt((F.col("t") + F.col("c")) * base * (1 - base))
     terms = rows.mapInPandas(_count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    chosen = terms.filter("t >= 5").withColumns({"w": weight, "z": z}).filter("w >= 1.5 and z >= 6").orderBy(F.desc("z"), "term").limit(max_terms)
+    chosen = terms.filter("t >= 5").withColumns({"w": weight, "z": z}).filter("w >= 1.5 and z >= 6")
     weights = {r.term: float(r.w) for r in chosen.select("term", "w").collect()}
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +159,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
             found = [(p, int(toxic)) for t, toxic in zip(b["text"], b["toxic"], strict=True) for f in [fold(t)] for p in {p for s in m.hits(f) for p in m.pairs(f, s)}]
             yield pd.DataFrame(found, columns=["pair", "toxic"]).astype({"toxic": "int64"})
 
-    harmless = rows.mapInPandas(pairs, "pair string, toxic long").groupBy("pair").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t = 0 and n >= 3").orderBy(F.desc("n"), "pair").limit(max_terms)
+    harmless = rows.mapInPandas(pairs, "pair string, toxic long").groupBy("pair").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t = 0 and n >= 3")
     exceptions = frozenset(r.pair for r in harmless.collect())
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,6 +187,10 @@ def score_column(text: Column, lexicon: Lexicon) -> Column:
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Input columns plus ``score`` and ``predicted`` (1 if the score reaches the threshold), which replace columns of those names."""
+    """Input columns plus ``score`` and ``predicted`` (1 if the score reaches the threshold), which replace columns of those names.
+
+    Null and empty texts score as a text without any match; repeated rows score alike; an empty table gives an empty one.
+    Texts are matched whole, whatever their length, and words of any length are entries.
+    """
     out = docs.drop("score", "predicted")
     return out.withColumn("score", score_column(F.col(text), lexicon)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
