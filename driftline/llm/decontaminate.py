@@ -34,19 +34,25 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\w*%?")
 _EDGES = re.compile(r"^[^\w]+|[^\w%]+$|[^\w]+$")
 _NUM, _NAME, _UNIT = 1, 2, 3
+#: Kinds of tokens: no letter or digit, a word, a number in digits, capitalised, a number word, "and".
+_NONE, _WORD, _DIGITS, _CAPITAL, _SPELT, _AND = -1, 0, 1, 2, 3, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_token(raw: str) -> tuple[int, int, bool, bool]:
-    """Hash of the bare word, kind (0 word, 1 number, 2 capitalised, -1 nothing), whether it is a unit, whether it ends a sentence."""
+    """Hash of the bare word, kind, whether it is a unit, whether it ends a sentence."""
     core = _EDGES.sub("", raw)
     low = core.lower()
     if not core.strip("_%"):
-        kind = -1
-    elif _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-        kind = 1
+        kind = _NONE
+    elif _NUMBER.fullmatch(core):
+        kind = _DIGITS
+    elif all(part in NUMBER_WORDS for part in low.split("-")):
+        kind = _SPELT
+    elif core == "and":
+        kind = _AND
     else:
-        kind = 2 if len(core) > 1 and core[0].isupper() else 0
+        kind = _CAPITAL if len(core) > 1 and core[0].isupper() else _WORD
     return xxhash.xxh3_64_intdigest(low.encode()), kind, low in UNITS, raw.rstrip("\"')]”’*#&%$|")[-1:] in ".!?:"
 
 
@@ -89,16 +95,35 @@ class Tokens:
     def __init__(self, text: np.ndarray, own: np.ndarray, kind: np.ndarray, unit: np.ndarray, ends: np.ndarray) -> None:
         first = np.r_[True, ends[:-1]][: len(text)]
         first[1:] |= text[1:] != text[:-1]
-        keep = kind >= 0
+        keep = kind != _NONE
         self.text, self.own, kind, unit, first = text[keep], own[keep], kind[keep], unit[keep], first[keep]
+        kind, unit, first = self._join_numbers(kind, unit, first)
         begin = np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]) if len(self.text) else np.empty(0, np.int64)
         self.at = np.arange(len(self.text)) - np.repeat(begin, np.diff(np.r_[begin, len(self.text)]))
         self.readings = []
-        for names in (np.zeros(len(kind), bool), (kind == 2) & ~first, kind == 2):
-            slot = np.where(kind == 1, _NUM, np.where(names, _NAME, 0)).astype(np.int8)
+        number = (kind == _DIGITS) | (kind == _SPELT)
+        for names in (np.zeros(len(kind), bool), (kind == _CAPITAL) & ~first, kind == _CAPITAL):
+            slot = np.where(number, _NUM, np.where(names, _NAME, 0)).astype(np.int8)
             slot[1:][(slot[:-1] == _NUM) & unit[1:] & (slot[1:] == 0) & (self.at[1:] > 0)] = _UNIT
             self.readings.append(slot)
 
+    def _join_numbers(self, kind: np.ndarray, unit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Makes one token of each run of number words in a sentence ("one hundred and five"), as digits are one."""
+        n = len(kind)
+        spelt = kind == _SPELT
+        beside = (self.text[1:] == self.text[:-1]) & ~first[1:]  # the token before is of the same sentence
+        joined = np.zeros(n, bool)
+        joined[1:] = spelt[1:] & spelt[:-1] & beside
+        link = np.flatnonzero((kind[1:-1] == _AND) & spelt[:-2] & spelt[2:] & beside[:-1] & beside[1:]) + 1 if n > 2 else np.empty(0, np.int64)
+        joined[link] = joined[link + 1] = True
+        if joined.any():
+            start = np.flatnonzero(~joined)
+            with np.errstate(over="ignore"):
+                place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
+                mixed = np.add.reduceat(self.own * (2 * place + 1).astype(np.uint64), start)
+            self.own, self.text, kind, unit, first = mixed, self.text[start], kind[start], unit[start], first[start]
+        return kind, unit, first
+
     def windows(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each reading: places of windows of ``n`` tokens, their hashes, and whether they are hashed by their own words."""
         size = len(self.text) - n + 1

@@ -64,17 +64,24 @@ def test_against_brute_force(spark, sf_dir, monkeypatch, bits):
     for i in range(20):
         words = (items[i % len(items)][1] or "").split()
         at = rng.randrange(len(words))
-        words[at : at + rng.randint(0, 9)] = ["changed", "12", "Anna"][: rng.randint(0, 3)]
+        words[at : at + rng.randint(0, 9)] = ["changed", "12", "Anna", "forty", "two", "hundred", "and", "five"][rng.randint(0, 4) : rng.randint(0, 8)]
         docs.append((100_000 + i, f"{FILLER} {' '.join(words)}"))
 
     def template(text):
         rows = [decontaminate.read_token(w) for w in (text or "").split()]
         first = [i == 0 or rows[i - 1][3] for i in range(len(rows))]
-        kept = [(r, f) for r, f in zip(rows, first, strict=True) if r[1] >= 0]
+        kept = []
+        for r, f in ((r, f) for r, f in zip(rows, first, strict=True) if r[1] >= 0):
+            kept.append(([(r[0],), r[1], r[2], r[3]], f))
+            same = lambda k: len(kept) > k and not any(x[1] for x in kept[len(kept) - k :])
+            if r[1] == 3 and same(1) and kept[-2][0][1] == 3:  # a number word behind another
+                kept[-2:] = [([kept[-2][0][0] + kept[-1][0][0], 3, False, r[3]], kept[-2][1])]
+            elif r[1] == 3 and same(2) and kept[-2][0][1] == 4 and kept[-3][0][1] == 3:  # with "and" between
+                kept[-3:] = [([kept[-3][0][0] + kept[-2][0][0] + kept[-1][0][0], 3, False, r[3]], kept[-3][1])]
         own = [r[0] for r, _ in kept]
         readings = []
         for names in (lambda f: False, lambda f: not f, lambda f: True):
-            slots = [1 if r[1] == 1 else 2 if r[1] == 2 and names(f) else 0 for r, f in kept]
+            slots = [1 if r[1] in (1, 3) else 2 if r[1] == 2 and names(f) else 0 for r, f in kept]
             for j in range(1, len(slots)):
                 if slots[j - 1] == 1 and kept[j][0][2] and slots[j] == 0:
                     slots[j] = 3
@@ -122,3 +129,12 @@ def test_against_brute_force(spark, sf_dir, monkeypatch, bits):
     got = decontaminate.mark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
     assert {(r.doc_id, x.item_id, x.run) for r in got.collect() for x in r.leaks} == want
     assert len(want) > 15
+
+
+def test_runs_of_number_words_are_one_slot(spark):
+    item = "A farmer sells 48 baskets of apples in the first week and keeps 12 of them back for the winter fair that opens when 7 days have gone by"
+    asked = item.replace("48", "forty two").replace("12", "one hundred and five").replace(" 7 ", " twenty-one ")
+    docs = spark.createDataFrame([(1, f"{FILLER} {asked} {FILLER}"), (2, FILLER), (3, asked), (4, "forty two one hundred and five " * 30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, [x.covered for x in r.leaks]) for r in decontaminate.mark_leaks(docs, bench).collect()}
+    assert got == {1: (True, [1.0]), 2: (False, []), 3: (True, [1.0]), 4: (False, [])}
