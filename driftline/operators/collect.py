@@ -14,7 +14,6 @@ from driftline.functions.dates import relevance
 TTL_SECONDS = 30
 MIN_RELEASES, MIN_STARS = 3, 300
 DEFAULT_THRESHOLD = 50.0
-CHUNK, CHUNK_FACTOR, MAX_CHUNKS = 24_000, 2, 40
 
 
 def select_sources(sources: DataFrame, mode: str, ids: tuple[str, ...] = (), priorities: tuple[int, ...] = ()) -> DataFrame:
@@ -102,23 +101,3 @@ def lead_first(statements: DataFrame, critical: tuple[str, ...], by: str = "mate
     first = F.min(F.when(F.col("change_type").isin(*critical), F.col("position"))).over(w)
     at = F.col("position") != F.coalesce(first, F.min("position").over(w))
     return statements.withColumn("lead_position", F.row_number().over(Window.partitionBy(by).orderBy(at, "position")) - 1)
-
-
-def chunk_expression(text: Column, max_chars: int = CHUNK) -> Column:
-    """A long text as chunks of whole lines, cut before lines that begin with a date; hard cut at twice the size; at most ``MAX_CHUNKS``."""
-    dated = r"^\W{0,12}(\d{4}-\d{2}(-\d{2})?|(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2},? \d{4}))"
-    start = F.expr("named_struct('done', cast(array() as array<string>), 'now', cast(array() as array<string>), 'size', 0)")
-
-    def step(acc: Column, line: Column) -> Column:
-        size = acc["size"] + F.length(line) + 1
-        cut = (F.size(acc["now"]) > 0) & (size > max_chars) & (line.rlike(dated) | (size > CHUNK_FACTOR * max_chars))
-        return F.struct(
-            F.when(cut, F.array_append(acc["done"], F.array_join(acc["now"], "\n"))).otherwise(acc["done"]).alias("done"),
-            F.when(cut, F.array(line)).otherwise(F.array_append(acc["now"], line)).alias("now"),
-            F.when(cut, F.length(line) + 1).otherwise(size).alias("size"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.slice(F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], F.array_join(acc["now"], "\n"))).otherwise(acc["done"]), 1, MAX_CHUNKS)
-
-    return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(F.aggregate(F.split(text, "\r?\n"), start, step, finish))

@@ -63,11 +63,20 @@ def ask(materials: DataFrame, backend: Callable[[pd.Series], pd.Series], text: s
     return materials.withColumn("facts", F.from_json(raw, ANSWER))
 
 
-def check_facts(materials: DataFrame, allowed: tuple[str, ...], key: str = "material_id", text: str = "text") -> DataFrame:
-    """One row per fact: typed ``kind``, ``value``, ``value_date`` with precision, and ``reason`` (null if kept)."""
+def fact_kind(kind: Column) -> Column:
+    """The kind that a spelling means, null if none."""
     table = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    f = materials.select(key, F.col(text).alias("_text"), F.posexplode("facts").alias("position", "f"))
-    f = f.withColumn("kind", F.try_element_at(table, F.lower(F.trim(F.coalesce("f.kind", F.lit(""))))))
+    return F.try_element_at(table, F.lower(F.trim(F.coalesce(kind, F.lit("")))))
+
+
+def check_facts(materials: DataFrame, allowed: tuple[str, ...], key: str = "material_id", text: str = "text", product: str | None = None) -> DataFrame:
+    """One row per fact: typed ``kind``, ``value``, ``evidence``, ``value_date`` with precision, ``subject``, and ``reason`` (null if kept).
+
+    A subject must be in the text; for dates, the event's ``product`` takes its place where it has none that is.
+    """
+    other = F.col(product) if product else F.lit(None).cast("string")
+    f = materials.select(key, F.col(text).alias("_text"), other.alias("_product"), F.posexplode("facts").alias("position", "f"))
+    f = f.withColumn("kind", fact_kind(F.col("f.kind")))
     verified = E.verify_evidence(F.col("f.evidence"), F.col("_text"))
     reason = (
         F.when(F.col("kind").isNull(), "unknown_fact_kind")
@@ -76,8 +85,9 @@ def check_facts(materials: DataFrame, allowed: tuple[str, ...], key: str = "mate
         .when(verified != "", verified)
     )
     day = F.when(F.col("kind").isin(*DATE_KINDS), D.parse_date_fragment(F.col("f.value")))
-    subject = F.when(E.verify_evidence(F.col("f.subject"), F.col("_text")) == "", F.trim("f.subject"))
-    return f.select(key, "position", F.coalesce("kind", F.col("f.kind")).alias("kind"), F.trim("f.value").alias("value"), day["value"].alias("value_date"), day["precision"].alias("date_precision"), subject.alias("subject"), reason.alias("reason"))
+    in_text = lambda c: F.when(E.verify_evidence(c, F.col("_text")) == "", F.trim(c))
+    subject = F.coalesce(in_text(F.col("f.subject")), F.when(F.col("kind").isin(*DATE_KINDS), in_text(F.col("_product"))))
+    return f.select(key, "position", F.coalesce("kind", F.col("f.kind")).alias("kind"), F.trim("f.value").alias("value"), F.trim("f.evidence").alias("evidence"), day["value"].alias("value_date"), day["precision"].alias("date_precision"), subject.alias("subject"), reason.alias("reason"))
 
 
 def corrected_type(change_type: Column, has_sunset: Column) -> Column:

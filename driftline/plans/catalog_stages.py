@@ -114,12 +114,6 @@ def win09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.batches(d, "source")
 
 
-@query()
-def win10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.table(spark, sf_dir, "documents").withColumn("c", collect.chunk_expression(F.coalesce("text", F.lit(""))))
-    return d.select("doc_id", F.size("c").alias("chunks"), F.length(F.array_join("c", "\n")).cast("long").alias("chars"))
-
-
 # extraction
 
 

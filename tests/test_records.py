@@ -80,33 +80,6 @@ def test_resume(spark):
     assert got == {"b1": ([], "collect"), "b2": (["collect", "filter"], "cluster"), "b3": (["collect", "cluster", "filter"], None), "x9": ([], "collect")}
 
 
-def chunks_of(text, most):
-    """Lines, cut before a dated one once a chunk is long enough, and anywhere at twice the size."""
-    import re
-
-    if len(text) <= most:
-        return [text]
-    dated = re.compile(r"\W{0,12}(\d{4}-\d{2}(-\d{2})?|(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2},? \d{4}))")
-    done, now, size = [], [], 0
-    for line in re.split("\r?\n", text):
-        size += len(line) + 1
-        if now and size > most and (dated.match(line) or size > 2 * most):
-            done.append("\n".join(now))
-            now, size = [], len(line) + 1
-        now.append(line)
-    return [*done, "\n".join(now)][:40]
-
-
-def test_long_texts_are_cut(spark):
-    rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9)))
-    line = lambda: rng.choice(["", "2024-05-06 ", "May 5, 2024: "]) * (rng.random() < 0.2) + " ".join(word() for _ in range(rng.randint(0, 30)))
-    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 120)))) for i in range(60)] + [(100, ""), (101, "x" * 3000), (102, "\n" * 900)]
-    got = {r.i: list(r.c) for r in spark.createDataFrame(rows, "i int, t string").select("i", collect.chunk_expression(F.col("t"), 400).alias("c")).collect()}
-    assert got == {i: chunks_of(t, 400) for i, t in rows}
-    assert sum(len(c) > 2 for c in got.values()) > 20
-
-
 def test_upcoming_folds_in_row_order(spark):
     day = date(2024, 3, 1)
     rows = [
