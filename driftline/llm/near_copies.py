@@ -125,9 +125,10 @@ def _bucket_links(radius: int, limit: int):
 def loose_links(fps: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
     """``a, b``: links that connect classes ``t`` of ``fps`` as do all pairs that share a key and differ in ``radius`` of 128 bits at most."""
     bucket = bucket or BUCKET
+    # by class within a key: the buckets of a group then hang on the same few least members, and give the same links
     keyed = fps.mapInPandas(_wide_keys, "key long, t long, w0 long, w1 long")
     schema = "a long, b long, hot boolean"
-    found = materialise(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(radius, bucket), schema).distinct(), "found")
+    found = materialise(keyed.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_bucket_links(radius, bucket), schema).distinct(), "found")
     links = found.filter("not hot").select("a", "b")
     hot = found.filter("hot").select(F.col("a").alias("key")).distinct()
     if hot.isEmpty():
@@ -136,7 +137,7 @@ def loose_links(fps: DataFrame, radius: int, bucket: int | None = None) -> DataF
     chunks = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / bucket).cast("int").alias("n"))
     rows = rows.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("t"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).alias("key"), "t", "w0", "w1")
-    more = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(radius, 1 << 62), schema)
+    more = rows.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_bucket_links(radius, 1 << 62), schema)
     return links.unionByName(more.select("a", "b")).distinct()
 
 
