@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,11 +108,69 @@ def collapse_events(enriched: DataFrame) -> DataFrame:
     return folded.select("subject", F.col("e.lead").alias("cluster_id"), F.col("e.n").alias("materials"), F.size("e.facts").cast("long").alias("facts"), F.array_join("e.seen", "|").alias("seen_in"))
 
 
-def feed(signals: DataFrame, limit: int = 100) -> DataFrame:
-    """One JSON document for each run: its signals in rank order, at most ``limit`` of them (the size of a feed page)."""
+FEED_VERSION = 1
+
+
+def feed(signals: DataFrame, runs: DataFrame | None = None, generated_at: Column | None = None, limit: int | None = None) -> DataFrame:
+    """``run_id, document``: a JSON document for each run, its signals in rank order in an envelope.
+
+    The envelope has ``feed_version, generated_at, run_id, for_date, signal_count, signals``. Runs (``run_id, for_date``) without
+    signals have a document, too: an empty feed is a quiet day, no feed is a failure. ``limit`` keeps the first signals by rank
+    (``signal_count`` counts all); without it all are in the document.
+    """
     item = F.struct("rank", *[c for c in signals.columns if c not in ("run_id", "rank")])
-    top = signals.filter(F.col("rank") <= limit)
-    return top.groupBy("run_id").agg(F.to_json(F.struct(F.count("*").alias("count"), F.array_sort(F.collect_list(item)).alias("items"))).alias("document"))
+    shown = F.filter("_all", lambda x: x["rank"] <= limit) if limit is not None else F.col("_all")
+    grouped = signals.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    if runs is not None:
+        grouped = runs.select("run_id", "for_date").join(grouped, "run_id", "left")
+    else:
+        grouped = grouped.withColumn("for_date", F.lit(None).cast("date"))
+    kind = grouped.schema["_all"].dataType
+    grouped = grouped.withColumn("_all", F.coalesce("_all", F.array().cast(kind)))
+    moment = (generated_at if generated_at is not None else F.lit(None)).cast("timestamp")
+    envelope = F.struct(F.lit(FEED_VERSION).alias("feed_version"), moment.alias("generated_at"), F.col("run_id"), F.col("for_date").cast("string").alias("for_date"), F.size("_all").alias("signal_count"), shown.alias("signals"))
+    return grouped.select("run_id", F.to_json(envelope, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "ignoreNullFields": "false"}).alias("document"))
+
+
+STAGED = "name string, bytes long, sha256 string, part string"
+
+
+def stage_documents(documents: DataFrame, folder: str, name: Column, document: str = "document", suffix: str = ".json") -> DataFrame:
+    """Write each document to a file of its own beside its place: ``name, bytes, sha256, part``. Nothing that readers see changes."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for b in batches:
+            rows = []
+            for n, text in zip(b["name"], b["document"], strict=True):
+                data = f"{text}\n".encode()
+                part = f"{n}{suffix}.{uuid.uuid4().hex}.part"  # a task that runs twice writes two, and either may be taken
+                with files.open_output_stream(f"{root}/{part}") as out:
+                    out.write(data)
+                rows.append((f"{n}{suffix}", len(data), hashlib.sha256(data).hexdigest(), part))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGED.split(", ")])
+
+    return materialise(documents.select(name.cast("string").alias("name"), F.col(document).alias("document")).mapInPandas(write, STAGED))
+
+
+def commit_documents(staged: DataFrame, folder: str) -> DataFrame:
+    """Rename what was staged to its place, each file at once: readers see the old document or the new one. Done again, it changes nothing."""
+
+    def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for n, part in zip(b["name"], b["part"], strict=True):
+                if files.get_file_info(f"{root}/{part}").type == fs.FileType.File:
+                    files.move(f"{root}/{part}", f"{root}/{n}")
+            yield b[["name", "bytes", "sha256"]]
+
+    return materialise(staged.mapInPandas(rename, "name string, bytes long, sha256 string"))
+
+
+def publish_documents(documents: DataFrame, folder: str, name: Column, document: str = "document") -> DataFrame:
+    """Write documents as files that appear whole: ``name, bytes, sha256`` of each. The same documents give the same bytes."""
+    return commit_documents(stage_documents(documents, folder, name, document), folder)
 
 
 def batches(items: DataFrame, by: str, max_items: int = 8, max_chars: int = 12_000) -> DataFrame:

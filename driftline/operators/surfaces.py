@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,15 @@ from pyspark.sql import functions as F
 GENITIVE = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 ORDINALS = {2: "второй", 3: "третий", 4: "четвёртый", 5: "пятый"}
 MESSAGE_CHARS = 4096
+NOTIFICATION_CHARS = 40
 CARDS = 5
+#: Lengths of headlines, the endings and prepositions that open a dependent tail, and a change type as predicate and preposition.
+HEADLINE_MIN, HEADLINE_COMFORT, HEADLINE_LONG = 15, 110, 130
+TAIL = r"(?:[а-яё]{4,}(?:ая|яя|уя|юя|ые|ый|ое|ых|ее|ие|его|ей|ем|ую|ою|им|ыми|ими)|с|со|для|при|без|ради|вместо)\b"
+PREDICATES = {
+    "deprecation": ("объявляет об отключении", ""), "breaking_change": ("вносит ломающее изменение", "в"), "pricing": ("меняет цену", "на"), "limits": ("меняет лимиты", "в"),
+    "security": ("публикует изменение в безопасности", "для"), "release": ("выпускает", ""), "other": ("сообщает об изменении", "в"),
+}
 ROUTINE = ("release", "other")
 
 
@@ -37,17 +47,66 @@ def safe_url(url: Column) -> Column:
     return F.when(url.rlike(r"^https?://[^\s\"<>]+$"), url).otherwise("#")
 
 
-def shorten(text: Column, n: int) -> Column:
+def shorten(text: Column, n: Column | int) -> Column:
     """Cut at the last blank before ``n`` characters, with an ellipsis."""
-    cut = F.regexp_replace(F.substring(text, 1, n - 1), r"\s+\S*$", "")
+    n = F.lit(n)
+    cut = F.regexp_replace(F.substring(text, F.lit(1), n - 1), r"\s+\S*$", "")
     return F.when(F.length(text) <= n, text).otherwise(F.concat(cut, F.lit("…")))
 
 
-def headline(statement: Column) -> Column:
-    """The first clause; parentheses go above 110 characters, dependent tails above 130."""
-    first = F.trim(F.regexp_extract(statement, r"^(.*?(?:[.!?](?=\s|$)|$))", 1))
-    bare = F.when(F.length(first) > 110, F.regexp_replace(first, r"\s*\([^)]*\)", "")).otherwise(first)
-    return F.when(F.length(bare) > 130, F.regexp_replace(bare, r",\s+[^,]*$", "")).otherwise(bare)
+def first_claim(statement: Column) -> Column:
+    """The first clause of a statement; parentheses go above 110 characters, and above 130 a dependent tail from its first comma on."""
+    first = F.get(F.split(F.trim(statement), r"(?<=[.!?;])\s+", 2), F.lit(0))
+    first = F.trim(F.regexp_replace(F.regexp_replace(F.trim(first), r"^[,;]+|[,;]+$", ""), r"\.+$", ""))
+    bare = F.trim(F.regexp_replace(first, r"\s*\([^()]{0,120}\)", ""))
+    clause = F.when((F.length(first) > HEADLINE_COMFORT) & (F.length(bare) >= HEADLINE_MIN), bare).otherwise(first)
+    head = F.regexp_extract(clause, rf"(?isU)^(.{{{HEADLINE_MIN},}}?), {TAIL}", 1)
+    return F.when((F.length(clause) > HEADLINE_LONG) & (head != ""), F.regexp_replace(head, r"[ ,]+$", "")).otherwise(clause)
+
+
+def _reads_as_claim(text: Column) -> Column:
+    return F.coalesce((F.length(text) >= HEADLINE_MIN) & text.rlike("(?iu)[а-яё]"), F.lit(False))
+
+
+def headline_subject(product: Column, facts: Column) -> Column:
+    """What a change is about: the product, else the first affected product among the facts, else the first subject of one; null if none."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    affected = F.get(F.filter(facts, lambda f: (f["kind"] == "affected_product") & filled(f["value"]).isNotNull()), F.lit(0))["value"]
+    named = F.get(F.filter(facts, lambda f: filled(f["subject"]).isNotNull()), F.lit(0))["subject"]
+    return F.coalesce(filled(product), filled(affected), filled(named))
+
+
+def headline_date(facts: Column, subject: Column) -> Column:
+    """"с D month Y года": the subject's first date, or the only day that all dates name; only days and months that are stated count."""
+    dated = F.filter(facts, lambda f: f["value_date"].isNotNull() & f["kind"].isin("sunset_date", "effective_date") & f["precision"].isin("day", "month"))
+    pick = lambda rows: F.get(F.array_sort(F.transform(rows, lambda f, i: F.struct(f["value_date"].alias("d"), i.alias("i"), f["precision"].alias("p")))), F.lit(0))
+    owned = F.filter(dated, lambda f: F.coalesce(F.trim(f["subject"]) == subject, F.lit(False)))
+    one = F.size(F.array_distinct(F.transform(dated, lambda f: f["value_date"]))) == 1
+    first = F.get(F.transform(dated, lambda f: F.struct(f["value_date"].alias("d"), F.lit(0).alias("i"), f["precision"].alias("p"))), F.lit(0))
+    chosen = F.when(F.size(owned) > 0, pick(owned)).when(one, first)
+    day = F.when(chosen["p"] == "day", F.concat(F.dayofmonth(chosen["d"]).cast("string"), F.lit(" "))).otherwise("")
+    return F.concat(F.lit("с "), day, F.element_at(F.array(*map(F.lit, GENITIVE)), F.month(chosen["d"])), F.lit(" "), F.year(chosen["d"]).cast("string"), F.lit(" года"))
+
+
+def composed_headline(vendor: Column, change_type: Column, type_label: Column, product: Column, facts: Column) -> Column:
+    """Who did what with what, since when, from fields; without a vendor "type: subject", and null without that."""
+    names = lambda n: F.create_map(*[F.lit(x) for k, v in PREDICATES.items() for x in (k, v[n])])
+    kind = F.when(F.trim(change_type).isin(*PREDICATES), F.trim(change_type)).otherwise("other")
+    subject = headline_subject(product, facts)
+    does, to = F.element_at(names(0), kind), F.nullif(F.element_at(names(1), kind), F.lit(""))
+    who = F.nullif(F.trim(vendor), F.lit(""))
+    head = F.when(who.isNotNull(), F.concat_ws(" ", who, does, F.when(subject.isNotNull(), to), subject)).when(F.nullif(F.trim(change_type), F.lit("")).isNotNull(), F.concat(F.coalesce(type_label, F.trim(change_type)), F.lit(": "), subject))
+    return F.when(head.isNotNull(), F.concat_ws(" ", head, headline_date(facts, subject)))
+
+
+def headline(statement: Column, vendor: Column, change_type: Column, type_label: Column, product: Column, facts: Column, title: Column) -> Column:
+    """The first claim of the statement if it reads as one, else a headline composed from the fields if that does, else the title.
+
+    ``facts`` are structs ``kind, value, subject, value_date, precision``.
+    """
+    facts = F.coalesce(facts, F.expr("cast(array() as array<struct<kind:string,value:string,subject:string,value_date:date,precision:string>>)"))
+    claim, composed = first_claim(statement), composed_headline(vendor, change_type, type_label, product, facts)
+    return F.when(_reads_as_claim(claim), claim).when(_reads_as_claim(composed), composed).otherwise(title)
 
 
 def select_cards(signals: DataFrame) -> DataFrame:
@@ -55,17 +114,78 @@ def select_cards(signals: DataFrame) -> DataFrame:
     return signals.filter((F.col("signal_type") == "digest_item") & F.col("tier").isin("lead", "standard") | (F.col("signal_type") != "digest_item") & (F.col("rank") == 1))
 
 
-def messages(signals: DataFrame, by: str = "run_id", cards: int = CARDS, limit: int = MESSAGE_CHARS) -> DataFrame:
-    """One message per run with the first cards by rank (0 last), shortened until it fits."""
-    first = signals.withColumn("_r", F.when(F.col("rank") == 0, 1 << 30).otherwise(F.col("rank")))
-    grouped = first.filter(F.col("_r") <= cards).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "title", "url"))), lambda x: F.struct(x["title"].alias("t"), x["url"].alias("u"))).alias("_c"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, as a variable, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fit_message(lead: Column, rows: Column, footer: Column, limit: int = MESSAGE_CHARS, gap: str = "\n\n") -> Column:
+    """struct(message, fits, shown): a message of a lead card, compact rows and a footer, ``gap`` between them, shrunk by whole units until it fits.
+
+    ``lead`` is a struct ``headline, url, summary (array), context, why``. Units go in this order: sentences of the summary
+    but the first, the context, the reason, rows from the last, the summary, and at last the headline is halved down to
+    ``NOTIFICATION_CHARS``; the address and the footer always stay. The states are laid out in order with the size of each
+    from running sums, and only the first that fits is built, so nothing is cut inside a tag or an address.
+    """
+    some = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    sums = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + F.length(x) + 1))
+    none = F.expr("cast(array() as array<int>)")
+    own = F.struct(
+        F.transform(F.coalesce(lead["summary"], F.expr("cast(array() as array<string>)")), escape).alias("texts"), rows.alias("rows"), escape(lead["context"]).alias("context"), escape(lead["why"]).alias("why"),
+        lead["headline"].alias("headline"), lead["url"].alias("url"), F.coalesce(footer, F.lit("")).alias("footer"),
+    )
+
+    def state(s: Column, c: bool, w: bool, r: Column, h: Column) -> Column:
+        return F.struct(s.cast("int").alias("s"), F.lit(c).alias("c"), F.lit(w).alias("w"), r.cast("int").alias("r"), h.cast("int").alias("h"))
+
+    def states(v: Column) -> Column:
+        n, k, full = F.size(v["texts"]), F.size(v["rows"]), F.length(v["headline"])
+        one, zero = F.least(n, F.lit(1)), F.lit(0)
+        down = lambda top, low: F.when(top > low, F.sequence(top - 1, low, F.lit(-1))).otherwise(none)
+        halves = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.greatest(F.lit(NOTIFICATION_CHARS), F.floor(full / F.pow(F.lit(2.0), i)).cast("int")))
+        return F.concat(
+            F.array(state(n, True, True, k, full)),
+            F.transform(down(n, one), lambda s: state(s, True, True, k, full)),
+            F.array(state(one, False, True, k, full), state(one, False, False, k, full)),
+            F.transform(down(k, zero), lambda r: state(one, False, False, r, full)),
+            F.array(state(zero, False, False, zero, full)),
+            F.transform(F.array_distinct(F.filter(halves, lambda h: h < full)), lambda h: state(zero, False, False, zero, h)),
+        )
+
+    def chars(v: Column, m: Column, x: Column) -> Column:
+        part = lambda size: F.when(size > 0, size + len(gap)).otherwise(0)
+        optional = lambda shown, c: F.when(shown & some(c), F.length(c) + len(gap)).otherwise(0)
+        head = F.length(escape(shorten(v["headline"], x["h"]))) + 1 + F.length(v["url"])
+        return head + part(F.get(m["text_sums"], x["s"]) - 1) + optional(x["c"], v["context"]) + optional(x["w"], v["why"]) + part(F.get(m["row_sums"], x["r"]) - 1) + optional(F.lit(True), v["footer"])
+
+    def build(v: Column, x: Column) -> Column:
+        lines = lambda parts, m, by: F.nullif(F.array_join(F.slice(parts, F.lit(1), m), by), F.lit(""))
+        optional = lambda shown, c: F.when(shown & some(c), c)
+        head = F.concat(escape(shorten(v["headline"], x["h"])), F.lit("\n"), v["url"])
+        return F.concat_ws(gap, head, lines(v["texts"], x["s"], " "), optional(x["c"], v["context"]), optional(x["w"], v["why"]), lines(v["rows"], x["r"], "\n"), optional(F.lit(True), v["footer"]))
+
+    def shrunk(v: Column) -> Column:
+        measured = F.struct(sums(v["texts"]).alias("text_sums"), sums(v["rows"]).alias("row_sums"), states(v).alias("states"))
+        fitting = lambda m: F.struct(F.get(F.filter(m["states"], lambda x: chars(v, m, x) <= limit), F.lit(0)).alias("fits"), F.element_at(m["states"], -1).alias("last"))
+        return _let(_let(measured, fitting), lambda f: _let(F.coalesce(f["fits"], f["last"]), lambda x: F.struct(build(v, x).alias("message"), f["fits"].isNotNull().alias("fits"), (x["r"] + 1).alias("shown"))))
+
+    return _let(own, shrunk)
 
-    def text(chars: int) -> Column:
-        return F.array_join(F.transform("_c", lambda c: F.concat(F.lit("• "), shorten(c["t"], chars), F.lit("\n"), safe_url(c["u"]))), "\n")
 
-    options = [text(n) for n in (600, 300, 150, 80)]
-    fit = F.coalesce(*[F.when(F.length(o) <= limit, o) for o in options], F.substring(options[-1], 1, limit))
-    return grouped.select(by, fit.alias("message"))
+def messages(signals: DataFrame, by: str = "run_id", cards: int = CARDS, limit: int = MESSAGE_CHARS) -> DataFrame:
+    """``message, fits, shown`` per run with the first cards by rank (0 last), shrunk until it fits (see ``fit_message``).
+
+    Columns read: ``rank, title, url`` and, where there are such, ``summary`` (array), ``context`` and ``why`` of the lead.
+    """
+    own = {"summary": "cast(array() as array<string>)", "context": "cast(null as string)", "why": "cast(null as string)"}
+    full = signals.withColumns({c: F.expr(e) for c, e in own.items() if c not in signals.columns}).withColumn("_r", F.when(F.col("rank") == 0, 1 << 30).otherwise(F.col("rank")))
+    card = F.struct("_r", "title", "url", F.coalesce("summary", F.expr(own["summary"])).alias("summary"), "context", "why")
+    grouped = full.filter(F.col("_r") <= cards).groupBy(by).agg(F.array_sort(F.collect_list(card)).alias("_c"))  # at most ``cards`` of a run
+    first = F.get("_c", F.lit(0))
+    lead = F.struct(F.concat(F.lit("• "), first["title"]).alias("headline"), safe_url(first["url"]).alias("url"), first["summary"].alias("summary"), first["context"].alias("context"), first["why"].alias("why"))
+    rows = F.transform(F.slice("_c", F.lit(2), F.lit(1 << 20)), lambda c: F.concat(F.lit("• "), escape(shorten(c["title"], 600)), F.lit("\n"), safe_url(c["url"])))
+    named = grouped.select(by, lead.alias("lead"), rows.alias("rows"))
+    return named.select(by, fit_message(F.col("lead"), F.col("rows"), F.lit(""), limit, "\n").alias("m")).select(by, "m.*")
 
 
 def mail(signals: DataFrame, by: str = "run_id") -> DataFrame:

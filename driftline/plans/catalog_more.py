@@ -7,14 +7,13 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Y
 
 from driftline.functions import text as T
 from driftline.operators import client, collect, dating, identity, retrieval, runlog, scoring, surfaces
 from driftline.plans import standins as S
 from driftline.plans.catalog import ORACLES, QUERIES, query
 from driftline.plans.catalog_records import _DAYS, TODAY
-from driftline.sources import theme
+
 
 
 @query(
@@ -79,15 +78,6 @@ def fil18_client_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("stale", client.is_stale(F.col("for_date"), F.lit(S.RUN_DAY), F.lit(False)))
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, 'extra,other' AS unknown, 'note' AS missing FROM customer")
-def fn53_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as JSON with two more fields, read back under a schema with one that they lack."""
-    c = S.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.lit(1).alias("other"), F.lit("x").alias("extra"))
-    schema = Y.StructType([Y.StructField("c_custkey", Y.LongType()), Y.StructField("c_name", Y.StringType()), Y.StructField("c_acctbal", Y.DoubleType()), Y.StructField("note", Y.StringType())])
-    back = client.decode(client.encode(c, "c_custkey").select("document"), schema)
-    return back.select("value.c_custkey", "value.c_name", "value.c_acctbal", F.array_join("unknown", ",").alias("unknown"), F.array_join("missing", ",").alias("missing"))
-
-
 @query(S.RUNS + ", d AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY))::DATE AS for_date) SELECT for_date FROM d WHERE for_date NOT IN (SELECT for_date FROM runs WHERE status = 'ok' AND checkpoints = 2)")
 def jn15_undelivered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days without a delivery in the log of any run: one channel of two must have gone well."""
@@ -169,20 +159,6 @@ def snk10_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.mail(surfaces.select_cards(s))
 
 
-_THEME = '{"theme": {"id": "t"}, "corpus": {"vendors": ["v"], "change_types": ["release"]}, "sources": [{"id": "a", "type": "feed", "priority": 1}, {"id": "b", "type": "page", "enabled": false}, {"id": "c", "type": "feed", "backfill_supported": false}]}'
-
-
-@query("SELECT * FROM (VALUES ('a', 'feed', 1), ('c', 'feed', 5)) x(source_id, type, priority)")
-def src12_theme_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collect.select_sources(theme.sources_frame(spark, theme.load(_THEME)), "live").select("source_id", "type", "priority")
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Limits rise again' ELSE p_name END AS headline FROM part")
-def fn15_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = F.concat(F.lit("Limits rise again ("), F.repeat(F.lit("very "), 25), F.lit("long note). Then more follows."))
-    return S.table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(surfaces.headline(F.when(F.col("p_partkey") % 2 == 0, long).otherwise(F.concat("p_name", F.lit(". And so on.")))), r"[.]$", "").alias("headline"))
-
-
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 's' WHEN 1 THEN 'm' WHEN 2 THEN 'h' ELSE 'u' END AS vendor FROM nation")
 def ext06_vendor_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.operators import extract

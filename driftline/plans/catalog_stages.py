@@ -226,13 +226,13 @@ def set02_fact_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # publication
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.signals(spark, sf_dir)
     scored = scoring.score(s.withColumn("due", D.due_date(F.col("dates"), F.lit(S.AS_OF))), S.AS_OF)
     return scoring.rank(scored.withColumn("run_id", F.col("vendor")), by="run_id").select("run_id", "rank", "signal_id", "score", "tier", "change_type")
 
 
-_RANKED = (
+RANKED = (
     S.SIGNALS
     + """
 , due AS (SELECT *, coalesce(list_min(list_filter(dates, lambda d: d >= DATE '2001-02-01')), list_max(dates)) AS due FROM signals)
@@ -242,33 +242,27 @@ _RANKED = (
 )
 
 
-@query(_RANKED + " SELECT run_id, rank, signal_id, score FROM rk")
+@query(RANKED + " SELECT run_id, rank, signal_id, score FROM rk")
 def snk01_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialise(_ranked(spark, sf_dir))
+    stored = materialise(ranked(spark, sf_dir))
     return stored.select("run_id", "rank", "signal_id", "score")
 
 
-@query(_RANKED + " SELECT run_id, count(*) AS cards, max(score) AS best, sum(signal_id)::BIGINT AS ids FROM rk WHERE tier IN ('lead', 'standard') GROUP BY 1")
+@query(RANKED + " SELECT run_id, count(*) AS cards, max(score) AS best, sum(signal_id)::BIGINT AS ids FROM rk WHERE tier IN ('lead', 'standard') GROUP BY 1")
 def fil17_selected_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = surfaces.select_cards(_ranked(spark, sf_dir).withColumn("signal_type", F.lit("digest_item")))
+    s = surfaces.select_cards(ranked(spark, sf_dir).withColumn("signal_type", F.lit("digest_item")))
     return s.groupBy("run_id").agg(F.count("*").alias("cards"), F.max("score").alias("best"), F.sum("signal_id").alias("ids"))
 
 
-@query(_RANKED + " SELECT run_id, least(count(*), 100) AS items, min(signal_id) FILTER (WHERE rank = 1) AS first FROM rk GROUP BY 1")
-def snk08_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = publish.feed(_ranked(spark, sf_dir))
-    return f.select("run_id", F.get_json_object("document", "$.count").cast("long").alias("items"), F.get_json_object("document", "$.items[0].signal_id").cast("long").alias("first"))
-
-
-@query(_RANKED + " SELECT run_id, string_agg('• ' || change_type || ' ' || signal_id || chr(10) || 'https://s/' || signal_id, chr(10) ORDER BY rank) AS message FROM rk WHERE rank <= 5 GROUP BY 1")
+@query(RANKED + " SELECT run_id, string_agg('• ' || change_type || ' ' || signal_id || chr(10) || 'https://s/' || signal_id, chr(10) ORDER BY rank) AS message FROM rk WHERE rank <= 5 GROUP BY 1")
 def snk10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _ranked(spark, sf_dir).withColumns({"title": F.concat_ws(" ", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id")})
-    return surfaces.messages(s)
+    s = ranked(spark, sf_dir).withColumns({"title": F.concat_ws(" ", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id")})
+    return surfaces.messages(s).select("run_id", "message")
 
 
 @query()
 def snk09_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _ranked(spark, sf_dir).filter("tier = 'lead'").withColumns({"title": F.concat_ws(" ", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id")})
+    s = ranked(spark, sf_dir).filter("tier = 'lead'").withColumns({"title": F.concat_ws(" ", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id")})
     return surfaces.site(s)
 
 

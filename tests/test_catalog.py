@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from driftline.plans import catalog, catalog_flow, catalog_more, catalog_pages, catalog_records, catalog_stages  # noqa: F401  (the others add their queries to the first)
+from driftline.plans import catalog, catalog_delivery, catalog_flow, catalog_more, catalog_pages, catalog_records, catalog_stages  # noqa: F401  (the others add their queries to the first)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
