@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.dates import relevance
-
 #: Seconds that a fetched page is fresh, thresholds of proposals, default relevance threshold.
 TTL_SECONDS = 30
 MIN_RELEASES, MIN_STARS = 3, 300
@@ -63,24 +61,6 @@ def threshold(*configured: Column) -> Column:
     return F.coalesce(*[c.cast("double") for c in configured], F.lit(DEFAULT_THRESHOLD))
 
 
-def judge(clusters: DataFrame, backend: Callable[[pd.Series], pd.Series], limit: float, text: str = "title") -> DataFrame:
-    """Clusters with ``relevance`` by a backend (0..100, half-even) and ``kept``: at the limit or above.
-
-    The backend gets a batch of texts and answers with as many numbers. Without an answer (none for a text, or a backend that
-    raises, which never stops the stage) a cluster is unjudged and kept.
-    """
-
-    @F.pandas_udf("double")
-    def ask(texts: pd.Series) -> pd.Series:
-        try:
-            return backend(texts)
-        except Exception:  # unjudged materials are kept
-            return pd.Series([None] * len(texts), dtype="float64")
-
-    scored = clusters.withColumn("relevance", ask(F.coalesce(text, F.lit("")))).withColumn("relevance", F.when(F.col("relevance").isNotNull() & ~F.isnan("relevance"), relevance(F.col("relevance"))))
-    return scored.withColumn("kept", F.coalesce(F.col("relevance") >= limit, F.lit(True)))
-
-
 def rewrite_quiet(statuses: DataFrame, fresh: DataFrame) -> DataFrame:
     """``ok`` sources without fresh items become ``quiet``."""
     n = fresh.groupBy("source_id").agg(F.count("*").alias("fresh"))

@@ -41,10 +41,6 @@ def validate_precedents(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_m", mismatch).withColumn("reason", F.when(kept_before, "duplicate").otherwise(F.col("_m"))).drop("_m")
 
 
-def context_label(precedents: Column, in_trend: Column) -> Column:
-    return F.when(precedents < MIN_PRECEDENTS, "not_found_in_corpus").when(in_trend, "trend_member").otherwise("recurring")
-
-
 def sentences(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;])\s+|\n+")
 
@@ -76,6 +72,14 @@ def reader_gate(rows: DataFrame, wake_for: tuple[str, ...], min_tier: str = "sta
     return rows.filter((F.col("signal_type") != "digest_item") | (F.col("change_type").isin(*wake_for) & (level >= tiers[min_tier])))
 
 
-def source_status(rows: DataFrame) -> DataFrame:
-    """failed if there is an error, ok with items, empty below the expected number, else quiet."""
-    return rows.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(F.col("items") > 0, "ok").when(F.col("min_expected") > 0, "empty").otherwise("quiet"))
+def source_status(rows: DataFrame, mode: str = "live", seen: str | None = None) -> DataFrame:
+    """``status`` of sources from ``items, min_expected, error``.
+
+    failed if there is an error. Live: ok with items, empty where the whole source (``seen`` counts its records without a
+    window, if given) has none or fewer were to be expected, else quiet. In a backfill a source is ok with ``min_expected``
+    items or more, and empty with fewer: it answered, but not as deep as it should.
+    """
+    deep = F.when(F.col("items") >= F.col("min_expected"), "ok").otherwise("empty")
+    silent = F.when(F.col(seen) > 0, "quiet").otherwise("empty") if seen else F.when(F.col("min_expected") > 0, "empty").otherwise("quiet")
+    told = deep if mode == "backfill" else F.when(F.col("items") > 0, "ok").otherwise(silent)
+    return rows.withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise(told))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.evidence import reader_gate
+
 #: The reason of a rejection without a known code, and the known codes.
 OTHER_REASON, SPECULATION = "другое", "спекуляция"
 
@@ -63,11 +65,13 @@ def trend_of(statements: DataFrame, members: DataFrame, key: str = "trend_id") -
     return statements.join(listed, "statement_id", "left")
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """``name, rows`` of each table: the head of a readable dump."""
+def table_counts(tables: dict[str, DataFrame], ranges: dict[str, str] | None = None) -> DataFrame:
+    """``name, rows, least, most`` of each table: the head of a readable dump, with the range of the column that ``ranges`` names."""
     out = None
     for name, df in tables.items():
-        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        column = (ranges or {}).get(name)
+        ends = [f(column).cast("string") if column else F.lit(None).cast("string") for f in (F.min, F.max)]
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), ends[0].alias("least"), ends[1].alias("most"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -139,12 +143,13 @@ def with_source(items: DataFrame, sources: DataFrame) -> DataFrame:
     return items.join(sources.select("source_id", F.col("vendor").alias("source_vendor"), "priority", "label"), "source_id", "left")
 
 
-def deliver(signals: DataFrame, channels: dict[str, object]) -> dict[str, str | None]:
-    """Hand a gated digest to each channel; one that fails stops no other. Error by channel, null where it went well."""
+def deliver(signals: DataFrame, channels: dict[str, object], wake_for: tuple[str, ...] | None = None, min_tier: str = "standard") -> dict[str, str | None]:
+    """Hand a digest, behind the reader's gate if there is one, to each channel; one that fails stops no other. Error by channel, null where it went well."""
+    wanted = reader_gate(signals, wake_for, min_tier) if wake_for is not None else signals
     out: dict[str, str | None] = {}
     for name, send in channels.items():
         try:
-            send(signals)
+            send(wanted)
             out[name] = None
         except Exception as e:  # the error is the result
             out[name] = f"{type(e).__name__}: {e}"

@@ -31,19 +31,26 @@ def in_window(day: Column, as_of: Column, days: int) -> Column:
     return day.between(F.date_sub(as_of, days), as_of)
 
 
-def report(requests: DataFrame, corpus: DataFrame, windows: Sequence[int] = WINDOWS, min_evidence: int = MIN_EVIDENCE, page: int = PAGE) -> DataFrame:
+def report(requests: DataFrame, corpus: DataFrame, windows: Sequence[int] = WINDOWS, min_evidence: int = MIN_EVIDENCE, page: int = PAGE, excluded: DataFrame | None = None) -> DataFrame:
     """For each request (``request_id, vendor, change_type, as_of``): the window taken, strict and relaxed counts, rows shown, earliest date.
 
     The window is the shortest with enough announcements, else the widest. One pass over one join: all windows are
-    conditional aggregates of the widest. Superseded rows (``supersedes``) are never counted. Requests without a
-    vendor or type find nothing.
+    conditional aggregates of the widest. Superseded rows (``supersedes``) are never counted, nor those of ``excluded``
+    (``statement_id``, and ``request_id`` where only one request is to leave them out). Requests without a vendor or type
+    find nothing.
     """
     gone = corpus.filter("supersedes is not null").select(F.col("supersedes").alias("statement_id"))
+    own = excluded is not None and "request_id" in excluded.columns
+    if excluded is not None and not own:
+        gone = gone.unionByName(excluded.select("statement_id"))
     usable = corpus.filter("event_date is not null").join(gone, "statement_id", "left_anti")
     key = announcement(F.col("c.vendor"), F.col("c.change_type"), F.col("c.event_date"), F.col("c.source_url"))
     wanted = requests.withColumn("type", F.explode(relaxed_types(F.col("change_type"))))
     inside = in_window(F.col("c.event_date"), F.col("r.as_of"), max(windows))
     joined = wanted.alias("r").join(usable.alias("c"), (F.col("r.vendor") == F.col("c.vendor")) & (F.col("r.type") == F.col("c.change_type")) & inside)
+    if own:
+        left_out = excluded.select(F.col("request_id").alias("_r"), F.col("statement_id").alias("_s")).distinct()
+        joined = joined.join(left_out, (F.col("r.request_id") == F.col("_r")) & (F.col("c.statement_id") == F.col("_s")), "left_anti")
     strict = F.col("r.change_type") == F.col("c.change_type")
     aggs = []
     for w in windows:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import text as T
-from driftline.operators import client, collect, dating, identity, retrieval, runlog, scoring, surfaces
+from driftline.operators import client, collect, dating, identity, relevance, retrieval, runlog, scoring, surfaces
 from driftline.plans import standins as S
 from driftline.plans.catalog import ORACLES, QUERIES, query
 from driftline.plans.catalog_records import _DAYS, TODAY
@@ -95,15 +94,28 @@ def fn37_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # relevance stage
 
 
-def _backend(texts: pd.Series) -> pd.Series:
-    """A model that answers with the length of a title, and fails on some batches of work."""
-    return texts.map(lambda t: None if t.endswith("7") else float(len(t) * 10 + int(t[-1])))
+def _scores(batch: list[tuple[str, str]]) -> list[dict]:
+    """A model that scores by the words of a name, leaves some materials out, adds others, and fails on a batch that holds a certain one."""
+    if any(t.split()[0] == "hot" for _, t in batch if t):
+        raise TimeoutError("no answer")
+    told = [{"id": k, "relevance": 7.5 * len(t.split()[0]) if t else 0, "reason_code": "noise" if len(t) % 2 else "strange", "reason_note": ""} for k, t in batch if not k.endswith("7")]
+    return [{"id": "nobody", "relevance": 1}, *told, *({**v, "relevance": 0} for v in told)]
 
 
-@query("SELECT p_partkey AS cluster_id, CASE WHEN p_partkey % 10 = 7 THEN NULL ELSE least(100, length(p_partkey::VARCHAR) * 10 + p_partkey % 10)::INT END AS relevance, p_partkey % 10 = 7 OR length(p_partkey::VARCHAR) * 10 + p_partkey % 10 >= 35 AS kept FROM part")
+@query(
+    """
+WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) = 'hot' AS failed, p_partkey % 10 = 7 AS silent, p_size % 2 = 0 AS backed, round_even(least(100, 7.5 * length(split_part(p_name, ' ', 1))), 0)::INTEGER AS model FROM part),
+s AS (SELECT *, model - CASE WHEN backed THEN 0 ELSE least(30, model) END AS score FROM p)
+SELECT p_partkey AS cluster_id, CASE WHEN NOT failed AND NOT silent THEN score END AS relevance, failed OR silent OR score >= 35 AS kept,
+       CASE WHEN NOT failed AND NOT silent AND score < 35 THEN CASE WHEN model >= 35 THEN 'спекуляция' WHEN length(p_name) % 2 = 1 THEN 'noise' ELSE 'другое' END END AS reason_code,
+       CASE WHEN failed THEN 'TimeoutError: no answer' WHEN silent THEN 'no verdict for this id' END AS error FROM s"""
+)
 def ext05_relevance_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster_id"), F.col("p_partkey").cast("string").alias("title"))
-    return collect.judge(p, _backend, 35).select("cluster_id", "relevance", "kept")
+    """Names as materials; those a call fails on are asked alone, so that SQL can say which they are."""
+    p = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster_id"), F.col("p_name").alias("title"), (F.col("p_size") % 2 == 0).alias("backed"))
+    alone = F.split("title", " ")[0] == "hot"
+    parts = [relevance.judge(x, _scores, 35, ("noise",), backed="backed") for x in (p.filter(~alone), p.filter(alone))]
+    return parts[0].unionByName(parts[1]).select("cluster_id", "relevance", "kept", "reason_code", "error")
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN 1.0 * event_id END, CASE WHEN event_id % 3 = 0 THEN 2.0 END, CASE WHEN event_id % 5 = 0 THEN 3.0 END, 50.0)::DOUBLE AS threshold FROM events")

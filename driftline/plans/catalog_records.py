@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import dates as D
 from driftline.functions import phrases as P
-from driftline.operators import planning, records, trends
+from driftline.operators import evidence, planning, records, retrieval, runlog, trends
 from driftline.plans import standins as S
 from driftline.plans.catalog import QUERIES, query
 
@@ -178,9 +178,56 @@ def jn13_active_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.active(n, stored)
 
 
-@query("SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'labels', count(*) FROM labels")
+@query(
+    " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, min({c})::VARCHAR AS least, max({c})::VARCHAR AS most FROM {t}" for t, c in (("documents", "lang"), ("pages", "page_id"), ("labels", "doc_id"), ("benchmark", "item_id")))
+    + " UNION ALL SELECT 'conversations', count(*), NULL, NULL FROM conversations"
+)
 def snk12_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.table_counts({t: S.table(spark, sf_dir, t) for t in ("documents", "pages", "events", "labels")})
+    ranges = {"documents": "lang", "pages": "page_id", "labels": "doc_id", "benchmark": "item_id"}
+    return records.table_counts({t: S.table(spark, sf_dir, t) for t in (*ranges, "conversations")}, ranges)
+
+
+@query(
+    S.CALLS
+    + """
+SELECT CASE seq % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'other' END AS model, stage, count(*) AS calls, count(*) FILTER (WHERE NOT cached) AS live_calls, sum(tokens_in)::BIGINT AS tokens_in, round(sum(cost_usd), 4) AS cost_usd,
+       round(sum(CASE WHEN original_cost_usd <> 0 THEN original_cost_usd ELSE cost_usd END), 4) AS full_usd FROM calls GROUP BY 1, 2"""
+)
+def agg27_cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.col("seq") % 3 == 0, "small").when(F.col("seq") % 3 == 1, "large").otherwise("other")
+    out = runlog.cost_by(S.calls(spark, sf_dir).withColumn("model", model), "model", "stage")
+    return out.withColumns({c: F.round(c, 4) for c in ("cost_usd", "full_usd")})
+
+
+@query(
+    S.ITEMS
+    + """
+, s AS (SELECT source_id, user_id % 20 AS k, count(*) AS items, (user_id % 20) * 5 AS min_expected, CASE WHEN user_id % 20 = 3 THEN 'down' END AS error, count(*) FILTER (WHERE day > DATE '2024-01-28') AS fresh FROM items GROUP BY source_id, user_id % 20)
+SELECT source_id, k, CASE WHEN error IS NOT NULL THEN 'failed' WHEN items >= min_expected THEN 'ok' ELSE 'empty' END AS backfill, CASE WHEN error IS NOT NULL THEN 'failed' WHEN fresh > 0 THEN 'ok' WHEN items > 0 THEN 'quiet' ELSE 'empty' END AS live FROM s"""
+)
+def fil13_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources after a backfill (as many records as expected?) and after a live run (nothing new, or nothing at all?)."""
+    i = S.items(spark, sf_dir).withColumn("k", F.col("user_id") % 20)
+    s = i.groupBy("source_id", "k").agg(F.count("*").alias("seen"), F.count(F.when(F.col("day") > F.lit(date(2024, 1, 28)), 1)).alias("fresh"))
+    s = s.withColumns({"min_expected": F.col("k") * 5, "error": F.when(F.col("k") == 3, "down"), "items": F.col("seen")})
+    deep = evidence.source_status(s, "backfill").withColumn("backfill", F.col("status"))
+    live = evidence.source_status(deep.withColumn("items", F.col("fresh")), "live", "seen")
+    return live.select("source_id", "k", "backfill", F.col("status").alias("live"))
+
+
+@query(
+    S.CORPUS
+    + S.REQUESTS
+    + """
+, usable AS (SELECT * FROM corpus c WHERE event_date IS NOT NULL AND statement_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM corpus s WHERE s.supersedes = c.statement_id))
+, j AS (SELECT r.request_id, count(DISTINCT (u.event_date, split_part(u.source_url, '#', 1))) FILTER (WHERE u.event_date >= r.as_of - 180) AS n1, count(DISTINCT (u.event_date, split_part(u.source_url, '#', 1))) AS n2
+  FROM requests r JOIN usable u ON u.vendor = r.vendor AND u.change_type = r.change_type AND u.event_date BETWEEN r.as_of - 365 AND r.as_of GROUP BY 1)
+SELECT request_id, coalesce(CASE WHEN n1 >= 2 THEN n1 ELSE n2 END, 0)::BIGINT AS total_found FROM requests LEFT JOIN j USING (request_id)"""
+)
+def jn05_report_without_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval that leaves out a run's own statements."""
+    c = S.corpus(spark, sf_dir)
+    return retrieval.report(S.requests(spark, sf_dir), c, excluded=c.filter("statement_id % 4 = 0").select("statement_id")).select("request_id", "total_found")
 
 
 @query("SELECT p_type AS raw, count(*) AS n FROM part WHERE p_size % 2 = 1 GROUP BY 1 ORDER BY n DESC, raw")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import dates as D
-from driftline.operators import client, collect, extract, identity, planning, publish, records, runlog
+from driftline.operators import client, extract, identity, planning, publish, records, relevance, runlog
 from driftline.sources import theme
 
 #: Printed text, value, precision, month and day read from it.
@@ -125,8 +125,8 @@ def test_failures_stop_nothing(spark):
 
     m = spark.createDataFrame([(1, "a"), (2, None)], "material_id int, text string")
     assert [r.facts for r in extract.ask(m, broken).collect()] == [None, None]
-    judged = collect.judge(m, broken, 50, "text").collect()
-    assert all(r.kept and r.relevance is None for r in judged)
+    judged = relevance.judge(m, broken, 50, key="material_id", text="text").collect()
+    assert all(r.kept and r.relevance is None and r.error == "RuntimeError: down" for r in judged)
     sent = []
     assert records.deliver(m, {"mail": sent.append, "chat": broken}) == {"mail": None, "chat": "RuntimeError: down"} and len(sent) == 1
 
@@ -145,3 +145,22 @@ def test_unreadable_documents(spark):
     d = spark.createDataFrame([("{bad",), ('{"a": 1, "b": 2}',), (None,)], "document string")
     got = client.decode(d, StructType([StructField("a", LongType())])).collect()
     assert [(r.value and r.value.a, list(r.unknown)) for r in got] == [(None, []), (1, ["b"]), (None, [])]
+
+
+def test_relevance_in_batches(spark):
+    def model(batch):
+        assert len(batch) <= 8 and (len(batch) == 1 or sum(len(t) for _, t in batch) <= 12_000)
+        if any(t == "fail" for _, t in batch):
+            raise ValueError("down")
+        told = [{"id": k, "relevance": {"none": None, "word": "high"}.get(t, 60.5), "reason_code": "noise", "reason_note": "n"} for k, t in batch if t != "silent"]
+        return [{"id": "other", "relevance": 1}, *told, *({**v, "relevance": 1} for v in told)]
+
+    texts = ["fail", *["fine"] * 9, "silent", "none", "word", "x" * 20_000, None]
+    rows = [(i, t, i % 2 == 0, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "cluster_id int, title string, backed boolean, error string").coalesce(1)
+    got = {r.cluster_id: (r.relevance, r.kept, r.reason_code, r.error) for r in relevance.judge(df, model, 50, ("noise",), backed="backed").collect()}
+    assert [got[i] for i in range(8)] == [(None, True, None, "ValueError: down")] * 8  # the batch of the failing one, no other
+    assert got[8] == (60, True, None, None) and got[9] == (30, False, "спекуляция", None)
+    assert got[10][3] == "no verdict for this id" and got[11][3] == got[12][3] == "verdict without a number" and got[13] == (30, False, "спекуляция", None) and got[14] == (60, True, None, None)
+    assert [(s.start, s.stop) for s in relevance.batches_of([5, 5, 13, 1], 8, 12)] == [(0, 2), (2, 3), (3, 4)]
+    assert relevance.judge(df.filter("false"), model).collect() == []
