@@ -122,6 +122,16 @@ def _bucket_links(radius: int, limit: int):
     return run
 
 
+def _hung_on_least(links: DataFrame) -> DataFrame:
+    """Links ``a < b`` that connect the same: of the links of a ``b``, that to its least ``a`` stays, and the other ends hang on this one, too.
+
+    Tables give a member of a large group many links to the same few others; after this it has one, and those others few.
+    A class has at most a few links for each key it has, so its set is small.
+    """
+    ends = links.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
+    return ends.select("a", F.explode(F.array_union(F.array("b"), F.array_remove("all", F.col("a")))).alias("b")).distinct()
+
+
 def loose_links(fps: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
     """``a, b``: links that connect classes ``t`` of ``fps`` as do all pairs that share a key and differ in ``radius`` of 128 bits at most."""
     bucket = bucket or BUCKET
@@ -132,13 +142,13 @@ def loose_links(fps: DataFrame, radius: int, bucket: int | None = None) -> DataF
     links = found.filter("not hot").select("a", "b")
     hot = found.filter("hot").select(F.col("a").alias("key")).distinct()
     if hot.isEmpty():
-        return links
+        return _hung_on_least(links)
     rows = keyed.join(hot, "key")
     chunks = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / bucket).cast("int").alias("n"))
     rows = rows.join(chunks, "key").withColumn("c", F.pmod(F.xxhash64("t"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).alias("key"), "t", "w0", "w1")
     more = rows.repartition("key").sortWithinPartitions("key", "t").mapInPandas(_bucket_links(radius, 1 << 62), schema)
-    return links.unionByName(more.select("a", "b")).distinct()
+    return _hung_on_least(links.unionByName(more.select("a", "b")))
 
 
 def shared_counts(sets: list[np.ndarray], rows: np.ndarray, width: int = 8192) -> np.ndarray:
