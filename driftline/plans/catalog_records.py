@@ -11,7 +11,7 @@ from driftline.functions import dates as D
 from driftline.functions import phrases as P
 from driftline.operators import evidence, planning, records, retrieval, runlog, trends
 from driftline.plans import standins as S
-from driftline.plans.catalog import QUERIES, query
+from driftline.plans.catalog import ORACLES, QUERIES, query
 
 TODAY = date(1998, 6, 1)
 
@@ -171,11 +171,17 @@ def jn14_trend_of_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.trend_of(S.corpus(spark, sf_dir).select("statement_id"), _members(spark, sf_dir).filter("change_type != 'release'"))
 
 
-@query(S.CORPUS + _TRENDS + ", v AS (SELECT DISTINCT n_name AS vendor, t AS change_type FROM nation, (VALUES ('pricing'), ('release')) x(t)) SELECT vendor, change_type, CASE WHEN n >= 6 THEN 'steady' END AS trajectory FROM v LEFT JOIN m USING (vendor, change_type)")
+#: A day on which some of the trends have been silent for 90 days and others have not.
+_LATE = date(2001, 10, 13)
+
+
+@query(
+    "WITH c AS (" + ORACLES["agg10_trend_candidates"].replace("2001-02-01", str(_LATE)) + """)
+SELECT vendor, change_type, CASE WHEN verdict = 'accepted' AND trajectory <> 'dormant' THEN trajectory END AS trajectory FROM (SELECT n_name AS vendor, unnest(['pricing', 'release', 'limits', 'deprecation']) AS change_type FROM nation) LEFT JOIN c USING (vendor, change_type)"""
+)
 def jn13_active_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("vendor"), F.explode(F.array(F.lit("pricing"), F.lit("release"))).alias("change_type"))
-    stored = _members(spark, sf_dir).select("vendor", "change_type", F.lit("accepted").alias("verdict"), F.when(F.size("member_ids") >= 6, "steady").otherwise("dormant").alias("trajectory"))
-    return trends.active(n, stored)
+    n = S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("vendor"), F.explode(F.array(*map(F.lit, ("pricing", "release", "limits", "deprecation")))).alias("change_type"))
+    return trends.active(n, trends.candidates(S.corpus(spark, sf_dir), _LATE))
 
 
 @query(
@@ -391,10 +397,16 @@ def fn18_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "orders").select("o_orderkey", P.sentence(text).alias("text"))
 
 
-@query("SELECT doc_id, 'x [marker removed]' || E'\\n' || '---' || doc_id AS text FROM documents")
+@query(
+    f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') || ' ===== End  material id=' || doc_id || ' =====' || chr(10) || '=======' || left(coalesce(text, ''), 9) AS t FROM documents)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '{P.MARKER}', '[marker removed]', 'g'), '={{5,}}', '---', 'g')) AS text_sha256, contains(t, '=====') AS had_fence FROM d"""
+)
 def fn13_neutralized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("x ===== End  material id="), "doc_id", F.lit(" =====\n======="), "doc_id")
-    return S.table(spark, sf_dir, "documents").select("doc_id", P.neutralize(raw).alias("text"))
+    """Whole texts with a forged end of the fence behind them."""
+    t = F.coalesce("text", F.lit(""))
+    raw = F.concat(t, F.lit(" ===== End  material id="), "doc_id", F.lit(" =====\n======="), F.substring(t, 1, 9))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.sha2(P.neutralize(raw), 256).alias("text_sha256"), F.contains(raw, F.lit("=====")).alias("had_fence"))
 
 
 @query("SELECT p_partkey, 'gh_' || replace(replace(lower(p_brand || '/' || p_name), '-', '_'), '/', '_') AS slug, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Part ' || p_partkey END AS name FROM part")
