@@ -198,7 +198,7 @@ def mail(signals: DataFrame, by: str = "run_id") -> DataFrame:
 
 def site(signals: DataFrame, by: str = "run_id") -> DataFrame:
     """One HTML page per run: cards in rank order, escaped."""
-    card = F.concat(F.lit('<article><h2><a href="'), safe_url(F.col("url")), F.lit('">'), escape(F.col("title")), F.lit("</a></h2></article>"))
+    card = F.concat(F.lit('<article><h2><a href="'), escape(safe_url(F.col("url"))), F.lit('">'), escape(F.col("title")), F.lit("</a></h2></article>"))
     rows = signals.withColumn("_card", card).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "_card"))).alias("_c"))
     return rows.select(by, F.concat(F.lit("<!DOCTYPE html><main>"), F.array_join(F.transform("_c", lambda c: c["_card"]), ""), F.lit("</main>")).alias("html"))
 

@@ -108,7 +108,16 @@ def win12_lead_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.lead_first(rows, ("O0", "F1")).select("l_orderkey", "l_linenumber", F.col("lead_position").cast("long").alias("lead_position"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE d AS (SELECT source, doc_id AS seq, length(coalesce(text, ''))::BIGINT AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (
+  SELECT source, seq, chars, k, 0::BIGINT AS batch, 1 AS n, chars AS c FROM d WHERE k = 1
+  UNION ALL
+  SELECT d.source, d.seq, d.chars, d.k, r.batch + CASE WHEN r.n >= 8 OR r.c + d.chars > 12000 THEN 1 ELSE 0 END, CASE WHEN r.n >= 8 OR r.c + d.chars > 12000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 8 OR r.c + d.chars > 12000 THEN d.chars ELSE r.c + d.chars END
+  FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.k = r.k + 1)
+SELECT source, seq, chars, batch FROM r"""
+)
 def win09_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("seq"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
     return publish.batches(d, "source")
@@ -260,9 +269,9 @@ def snk10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.messages(s).select("run_id", "message")
 
 
-@query()
+@query(RANKED + """ SELECT run_id, '<!DOCTYPE html><main>' || string_agg('<article><h2><a href="https://s/' || signal_id || '?a=1&amp;b=2">' || change_type || ' &lt;' || signal_id || '&gt;</a></h2></article>', '' ORDER BY rank) || '</main>' AS html FROM rk GROUP BY 1""")
 def snk09_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ranked(spark, sf_dir).filter("tier = 'lead'").withColumns({"title": F.concat_ws(" ", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id")})
+    s = ranked(spark, sf_dir).withColumns({"title": F.format_string("%s <%d>", "change_type", "signal_id"), "url": F.concat(F.lit("https://s/"), "signal_id", F.lit("?a=1&b=2"))})
     return surfaces.site(s)
 
 
