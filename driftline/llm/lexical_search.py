@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import materialise, small_batches
+from driftline.llm.common import LARGE_ROWS, materialise, small_batches
 
 #: Bytes that part terms; A to Z are lower-cased, all beyond ASCII belongs to terms.
 _KEPT = [b for b in range(256) if b >= 0x80 or chr(b).isalnum()]
@@ -136,7 +136,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Ind
     whole = docs.select(text).mapInArrow(_sizes, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     documents, terms = whole[0] or 0, whole[1] or 0
     shape = SHARDS.format(key=docs.schema[key].dataType.simpleString())
-    return Index(materialise(docs.select(key, text).mapInArrow(_invert(documents, terms), shape), "index"), documents, terms)
+    return Index(materialise(docs.select(key, text).mapInArrow(_invert(documents, terms), shape), "index", **LARGE_ROWS), documents, terms)
 
 
 class _Block:
