@@ -7,6 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.plans.store import small_batches
+
 AS_OF = date(2001, 2, 1)
 RUN_DAY = date(2024, 1, 20)
 NOW = datetime(2024, 1, 25, 12)
@@ -15,6 +17,7 @@ STAGES = "collect cluster filter enrich score".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

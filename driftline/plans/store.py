@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch at most, as workers that share an executor each hold some.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches unless the session sets smaller ones; results don't depend on them."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a local session without that setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -44,6 +44,9 @@ LABEL_KEYS = ("title", "name", "version", "label", "heading")
 #: Hints that name the way to read a page, first of all.
 HINTS = {"sections": "headings", "table": "tables", "month_then_day": "marks", "embedded_json_index": "json"}
 
+#: Parts of pages that a task sorts, about: tasks are more as pages are, so none holds more.
+PARTS_OF_TASK = 100_000
+
 PARTS = "array<struct<kind:string,level:int,title:string,anchor:string,start:int,end:int,lead:boolean,grid:int,line:int,cell:int,header:boolean>>"
 
 
@@ -126,6 +129,8 @@ def content_root(root: Node) -> Node:
         size[id(node)] = (0, 0) if node.tag in ("script", "style", "template") else (chars, pieces)
         if node.tag == "body":
             body = node
+        if node.tag not in CONTENT_TAGS and not node.attrs:
+            continue
         ways = (node.tag == CONTENT_TAGS[0], node.tag == CONTENT_TAGS[1], node.attrs.get("role") == "main", *(node.attrs.get("id") == i for i in CONTENT_IDS), *(c in node.attrs.get("class", "").split() for c in CONTENT_CLASSES))
         total = chars + max(0, pieces - 1)
         if any(ways) and (total > most or total == most and ways.index(True) < order):
@@ -273,10 +278,14 @@ def html_to_text(html: Column) -> Column:
     return F.struct(o["title"].alias("title"), F.array_join(lines, "\n").alias("text"))
 
 
-def _dated_parts(read: DataFrame) -> DataFrame:
-    """Parts of all pages with the date that each states (``d``), the heading before it and the last year stated by one."""
+def _parts(read: DataFrame) -> DataFrame:
+    """Parts of all pages with the date that each states (``d``)."""
     p = read.select("page", F.posexplode("parts").alias("pos", "p")).select("page", "pos", "p.*")
-    p = p.withColumn("d", D.parse_date_fragment(F.col("title")))
+    return p.withColumn("d", D.parse_date_fragment(F.col("title")))
+
+
+def _dated_parts(p: DataFrame) -> DataFrame:
+    """Parts with the heading before each and the last year stated by one."""
     heading = F.col("kind") == "heading"
     before = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("page").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
@@ -399,13 +408,19 @@ def page_sections(pages: DataFrame, url: str = "url", html: str = "html", hint:
     so repeated rows are read each by itself; null html has no sections. ``page_section`` is the address of the page that a
     section was cut from, null for entries of an index, which have addresses of their own.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), outline(F.col(html)).alias("o"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
+    spark = pages.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pages.repartition(tasks)  # small files hold many pages, and to read one takes long
+    rows = dealt.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), outline(F.col(html)).alias("o"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
     rows = materialise(rows.select("page", "url", "html", "hint", "o.text", "o.parts", "kept"))
-    parts = materialise(_dated_parts(rows))
-    marks = _marks(parts)
-    spans = _headings(parts).unionByName(_tables(parts)).unionByName(_sentences(parts, most_sentences)).withColumn("label", F.lit(None).cast("string")).unionByName(marks)
-    held = spans.groupBy("page").agg(F.collect_list(F.struct("way", "start", "until", "body_from", "title", "label", "anchor", "d", "year_from")).alias("spans"))
-    s = rows.select("page", "url", "text").join(held, "page").select("page", "url", "text", F.explode("spans").alias("s")).select("page", "url", "text", "s.*")
+    size = rows.agg(F.sum(F.size("parts"))).first()[0] or 0
+    tasks = max(size // PARTS_OF_TASK, tasks)
+    by_page = lambda df: df.repartition(tasks, "page")
+    parts = materialise(_dated_parts(by_page(_parts(rows))))
+    spans = _headings(by_page(parts.filter("kind = 'heading'"))).unionByName(_tables(by_page(parts.filter("kind = 'cell'")))).unionByName(_sentences(by_page(parts.filter("kind = 'sentence'")), most_sentences))
+    spans = spans.withColumn("label", F.lit(None).cast("string")).unionByName(_marks(by_page(parts.filter("kind = 'label'"))))
+    held = by_page(spans).groupBy("page").agg(F.collect_list(F.struct("way", "start", "until", "body_from", "title", "label", "anchor", "d", "year_from")).alias("spans"))
+    s = by_page(rows.select("page", "url", "text", "hint", "kept")).join(held.hint("merge"), "page").select("page", "url", "text", "hint", "kept", F.explode("spans").alias("s")).select("page", "url", "text", "hint", "kept", "s.*")
     upto = F.coalesce("until", F.length("text"))
     cut = lambda a, b: F.trim(F.regexp_replace(F.substring(F.col("text"), a + 1, b - a), r"^\s+|\s+$", ""))
     s = s.withColumns({"raw_text": cut(F.col("start"), F.least(upto, F.col("start") + MAX_SECTION)), "body": cut(F.col("body_from"), upto)})
@@ -414,19 +429,16 @@ def page_sections(pages: DataFrame, url: str = "url", html: str = "html", hint:
     line = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x) >= LONG_LINE), F.lit(0)), F.get(lines, F.lit(0)))
     s = s.withColumn("title", F.coalesce("title", F.concat_ws(" - ", "label", F.substring(line, 1, MAX_LINE))))
     address = F.when(F.col("anchor") != "", F.concat_ws("#", "url", "anchor")).otherwise(F.col("url"))
-    cuts = s.select("page", address.alias("url"), "title", "raw_text", F.nullif("anchor", F.lit("")).alias("anchor"), "d", "year_from", "way", F.col("url").alias("page_section"))
-    index = json_index(rows).join(rows.select("page", F.col("url").alias("at")), "page")
+    cuts = s.select("page", address.alias("url"), "title", "raw_text", F.nullif("anchor", F.lit("")).alias("anchor"), "d", "year_from", "way", F.col("url").alias("page_section"), "hint", "kept")
+    index = by_page(json_index(rows)).join(by_page(rows.select("page", F.col("url").alias("at"), "hint", "kept")).hint("merge"), "page")
     site = F.regexp_extract("at", r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
     own = F.when(F.col("link").rlike("^https?:"), F.col("link")).when(F.col("link").startswith("//"), F.concat(F.regexp_extract("at", r"^([A-Za-z][\w+.-]*:)", 1), "link")).when(F.col("link").startswith("/"), F.concat(site, "link"))
-    index = index.select("page", F.coalesce(own, "at").alias("url"), F.coalesce(F.nullif("title", F.lit("")), "link").alias("title"), F.concat_ws(" | ", "d.text", F.nullif("title", F.lit("")), F.nullif("link", F.lit(""))).alias("raw_text"), F.lit(None).cast("string").alias("anchor"), "d", F.lit(None).cast("string").alias("year_from"), F.lit("json").alias("way"), F.when(own.isNull(), F.col("at")).alias("page_section"))
-    found = materialise(cuts.unionByName(index))
+    index = index.select("page", F.coalesce(own, "at").alias("url"), F.coalesce(F.nullif("title", F.lit("")), "link").alias("title"), F.concat_ws(" | ", "d.text", F.nullif("title", F.lit("")), F.nullif("link", F.lit(""))).alias("raw_text"), F.lit(None).cast("string").alias("anchor"), "d", F.lit(None).cast("string").alias("year_from"), F.lit("json").alias("way"), F.when(own.isNull(), F.col("at")).alias("page_section"), "hint", "kept")
     hinted = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])
-    counts = found.groupBy("page", "way").agg(F.count("*").alias("n")).join(rows.select("page", F.try_element_at(hinted, F.col("hint")).alias("wanted")), "page")
-    place = F.when(F.col("way") == F.col("wanted"), 0).when(F.col("way") == "headings", 1).when(F.col("way") == "tables", 2).when(F.col("way").isin("marks", "json"), 3).otherwise(4)
-    best = counts.groupBy("page").agg(F.min_by("way", F.struct(place, -F.col("n"), F.col("way") != "marks")).alias("way"))
-    out = found.join(best, ["page", "way"]).select("page", "url", "title", "raw_text", "anchor", F.col("d.value").alias("event_date"), F.col("d.precision").alias("date_precision"), F.col("d.text").alias("date_text"), "year_from", "way", "page_section")
-    if keep:
-        out = out.join(rows.select("page", *[F.col(f"kept.{k}").alias(k) for k in keep]), "page")
+    place = F.when(F.col("way") == F.try_element_at(hinted, F.col("hint")), 0).when(F.col("way") == "headings", 1).when(F.col("way") == "tables", 2).when(F.col("way").isin("marks", "json"), 3).otherwise(4)
+    found = by_page(cuts.unionByName(index)).withColumn("n", F.count("*").over(Window.partitionBy("page", "way")))
+    found = found.withColumn("best", F.min(F.struct(place.alias("place"), (-F.col("n")).alias("fewest"), (F.col("way") != "marks").alias("other"), "way")).over(Window.partitionBy("page"))).filter("way = best.way")
+    out = found.select("page", "url", "title", "raw_text", "anchor", F.col("d.value").alias("event_date"), F.col("d.precision").alias("date_precision"), F.col("d.text").alias("date_text"), "year_from", "way", "page_section", *[F.col(f"kept.{k}").alias(k) for k in keep])
     if since is not None:
         out = out.filter(F.col("event_date").isNull() | (D.period_end(F.col("event_date"), F.col("date_precision")) >= since))
     return out
