@@ -15,11 +15,16 @@ class ThemeError(ValueError):
 
 
 def load(text: str) -> dict:
-    """A theme from YAML, or from JSON where no YAML reader is installed."""
+    """A theme from JSON, or from YAML, of which readers take far longer."""
     try:
-        import yaml
-    except ImportError:
-        return check(json.loads(text))
+        return check(json.loads(text) or {})
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError:
+            yaml = None
+        if yaml is None:
+            raise
     return check(yaml.safe_load(text) or {})
 
 
@@ -31,12 +36,13 @@ def check(theme: dict) -> dict:
     for part in ("vendors", "change_types"):
         if not theme["corpus"].get(part):
             raise ThemeError(f"corpus.{part} is empty")
-    ids = [s.get("id") for s in theme["sources"]]
+    seen = set()
     for source in theme["sources"]:
         if not source.get("id") or not source.get("type"):
             raise ThemeError(f"source without id or type: {source}")
-        if ids.count(source["id"]) > 1:
+        if source["id"] in seen:
             raise ThemeError(f"duplicate source id: {source['id']}")
+        seen.add(source["id"])
     return theme
 
 
