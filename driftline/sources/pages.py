@@ -278,6 +278,17 @@ def html_to_text(html: Column) -> Column:
     return F.struct(o["title"].alias("title"), F.array_join(lines, "\n").alias("text"))
 
 
+def _slices(texts: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+    offsets = [list(o) for o in bounds]
+    cut = lambda at: [[t[a:b] for a, b in zip(o[at::4], o[at + 1 :: 4], strict=True)] for t, o in zip(texts, offsets, strict=True)]
+    return pd.DataFrame({"raw_text": cut(0), "body": cut(2)})
+
+
+def slices(text: Column, bounds: Column) -> Column:
+    """struct(raw_text, body): pieces of a text, each pair by four offsets, in one pass whatever their number."""
+    return F.pandas_udf(_slices, "raw_text array<string>, body array<string>")(text, bounds)
+
+
 def _parts(read: DataFrame) -> DataFrame:
     """Parts of all pages with the date that each states (``d``)."""
     p = read.select("page", F.posexplode("parts").alias("pos", "p")).select("page", "pos", "p.*")
@@ -420,10 +431,15 @@ def page_sections(pages: DataFrame, url: str = "url", html: str = "html", hint:
     spans = _headings(by_page(parts.filter("kind = 'heading'"))).unionByName(_tables(by_page(parts.filter("kind = 'cell'")))).unionByName(_sentences(by_page(parts.filter("kind = 'sentence'")), most_sentences))
     spans = spans.withColumn("label", F.lit(None).cast("string")).unionByName(_marks(by_page(parts.filter("kind = 'label'"))))
     held = by_page(spans).groupBy("page").agg(F.collect_list(F.struct("way", "start", "until", "body_from", "title", "label", "anchor", "d", "year_from")).alias("spans"))
-    s = by_page(rows.select("page", "url", "text", "hint", "kept")).join(held.hint("merge"), "page").select("page", "url", "text", "hint", "kept", F.explode("spans").alias("s")).select("page", "url", "text", "hint", "kept", "s.*")
-    upto = F.coalesce("until", F.length("text"))
-    cut = lambda a, b: F.trim(F.regexp_replace(F.substring(F.col("text"), a + 1, b - a), r"^\s+|\s+$", ""))
-    s = s.withColumns({"raw_text": cut(F.col("start"), F.least(upto, F.col("start") + MAX_SECTION)), "body": cut(F.col("body_from"), upto)})
+    s = by_page(rows.select("page", "url", "text", "hint", "kept")).join(held.hint("merge"), "page")
+    # a page's text is cut once for all its sections, which then go on without it
+    upto = lambda x: F.coalesce(x["until"], F.length("text"))
+    bounds = F.flatten(F.transform("spans", lambda x: F.array(x["start"], F.least(upto(x), x["start"] + MAX_SECTION), x["body_from"], upto(x))))
+    s = s.select("page", "url", "hint", "kept", "spans", slices(F.col("text"), bounds).alias("c"))
+    s = s.select("page", "url", "hint", "kept", F.explode(F.arrays_zip("spans", F.col("c.raw_text").alias("raw_text"), F.col("c.body").alias("body"))).alias("s"))
+    s = s.select("page", "url", "hint", "kept", "s.spans.*", "s.raw_text", "s.body")
+    bare = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    s = s.withColumns({"raw_text": bare(F.col("raw_text")), "body": bare(F.col("body"))})
     s = s.filter(((F.col("way") != "headings") | (F.length("body") >= MIN_BODY)) & (F.col("raw_text") != ""))
     lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     line = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x) >= LONG_LINE), F.lit(0)), F.get(lines, F.lit(0)))
