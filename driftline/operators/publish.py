@@ -18,6 +18,8 @@ from driftline.plans.store import materialise
 UPCOMING_DAYS = 120
 MAX_UPCOMING, UPCOMING_SCAN = 3, 200
 OBLIGATIONS = ("deprecation", "breaking_change")
+#: Materials that a task folds, about: tasks are more as materials are, so none sorts more (but for those of one subject).
+MATERIALS_OF_TASK = 200_000
 IDENTIFIER = r"(?i)\b[a-z][a-z0-9]*(?:[.-][a-z0-9]+)+\b"
 
 
@@ -91,21 +93,27 @@ def append_unique(existing: DataFrame, batch: DataFrame) -> DataFrame:
 def collapse_events(enriched: DataFrame) -> DataFrame:
     """One row per ``subject``: materials folded in order of ``seq``; the one with more facts than what leads so far takes the lead.
 
-    Columns read: ``subject, seq, cluster_id, facts (array<string>), seen_in (array<string>)``. The lead counts the facts merged so
-    far, so this is a fold and not a maximum; it runs over the sorted materials of a subject, which are those of one run.
+    Columns read: ``subject, seq, cluster_id, facts (array<string>), seen_in (array<string>)``; a null array is an empty one. The lead
+    counts the facts merged so far, so this is a fold and not a maximum. What is merged so far are running counts of facts that
+    stand in no material before, so no step handles the merged facts again.
+
+    What takes the lead puts its sources before those seen, so they stand in this order: materials that took the lead, last one
+    first, then the others as they came.
     """
-    one = F.struct("seq", F.col("cluster_id").cast("string").alias("id"), "facts", "seen_in")
-    grouped = enriched.groupBy("subject").agg(F.array_sort(F.collect_list(one)).alias("_m"))
-    none = "cast(array() as array<string>)"
-    start = F.expr(f"named_struct('n', 0L, 'lead', cast(null as string), 'facts', {none}, 'seen', {none})")
-
-    def step(acc: Column, x: Column) -> Column:
-        takes = (acc["n"] == 0) | (F.size(x["facts"]) > F.size(acc["facts"]))
-        both = lambda mine, theirs: F.when(takes, F.array_union(theirs, mine)).otherwise(F.array_union(mine, theirs))
-        return F.struct((acc["n"] + 1).alias("n"), F.when(takes, x["id"]).otherwise(acc["lead"]).alias("lead"), both(acc["facts"], x["facts"]).alias("facts"), both(acc["seen"], x["seen_in"]).alias("seen"))
-
-    folded = grouped.select("subject", F.aggregate("_m", start, step).alias("e"))
-    return folded.select("subject", F.col("e.lead").alias("cluster_id"), F.col("e.n").alias("materials"), F.size("e.facts").cast("long").alias("facts"), F.array_join("e.seen", "|").alias("seen_in"))
+    by_subject = Window.partitionBy("subject")
+    m = enriched.select("subject", "seq", F.col("cluster_id").cast("string").alias("id"), F.coalesce("facts", F.expr("cast(array() as array<string>)")).alias("facts"), "seen_in")
+    tasks = max(enriched.count() // MATERIALS_OF_TASK, enriched.sparkSession.sparkContext.defaultParallelism)
+    m = m.repartition(tasks, "subject").withColumn("k", F.row_number().over(by_subject.orderBy("seq", "id", "facts", "seen_in")))
+    f = m.select("subject", "k", "id", "seen_in", F.size("facts").alias("size"), F.posexplode_outer("facts").alias("at", "fact"))
+    new = (F.row_number().over(Window.partitionBy("subject", "fact").orderBy("k", "at")) == 1) & F.col("at").isNotNull()
+    m = f.withColumn("new", new).groupBy("subject", "k").agg(F.first("id").alias("id"), F.first("seen_in").alias("seen_in"), F.first("size").alias("size"), F.count(F.when(F.col("new"), 1)).alias("new"))
+    m = m.withColumn("merged", F.sum("new").over(by_subject.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    takes = (F.col("k") == 1) | (F.col("size") > F.col("merged") - F.col("new"))
+    m = m.select("subject", "k", "merged", F.when(takes, F.struct("k", "id")).alias("lead"), F.when(takes, -F.col("k")).otherwise(F.col("k")).alias("place"), F.posexplode_outer("seen_in").alias("at", "seen"))
+    each = m.groupBy("subject", "seen").agg(F.min(F.struct("place", "at")).alias("place"), F.max("lead").alias("lead"), F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("n"), F.max("merged").alias("merged"))
+    seen = F.array_sort(F.collect_list(F.when(F.col("seen").isNotNull(), F.struct("place", "seen"))))
+    e = each.groupBy("subject").agg(F.max("lead").alias("lead"), F.sum("n").alias("materials"), F.max("merged").alias("facts"), seen.alias("seen"))
+    return e.select("subject", F.col("lead.id").alias("cluster_id"), "materials", "facts", F.array_join("seen.seen", "|").alias("seen_in"))
 
 
 FEED_VERSION = 1
