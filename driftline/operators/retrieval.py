@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.plans.store import materialise
+
 #: Trailing windows, evidence needed, page size, groups of neighbouring types, BM25 constants.
 WINDOWS = (180, 365)
 MIN_EVIDENCE = 2
@@ -14,6 +16,9 @@ PAGE = 12
 NEIGHBOURS = [("pricing", "limits"), ("deprecation", "breaking_change")] + [("other", t) for t in ("release", "breaking_change", "deprecation", "pricing", "limits", "security")]
 K1, B = 1.2, 0.75
 
+#: Words of which a task counts those asked for, and scores of terms that one adds up, about: tasks are more as documents are, so none holds more.
+WORDS_OF_TASK, SCORES_OF_TASK = 1_000_000, 500_000
+
 
 def announcement(vendor: Column, kind: Column, day: Column, url: Column) -> Column:
     """What one announcement is: vendor, type, date and page, whatever the fragment."""
@@ -79,19 +84,26 @@ def relaxed_only(requests: DataFrame, corpus: DataFrame, excluded: DataFrame, wi
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", terms: str = "terms") -> DataFrame:
     """``query_id, doc_id, score`` of documents that hold any of a query's terms; df, N and mean length are those of the whole corpus.
 
-    Postings are reduced to the queried terms before they are shuffled, and carry counts, not positions.
+    Postings are reduced to the queried terms before they are shuffled, and carry counts, not positions. They are dealt by document
+    and not by term, so a term that all documents hold is the work of all tasks.
     """
     tokens = docs.select(F.col(doc_id), F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", " "), " "), "").alias("_t"))
     asked = queries.select(F.col(query_id), F.explode(F.array_distinct(terms)).alias("term"))
-    sizes = tokens.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))
+    sizes = materialise(tokens.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"), F.sum(F.size("_t")).alias("_words")))
+    least = docs.sparkSession.sparkContext.defaultParallelism
     vocabulary = asked.select("term").distinct()
-    posts = tokens.select(doc_id, F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", doc_id, "_len").agg(F.count("*").alias("tf"))
+    found = tokens.select(doc_id, F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+    # dealt before they are counted, as a task's file may hold any number of documents
+    dealt = found.repartition(max((sizes.first()["_words"] or 0) // WORDS_OF_TASK, least), doc_id)
+    posts = materialise(dealt.groupBy("term", doc_id, "_len").agg(F.count("*").alias("tf")))
     df = posts.groupBy("term").agg(F.count("*").alias("_df"))
     idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     # a single row of corpus figures
-    weighted = df.crossJoin(F.broadcast(sizes)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"), "_avg")
+    weighted = df.crossJoin(F.broadcast(sizes)).select("term", "_df", F.when(idf <= 0, 1e-6).otherwise(idf).alias("_idf"), "_avg")
+    weighted = materialise(weighted.join(asked, "term"))
+    scores = weighted.agg(F.sum("_df")).first()[0] or 0
     part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return posts.join(weighted, "term").join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
+    return posts.repartition(max(scores // SCORES_OF_TASK, least), doc_id).join(weighted, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, by: str, order: Sequence[Column], n: int = PAGE) -> DataFrame:
