@@ -7,6 +7,7 @@ import random
 import re
 import sys
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -173,3 +174,17 @@ def test_several_chunks_are_one_material(spark):
     m = out.materials.first()
     assert (m.chunks, m.events, m.outcome) == (3, 3, "ok") and m.cut_chars > 300
     assert sorted((r.n, r.i) for r in out.statements.collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_texts_are_stored_once(spark):
+    """Whole texts are their own chunk; repeated refs, null refs and equal texts are each asked once by text."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-_", k=20_000)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "other text"), (None, texts[5]), (70, texts[5])], "ref int, text string").withColumn("vendor", F.lit("Acme"))
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    stored = lambda: sum(p.stat().st_size for p in base.rglob("*.parquet"))
+    before = stored()
+    out = flow.extract_events(docs, flow.Model("m", lambda t: '{"events": []}'), None, spark.createDataFrame([], flow.ANSWERS), (), size=1 << 30)
+    calls = {r.key: r.chunks for r in out.calls.collect()}
+    assert len(calls) == 61 and sorted(calls.values())[-2:] == [1, 3]
+    assert stored() - before < 1.3 * sum(map(len, texts))
