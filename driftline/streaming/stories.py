@@ -13,13 +13,14 @@ from datetime import date, timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftline.operators.delta import STATE_DAYS
 
 STORY = "facts array<string>, last_date date, days long, first_seen date, last_seen date"
 STATUS = "cluster_id string, day date, status string, days_tracked long, new_facts long, first_seen date"
+_STATUS = [c.split()[0] for c in STATUS.split(", ")]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,29 +55,38 @@ class Stories(StatefulProcessor):
     def _timer(self, day: date) -> int:
         return int(pd.Timestamp(day + timedelta(days=self.keep_days + 2), tz="UTC").timestamp() * 1000)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         seen: dict[date, tuple[set, list]] = {}
-        for frame in rows:
-            for day, facts, dates in zip(frame["day"], frame["facts"], frame["dates"], strict=True):
-                known = seen.setdefault(day, (set(), []))
-                known[0].update(f for f in (facts if facts is not None else ()) if f is not None)
-                known[1].extend(dates if dates is not None else ())
-        story = tuple(self.story.get()) if self.story.exists() else None
-        if story is not None:
+        for row in rows:
+            known = seen.setdefault(row["day"], (set(), []))
+            known[0].update(f for f in row["facts"] or () if f is not None)
+            known[1].extend(row["dates"] or ())
+        # each use of the state is a call to the executor: the story is read and written once, and its timer stays where it is
+        story = self.story.get()
+        fresh = story is None
+        if not fresh:
             story = (list(story[0]), *story[1:])
-            self.handle.deleteTimer(self._timer(story[4]))
         out = []
         for day in sorted(seen):
             if story is not None and day < story[4]:
                 continue  # a run that is over is not told again
             story, told = next_story(story, day, sorted(seen[day][0]), seen[day][1], self.keep_days)
-            out.append((key[0], day, *told))
-        self.story.update(story)
-        self.handle.registerTimer(self._timer(story[4]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATUS.split(", ")])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.story.clear()
+            out.append(Row(**dict(zip(_STATUS, (key[0], day, *told), strict=True))))
+        if out:
+            self.story.update(story)
+        if fresh:
+            self.handle.registerTimer(self._timer(story[4]))
+        return iter(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        """Frees the story, or waits on where it was seen since the timer was set."""
+        story = self.story.get()
+        if story is not None:
+            due = self._timer(story[4])
+            if due > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.story.clear()
         return iter(())
 
     def close(self) -> None:
@@ -92,7 +102,7 @@ def delta_stream(sightings: DataFrame, keep_days: int = STATE_DAYS) -> DataFrame
     spark = sightings.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     timed = sightings.filter("cluster_id is not null and day is not null").selectExpr("cluster_id", "day", "facts", "dates", "cast(day as timestamp) as at").withWatermark("at", "0 seconds")
-    return timed.groupBy("cluster_id").transformWithStateInPandas(statefulProcessor=Stories(keep_days), outputStructType=STATUS, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("cluster_id").transformWithState(statefulProcessor=Stories(keep_days), outputStructType=STATUS, outputMode="Append", timeMode="EventTime")
 
 
 def replay(sightings: DataFrame, out: str, checkpoint: str, keep_days: int = STATE_DAYS) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from driftline.operators import delta
@@ -67,3 +68,48 @@ def test_stories_step_by_step():
     assert stories.next_story(story, date(2024, 5, 5), ["a"], [])[1] == ("resolved", 2, 0, day)
     assert stories.next_story(story, date(2024, 5, 5), ["b"], [])[1] == ("updated", 2, 1, day)
     assert stories.next_story(story, date(2024, 6, 1), ["a"], [])[1][0] == "resolved" and stories.next_story(story, date(2024, 6, 2), ["a"], [])[1][0] == "new"
+
+
+class Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.told, self.timers = None, [], set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.told.append("get")
+        return self.value
+
+    def update(self, value):
+        self.told.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.told.append("timer")
+        self.timers.add(at)
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def test_a_known_story_costs_two_calls():
+    """A story is read and written once a batch; its timer moves only when it fires, and frees what was not seen since."""
+    calls, stories_of = Calls(), stories.Stories()
+    stories_of.init(calls)
+    day = date(2024, 5, 1)
+    see = lambda d: list(stories_of.handleInputRows(("c",), iter([Row(day=d, facts=["a"], dates=None)]), None))
+    assert see(day)[0]["status"] == "new" and calls.told == ["get", "update", "timer"]
+    calls.told.clear()
+    assert see(day + timedelta(days=9))[0]["days_tracked"] == 2 and calls.told == ["get", "update"]
+    assert see(day) == []  # a run that is over
+    for kept in (True, False):
+        list(stories_of.handleExpiredTimer(("c",), None, calls))
+        assert (calls.value is not None) == kept
+        calls.timers.discard(min(calls.timers))
+    assert not calls.timers
