@@ -58,10 +58,16 @@ def first_claim(statement: Column) -> Column:
     """The first clause of a statement; parentheses go above 110 characters, and above 130 a dependent tail from its first comma on."""
     first = F.get(F.split(F.trim(statement), r"(?<=[.!?;])\s+", 2), F.lit(0))
     first = F.trim(F.regexp_replace(F.regexp_replace(F.trim(first), r"^[,;]+|[,;]+$", ""), r"\.+$", ""))
-    bare = F.trim(F.regexp_replace(first, r"\s*\([^()]{0,120}\)", ""))
-    clause = F.when((F.length(first) > HEADLINE_COMFORT) & (F.length(bare) >= HEADLINE_MIN), bare).otherwise(first)
-    head = F.regexp_extract(clause, rf"(?isU)^(.{{{HEADLINE_MIN},}}?), {TAIL}", 1)
-    return F.when((F.length(clause) > HEADLINE_LONG) & (head != ""), F.regexp_replace(head, r"[ ,]+$", "")).otherwise(clause)
+
+    def clause(first: Column) -> Column:
+        bare = F.trim(F.regexp_replace(first, r"\s*\([^()]{0,120}\)", ""))
+        return F.when(F.length(first) > HEADLINE_COMFORT, _let(bare, lambda b: F.when(F.length(b) >= HEADLINE_MIN, b).otherwise(first))).otherwise(first)
+
+    def without_tail(clause: Column) -> Column:
+        head = F.regexp_extract(clause, rf"(?isU)^(.{{{HEADLINE_MIN},}}?), {TAIL}", 1)
+        return F.when(F.length(clause) > HEADLINE_LONG, _let(head, lambda h: F.when(h != "", F.regexp_replace(h, r"[ ,]+$", "")).otherwise(clause))).otherwise(clause)
+
+    return _let(_let(first, clause), without_tail)
 
 
 def _reads_as_claim(text: Column) -> Column:
@@ -80,23 +86,26 @@ def headline_date(facts: Column, subject: Column) -> Column:
     """"с D month Y года": the subject's first date, or the only day that all dates name; only days and months that are stated count."""
     dated = F.filter(facts, lambda f: f["value_date"].isNotNull() & f["kind"].isin("sunset_date", "effective_date") & f["precision"].isin("day", "month"))
     pick = lambda rows: F.get(F.array_sort(F.transform(rows, lambda f, i: F.struct(f["value_date"].alias("d"), i.alias("i"), f["precision"].alias("p")))), F.lit(0))
-    owned = F.filter(dated, lambda f: F.coalesce(F.trim(f["subject"]) == subject, F.lit(False)))
-    one = F.size(F.array_distinct(F.transform(dated, lambda f: f["value_date"]))) == 1
-    first = F.get(F.transform(dated, lambda f: F.struct(f["value_date"].alias("d"), F.lit(0).alias("i"), f["precision"].alias("p"))), F.lit(0))
-    chosen = F.when(F.size(owned) > 0, pick(owned)).when(one, first)
-    day = F.when(chosen["p"] == "day", F.concat(F.dayofmonth(chosen["d"]).cast("string"), F.lit(" "))).otherwise("")
-    return F.concat(F.lit("с "), day, F.element_at(F.array(*map(F.lit, GENITIVE)), F.month(chosen["d"])), F.lit(" "), F.year(chosen["d"]).cast("string"), F.lit(" года"))
+    owned = lambda rows: F.filter(rows, lambda f: F.coalesce(F.trim(f["subject"]) == subject, F.lit(False)))
+    one = lambda rows: F.size(F.array_distinct(F.transform(rows, lambda f: f["value_date"]))) == 1
+    first = lambda rows: F.get(F.transform(rows, lambda f: F.struct(f["value_date"].alias("d"), F.lit(0).alias("i"), f["precision"].alias("p"))), F.lit(0))
+    chosen = _let(dated, lambda rows: _let(owned(rows), lambda own: F.when(F.size(own) > 0, pick(own)).when(one(rows), first(rows))))
+    day = lambda c: F.when(c["p"] == "day", F.concat(F.dayofmonth(c["d"]).cast("string"), F.lit(" "))).otherwise("")
+    return _let(chosen, lambda c: F.concat(F.lit("с "), day(c), F.element_at(F.array(*map(F.lit, GENITIVE)), F.month(c["d"])), F.lit(" "), F.year(c["d"]).cast("string"), F.lit(" года")))
 
 
 def composed_headline(vendor: Column, change_type: Column, type_label: Column, product: Column, facts: Column) -> Column:
     """Who did what with what, since when, from fields; without a vendor "type: subject", and null without that."""
     names = lambda n: F.create_map(*[F.lit(x) for k, v in PREDICATES.items() for x in (k, v[n])])
     kind = F.when(F.trim(change_type).isin(*PREDICATES), F.trim(change_type)).otherwise("other")
-    subject = headline_subject(product, facts)
     does, to = F.element_at(names(0), kind), F.nullif(F.element_at(names(1), kind), F.lit(""))
     who = F.nullif(F.trim(vendor), F.lit(""))
-    head = F.when(who.isNotNull(), F.concat_ws(" ", who, does, F.when(subject.isNotNull(), to), subject)).when(F.nullif(F.trim(change_type), F.lit("")).isNotNull(), F.concat(F.coalesce(type_label, F.trim(change_type)), F.lit(": "), subject))
-    return F.when(head.isNotNull(), F.concat_ws(" ", head, headline_date(facts, subject)))
+
+    def about(subject: Column) -> Column:
+        head = F.when(who.isNotNull(), F.concat_ws(" ", who, does, F.when(subject.isNotNull(), to), subject)).when(F.nullif(F.trim(change_type), F.lit("")).isNotNull(), F.concat(F.coalesce(type_label, F.trim(change_type)), F.lit(": "), subject))
+        return _let(head, lambda h: F.when(h.isNotNull(), F.concat_ws(" ", h, headline_date(facts, subject))))
+
+    return _let(headline_subject(product, facts), about)
 
 
 def headline(statement: Column, vendor: Column, change_type: Column, type_label: Column, product: Column, facts: Column, title: Column) -> Column:
@@ -106,7 +115,7 @@ def headline(statement: Column, vendor: Column, change_type: Column, type_label:
     """
     facts = F.coalesce(facts, F.expr("cast(array() as array<struct<kind:string,value:string,subject:string,value_date:date,precision:string>>)"))
     claim, composed = first_claim(statement), composed_headline(vendor, change_type, type_label, product, facts)
-    return F.when(_reads_as_claim(claim), claim).when(_reads_as_claim(composed), composed).otherwise(title)
+    return _let(claim, lambda c: F.when(_reads_as_claim(c), c).otherwise(_let(composed, lambda h: F.when(_reads_as_claim(h), h).otherwise(title))))
 
 
 def select_cards(signals: DataFrame) -> DataFrame:

@@ -143,3 +143,11 @@ def test_tables_are_swapped_whole(spark, tmp_path):
     assert [tuple(r) for r in store.read_table(spark, path, schema).collect()] == [("a", 1)]
     store.commit_table(store.read_table(spark, path, schema).withColumn("v", F.col("v") + 1), path)
     assert [tuple(r) for r in store.read_table(spark, path, schema).collect()] == [("a", 2)] and store.current_version(spark, path) != before
+
+
+def test_headlines_work_out_each_piece_once(spark):
+    """A piece of a headline is a variable however often it is named: the statement is split once, its tail is sought once."""
+    row = spark.createDataFrame([("One claim. Another.",)], "s string")
+    none = F.lit(None).cast("array<struct<kind:string,value:string,subject:string,value_date:date,precision:string>>")
+    plan = row.select(surfaces.headline(F.col("s"), F.lit("V"), F.lit("release"), F.lit(None).cast("string"), F.col("s"), none, F.lit("t")).alias("h"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract(") == 1 and plan.count("array_sort(") == 1
