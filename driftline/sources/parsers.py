@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -51,29 +52,37 @@ def looks_like_html(text: Column, content_type: Column) -> Column:
     return F.coalesce(content_type.contains("text/html"), F.lit(False)) | F.lower(F.ltrim(F.substring(text, 1, 2048))).rlike(r"^(<!doctype html|<html)")
 
 
+#: Entries of a frame that a worker holds and hands on at most.
+ENTRIES = 2_000
+
+
+def entries(body: str | None) -> Iterator[tuple[str | None, ...]]:
+    """Entries of one document; none if it cannot be parsed."""
+    try:
+        root = ElementTree.fromstring(body or "")
+    except ElementTree.ParseError:
+        return
+    for e in root.iter():
+        if e.tag.rsplit("}", 1)[-1] not in ("item", "entry"):
+            continue
+        own: dict[str, list] = {}
+        for c in e:
+            own.setdefault(c.tag.rsplit("}", 1)[-1], []).append(c)
+        text_of = lambda *names: next(("".join(x.itertext()).strip() for n in names for x in own.get(n, []) if "".join(x.itertext()).strip()), None)  # noqa: B023, E731
+        link = next((x.get("href") or (x.text or "").strip() for x in own.get("link", []) if x.get("rel") in (None, "alternate")), None)
+        yield link or text_of("guid", "id"), text_of("title"), text_of("encoded", "content", "summary", "description"), text_of("published", "pubDate", "updated", "date"), None, None
+
+
+def entry_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of batches of documents (``b``), in frames of bounded size whatever the documents hold."""
+    found = (e for batch in batches for body in batch["b"] for e in entries(body))
+    while rows := list(islice(found, ENTRIES)):
+        yield pd.DataFrame(rows, columns=["url", "title", "raw_text", "published", "anchor", "date_text"])
+
+
 def feed_entries(feeds: DataFrame, text: str = "body") -> DataFrame:
     """Entries of RSS and Atom documents: html content before summary, published before updated, undated ones kept."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for body in b["b"]:
-                try:
-                    root = ElementTree.fromstring(body or "")
-                except ElementTree.ParseError:
-                    continue
-                for e in root.iter():
-                    if e.tag.rsplit("}", 1)[-1] not in ("item", "entry"):
-                        continue
-                    own: dict[str, list] = {}
-                    for c in e:
-                        own.setdefault(c.tag.rsplit("}", 1)[-1], []).append(c)
-                    text_of = lambda *names: next(("".join(x.itertext()).strip() for n in names for x in own.get(n, []) if "".join(x.itertext()).strip()), None)  # noqa: B023, E731
-                    link = next((x.get("href") or (x.text or "").strip() for x in own.get("link", []) if x.get("rel") in (None, "alternate")), None)
-                    rows.append((link or text_of("guid", "id"), text_of("title"), text_of("encoded", "content", "summary", "description"), text_of("published", "pubDate", "updated", "date"), None, None))
-            yield pd.DataFrame(rows, columns=["url", "title", "raw_text", "published", "anchor", "date_text"])
-
-    return feeds.select(F.col(text).alias("b")).mapInPandas(parse, ITEM).drop("anchor", "date_text")
+    return feeds.select(F.col(text).alias("b")).mapInPandas(entry_frames, ITEM).drop("anchor", "date_text")
 
 
 RELEASE = "array<struct<id:bigint,tag_name:string,name:string,body:string,draft:boolean,prerelease:boolean,published_at:string,created_at:string,html_url:string>>"
