@@ -142,6 +142,9 @@ def feed(signals: DataFrame, runs: DataFrame | None = None, generated_at: Column
 
 STAGED = "name string, bytes long, sha256 string, part string"
 
+#: Bytes of a piece in which a document goes to the task that writes it: a document of any size passes a worker piece by piece.
+PIECE = 1 << 20
+
 
 def stage_documents(documents: DataFrame, folder: str, name: Column, document: str = "document", suffix: str = ".json") -> DataFrame:
     """Write each document to a file of its own beside its place: ``name, bytes, sha256, part``. Nothing that readers see changes."""
@@ -151,15 +154,24 @@ def stage_documents(documents: DataFrame, folder: str, name: Column, document: s
         files.create_dir(root, recursive=True)
         for b in batches:
             rows = []
-            for n, text in zip(b["name"], b["document"], strict=True):
-                data = f"{text}\n".encode()
-                part = f"{n}{suffix}.{uuid.uuid4().hex}.part"  # a task that runs twice writes two, and either may be taken
-                with files.open_output_stream(f"{root}/{part}") as out:
-                    out.write(data)
-                rows.append((f"{n}{suffix}", len(data), hashlib.sha256(data).hexdigest(), part))
+            for n, at, last, data in zip(b["name"], b["at"], b["last"], b["piece"], strict=True):
+                if at == 0:
+                    part, size, digest = f"{n}{suffix}.{uuid.uuid4().hex}.part", 0, hashlib.sha256()  # a task that runs twice writes two, and either may be taken
+                    out = files.open_output_stream(f"{root}/{part}")
+                data += b"\n" if at == last else b""
+                out.write(data)
+                digest.update(data)
+                size += len(data)
+                if at == last:
+                    out.close()
+                    rows.append((f"{n}{suffix}", size, digest.hexdigest(), part))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STAGED.split(", ")])
 
-    return materialise(documents.select(name.cast("string").alias("name"), F.col(document).alias("document")).mapInPandas(write, STAGED))
+    d = documents.select(name.cast("string").alias("name"), F.encode(F.coalesce(document, F.lit("None")), "UTF-8").alias("data"))
+    d = d.withColumn("last", F.floor(F.greatest(F.octet_length("data") - 1, F.lit(0)) / PIECE).cast("int"))
+    # the pieces of a document stay in its task and in order
+    pieces = d.select("name", "last", "data", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    return materialise(pieces.select("name", "at", "last", F.substring("data", F.col("at") * PIECE + 1, F.lit(PIECE)).alias("piece")).mapInPandas(write, STAGED))
 
 
 def commit_documents(staged: DataFrame, folder: str) -> DataFrame:
