@@ -13,6 +13,7 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote details div dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CONTENT_TAGS, CONTENT_IDS, CONTENT_CLASSES = ("main", "article"), ("content", "main-content", "mainContent"), ("markdown-body", "prose")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_CONTENT, MIN_BODY, MAX_SECTION, MAX_LABEL, HEADING_GAP, MAX_SENTENCES, LONG_LINE, MAX_LINE = 200, 16, 20_000, 80, 120, 200, 24, 120
 GENERIC_IDS = frozenset("app body content content-area main main-content mainContent page page-title root __next".split())
 ANCHOR, NO_ANCHOR = re.compile(r"^[\w][\w.:-]*$"), re.compile(r"(^|-)_[Rr]_|^radix-")
@@ -49,6 +51,9 @@ PARTS_OF_TASK = 100_000
 
 PARTS = "array<struct<kind:string,level:int,title:string,anchor:string,start:int,end:int,lead:boolean,grid:int,line:int,cell:int,header:boolean>>"
 
+DATE_FIELDS = tuple(c.split()[0] for c in D.DATE.split(", "))
+DATED_PARTS = PARTS.removesuffix(">>") + f",d:struct<{','.join(c.replace(' ', ':') for c in D.DATE.split(', '))}>>>"
+
 
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children")
@@ -57,6 +62,14 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
 
+def _contains(node: Node) -> tuple[bool, ...]:
+    """The ways in which an element may be a container of content, in order of preference."""
+    if node.tag not in CONTENT_TAGS and not node.attrs:
+        return ()
+    own = node.attrs.get("class", "").split()
+    return (node.tag == CONTENT_TAGS[0], node.tag == CONTENT_TAGS[1], node.attrs.get("role") == "main", *(node.attrs.get("id") == i for i in CONTENT_IDS), *(c in own for c in CONTENT_CLASSES))
+
+
 class _Tree(HTMLParser):
     """Elements and their texts; ends that markup leaves out are put in where a block, a row or a cell begins."""
 
@@ -66,6 +79,9 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.title: Node | None = None
+        self.bodies: list[Node] = []
+        self.contained = False  # whether any element may be a container of content
 
     def _close(self, tags: str, within: str) -> None:
         node = self.at
@@ -82,6 +98,11 @@ class _Tree(HTMLParser):
             self._close(*self.CLOSES[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
+        if tag == "title" and self.title is None:
+            self.title = node
+        elif tag == "body":
+            self.bodies.append(node)
+        self.contained = self.contained or any(_contains(node))
         if tag not in VOID:
             self.at = node
 
@@ -129,9 +150,7 @@ def content_root(root: Node) -> Node:
         size[id(node)] = (0, 0) if node.tag in ("script", "style", "template") else (chars, pieces)
         if node.tag == "body":
             body = node
-        if node.tag not in CONTENT_TAGS and not node.attrs:
-            continue
-        ways = (node.tag == CONTENT_TAGS[0], node.tag == CONTENT_TAGS[1], node.attrs.get("role") == "main", *(node.attrs.get("id") == i for i in CONTENT_IDS), *(c in node.attrs.get("class", "").split() for c in CONTENT_CLASSES))
+        ways = _contains(node)
         total = chars + max(0, pieces - 1)
         if any(ways) and (total > most or total == most and ways.index(True) < order):
             best, most, order = node, total, ways.index(True)
@@ -173,7 +192,7 @@ class Outline:
                 continue
             _, start, before = opened.pop()
             nested = self.blocks - before - block
-            heading, cell = bool(re.fullmatch("h[1-6]", node.tag)), node.tag in ("td", "th") and bool(tables)
+            heading, cell = node.tag in HEADINGS, node.tag in ("td", "th") and bool(tables)
             leaf = not nested and not heading and (block or node.tag in ("time", "button"))
             text = _squeeze("".join(self._since(start))) if heading or cell or leaf else ""
             if heading and text:
@@ -257,18 +276,42 @@ def read_page(html: str | None) -> tuple[str, Outline]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    title = next((" ".join("".join(c for c in n.children if isinstance(c, str)).split()) for n, entered in _walk(tree.root) if entered and isinstance(n, Node) and n.tag == "title"), "")
-    return title, Outline(content_root(tree.root))
+    title = " ".join("".join(c for c in tree.title.children if isinstance(c, str)).split()) if tree.title else ""
+    if tree.contained or len(tree.bodies) > 1:
+        return title, Outline(content_root(tree.root))
+    return title, Outline(tree.bodies[0] if tree.bodies else tree.root)  # nothing to choose from, so no sizes are summed
+
 
+def _struct(fields: str) -> pa.StructType:
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "date": pa.date32()}
+    return pa.struct([(f.replace(":", " ").split()[0], types[f.replace(":", " ").split()[1]]) for f in fields.split(",")])
 
-def _outlines(html: pd.Series) -> pd.DataFrame:
-    read = [read_page(h) for h in html]
-    return pd.DataFrame({"title": [t for t, _ in read], "text": [o.text for _, o in read], "parts": [o.parts for _, o in read]})
 
+def _outlines(html: pa.Array, dated: bool = False) -> pa.Array:
+    """Outlines of pages, with the date that each part states if wanted. Arrow makes the rows: by pandas, each field of each part would pass Python."""
+    read, known = [read_page(h) for h in html.to_pylist()], {}
+    part = _struct(PARTS.removeprefix("array<struct<").removesuffix(">>"))
+    if dated:
+        part = pa.struct([*part, ("d", _struct(D.DATE))])
+        for _, o in read:
+            for p in o.parts:
+                if (title := p["title"]) not in known:
+                    known[title] = (d := D.read_date(title)) and dict(zip(DATE_FIELDS, d, strict=True))
+                p["d"] = known[title]
+    columns = {"title": pa.array([t for t, _ in read], pa.string()), "text": pa.array([o.text for _, o in read], pa.string()), "parts": pa.array([o.parts for _, o in read], pa.list_(part))}
+    return pa.StructArray.from_arrays(columns.values(), columns.keys())
+
+
+def outline(html: Column, dated: bool = False) -> Column:
+    """struct(title, text, parts) of a page: its title, the text of its content root and the parts of it; null html has none.
+
+    With ``dated``, parts have the date that each states (``d``), read where the page is, so that titles are sent once.
+    """
+
+    def read(html: pa.Array) -> pa.Array:
+        return _outlines(html, dated)
 
-def outline(html: Column) -> Column:
-    """struct(title, text, parts) of a page: its title, the text of its content root and the parts of it; null html has none."""
-    return F.pandas_udf(_outlines, f"title string, text string, parts {PARTS}")(html)
+    return F.arrow_udf(read, f"title string, text string, parts {DATED_PARTS if dated else PARTS}")(html)
 
 
 def html_to_text(html: Column) -> Column:
@@ -291,8 +334,7 @@ def slices(text: Column, bounds: Column) -> Column:
 
 def _parts(read: DataFrame) -> DataFrame:
     """Parts of all pages with the date that each states (``d``)."""
-    p = read.select("page", F.posexplode("parts").alias("pos", "p")).select("page", "pos", "p.*")
-    return p.withColumn("d", D.parse_date_fragment(F.col("title")))
+    return read.select("page", F.posexplode("parts").alias("pos", "p")).select("page", "pos", "p.*")
 
 
 def _dated_parts(p: DataFrame) -> DataFrame:
@@ -422,7 +464,7 @@ def page_sections(pages: DataFrame, url: str = "url", html: str = "html", hint:
     spark = pages.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = pages.repartition(tasks)  # small files hold many pages, and to read one takes long
-    rows = dealt.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), outline(F.col(html)).alias("o"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
+    rows = dealt.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), outline(F.col(html), dated=True).alias("o"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
     rows = materialise(rows.select("page", "url", "html", "hint", "o.text", "o.parts", "kept"))
     size = rows.agg(F.sum(F.size("parts"))).first()[0] or 0
     tasks = max(size // PARTS_OF_TASK, tasks)
