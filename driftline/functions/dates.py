@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from datetime import date
 
 import pandas as pd
@@ -35,7 +37,9 @@ PRINTED = (
     ("year", r"^\W*(?P<y>20\d{2})\b"),
 )
 _PRINTED = [(precision, re.compile(pattern, re.IGNORECASE)) for precision, pattern in PRINTED]
-_ANY_MONTH, _ANY_DIGIT = re.compile(MONTH, re.IGNORECASE), re.compile(r"\d")
+_ANY_MONTH, _ANY_DIGIT, _ANY_ISO = re.compile("|".join(m[:3] for m in MONTH_NAMES), re.IGNORECASE), re.compile(r"\d"), re.compile(r"\d{4}-\d")
+#: What must be there for each way: a month's name, or a year and a dash.
+_NEEDS = tuple("month" if "(?:january" in pattern else "iso" if "-" in pattern else "" for _, pattern in PRINTED)
 DATE = "value date, precision string, text string, month int, day int, year_missing boolean"
 
 
@@ -49,9 +53,9 @@ def read_date(text: str | None) -> tuple | None:
     """Value, precision, text, month, day and whether the year is missing; see ``parse_date_fragment``."""
     if not text or not _ANY_DIGIT.search(text):
         return None
-    named = bool(_ANY_MONTH.search(text))
-    for precision, pattern in _PRINTED:
-        found = pattern.search(text) if named or "(?:january" not in pattern.pattern else None
+    has = {"month": _ANY_MONTH.search(text), "iso": _ANY_ISO.search(text), "": True}
+    for need, (precision, pattern) in zip(_NEEDS, _PRINTED, strict=True):
+        found = pattern.search(text) if has[need] else None
         if not found:
             continue
         part = found.groupdict()
@@ -98,6 +102,35 @@ def stated_alone(text: Column, found: Column) -> Column:
     return (at > 0) & ((at == 1) | ~F.substring(text, at - 1, 1).rlike(r"(?U)[\w/.-]"))
 
 
+def in_year(parsed: tuple, year: int | None) -> tuple:
+    """``with_year`` of what ``read_date`` gives."""
+    _, _, text, month, day, year_missing = parsed
+    if not year_missing or year is None or month is None:
+        return parsed
+    try:
+        return date(year, month, 1 if day is None else day), "month" if day is None else "day", text, month, day, False
+    except ValueError:
+        return parsed
+
+
+@functools.lru_cache(1024)
+def _glues(before: str) -> bool:
+    """Whether a character is a word's, a slash, dot or hyphen, by what the JVM's ``(?U)[\\w/.-]`` takes for one."""
+    if before.isascii():
+        return before.isalnum() or before in "_/.-"
+    return unicodedata.category(before) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Mn", "Me", "Mc", "Nd", "Pc") or any(a <= before <= b for a, b in _LETTERED)
+
+
+#: Symbols that count as letters: circled and squared ones, and joiners.
+_LETTERED = (("\u200c", "\u200d"), ("\u24b6", "\u24e9"), ("\U0001f130", "\U0001f149"), ("\U0001f150", "\U0001f169"), ("\U0001f170", "\U0001f189"))
+
+
+def is_alone(text: str, found: str) -> bool:
+    """``stated_alone`` of texts in Python."""
+    at = text.find(found)
+    return at == 0 or at > 0 and not _glues(text[at - 1])
+
+
 def stated_date(value: Column) -> Column:
     """``YYYY[-MM[-DD]]`` as struct(value, precision); anything else is null."""
     y, m, d = (F.regexp_extract(value, r"^\s*(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?\s*$", i) for i in (1, 2, 3))

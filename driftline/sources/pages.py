@@ -1,18 +1,16 @@
 """Pages as dated sections.
 
 A page is read once into its outline: the text of its content root, and the parts of it (headings, labels, table cells,
-sentences) with their offsets. Everything else is relational: dates are parsed on rows of parts, the enclosing heading, the
-heading before and the end of a section are running windows over the parts of a page, and texts are cut at the end, from
-offsets, where the page lies.
+sentences) with their offsets. Its sections are cut in the same task, by one pass over its parts for each way to read it, as
+no page needs another: pages are dealt once, and neither parts nor texts are shuffled. Only pages whose embedded index may
+replace what was cut go on, to be read relationally.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +26,7 @@ BLOCKS = frozenset(
     "address article aside blockquote details div dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CONTENT_TAGS, CONTENT_IDS, CONTENT_CLASSES = ("main", "article"), ("content", "main-content", "mainContent"), ("markdown-body", "prose")
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS, CELLS = frozenset("h1 h2 h3 h4 h5 h6".split()), ("td", "th")
 MIN_CONTENT, MIN_BODY, MAX_SECTION, MAX_LABEL, HEADING_GAP, MAX_SENTENCES, LONG_LINE, MAX_LINE = 200, 16, 20_000, 80, 120, 200, 24, 120
 GENERIC_IDS = frozenset("app body content content-area main main-content mainContent page page-title root __next".split())
 ANCHOR, NO_ANCHOR = re.compile(r"^[\w][\w.:-]*$"), re.compile(r"(^|-)_[Rr]_|^radix-")
@@ -46,8 +44,15 @@ LABEL_KEYS = ("title", "name", "version", "label", "heading")
 #: Hints that name the way to read a page, first of all.
 HINTS = {"sections": "headings", "table": "tables", "month_then_day": "marks", "embedded_json_index": "json"}
 
-#: Parts of pages that a task sorts, about: tasks are more as pages are, so none holds more.
-PARTS_OF_TASK = 100_000
+#: Characters of pages with an embedded index that a task sorts, about: tasks are more as pages are, so none holds more.
+INDEXED_OF_TASK = 16_000_000
+#: Tags that have no angles or slashes but their own and quoted values only; elements whose content is no markup.
+PLAIN_TAG = re.compile(r"""<(/)?([A-Za-z][A-Za-z0-9]*)(?(1)|((?:[ \t\n\r\f]+[A-Za-z][A-Za-z0-9_-]*=(?:"[^"<>]*"|'[^'<>]*'))*)[ \t\n\r\f]*)>""")
+PLAIN_ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z0-9_-]*)=(?:"([^"]*)"|'([^']*)')""")
+OPAQUE = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+_SPACE, _PRIVATE, _SENTENCE, _DIGIT = re.compile(r"\s+"), re.compile("[\u200b-\u200f\ufeff\ue000-\uf8ff]"), re.compile(r"[^\n.!?]+(?:[.!?]+|\n|$)"), re.compile(r"\d")
+#: What the JVM takes for white space, and for the end of a last line besides.
+_BLANK, _LINE_ENDS = " \t\n\x0b\f\r", ("\x85", "\u2028", "\u2029")
 
 PARTS = "array<struct<kind:string,level:int,title:string,anchor:string,start:int,end:int,lead:boolean,grid:int,line:int,cell:int,header:boolean>>"
 
@@ -55,11 +60,17 @@ DATE_FIELDS = tuple(c.split()[0] for c in D.DATE.split(", "))
 DATED_PARTS = PARTS.removesuffix(">>") + f",d:struct<{','.join(c.replace(' ', ':') for c in D.DATE.split(', '))}>>>"
 
 
+#: A section as it is cut from a page.
+SECTION = "title:string,raw_text:string,anchor:string,event_date:date,date_precision:string,date_text:string,year_from:string"
+CUT = f"way string, index_from int, sections array<struct<{SECTION}>>"
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "celled", "header")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.celled, self.header = False, None  # of a row: whether a cell of it was passed, whether its cells are headers
 
 
 def _contains(node: Node) -> tuple[bool, ...]:
@@ -75,6 +86,8 @@ class _Tree(HTMLParser):
 
     #: what an element ends if it is open, and what it looks no further than
     CLOSES = {"li": ("li", "ul ol"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select")}
+    CLOSES = {tag: (frozenset(tags.split()), frozenset(within.split())) for tag, (tags, within) in CLOSES.items()}
+    OPEN_P, NO_P = frozenset(["p"]), frozenset("td th li div table button".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -83,26 +96,44 @@ class _Tree(HTMLParser):
         self.bodies: list[Node] = []
         self.contained = False  # whether any element may be a container of content
 
-    def _close(self, tags: str, within: str) -> None:
+    def read(self, html: str) -> None:
+        """Tags and texts of a page; where markup is plain, one pattern finds them all, several times as fast as the parser."""
+        found = PLAIN_TAG.split(html) if "&" not in html else ()
+        if 4 * html.count("<") + 1 != len(found) or not OPAQUE.isdisjoint(names := [t.lower() for t in found[2::4]]):
+            self.feed(html)
+            self.close()
+            return
+        if found[0]:
+            self.handle_data(found[0])
+        for end, tag, attrs, text in zip(found[1::4], names, found[3::4], found[4::4], strict=True):
+            if end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, [(k.lower(), a or b) for k, a, b in PLAIN_ATTRIBUTE.findall(attrs)] if attrs else ())
+            if text:
+                self.at.children.append(text)
+
+    def _close(self, tags: frozenset[str], within: frozenset[str]) -> None:
         node = self.at
-        while node.parent and node.tag not in within.split():
-            if node.tag in tags.split():
+        while node.parent and node.tag not in within:
+            if node.tag in tags:
                 self.at = node.parent
                 return
             node = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            self._close("p", "td th li div table button")
+            self._close(self.OPEN_P, self.NO_P)
         if tag in self.CLOSES:
             self._close(*self.CLOSES[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = Node(tag, {k: v or "" for k, v in attrs} if attrs else {}, self.at)
         self.at.children.append(node)
         if tag == "title" and self.title is None:
             self.title = node
         elif tag == "body":
             self.bodies.append(node)
-        self.contained = self.contained or any(_contains(node))
+        if (attrs or tag in CONTENT_TAGS) and not self.contained:
+            self.contained = any(_contains(node))
         if tag not in VOID:
             self.at = node
 
@@ -135,7 +166,7 @@ def _walk(root: Node):
 
 def _squeeze(text: str) -> str:
     """One line without zero-width and private characters."""
-    return " ".join(re.sub("[\u200b-\u200f\ufeff\ue000-\uf8ff]", "", text).split())
+    return " ".join((text if text.isascii() else _PRIVATE.sub("", text)).split())
 
 
 def content_root(root: Node) -> Node:
@@ -157,66 +188,83 @@ def content_root(root: Node) -> Node:
     return best if best is not None and most >= MIN_CONTENT else body
 
 
+def _place(part: dict) -> tuple[int, bool]:
+    return part["start"], part["kind"] != "heading"
+
+
 class Outline:
-    """Text of a subtree, and its headings, labels and cells by offset."""
+    """Text of a subtree, and its headings, labels and cells by offset.
+
+    Elements lose their parents as they are left, so that trees go with their last use and need no collection of cycles.
+    """
 
     def __init__(self, root: Node) -> None:
         self.out: list[str] = []
         self.size, self.tail, self.parts = 0, "\n", []
-        self.blocks = self.grids = 0
+        grids = blocks = verbatim = 0
         tables: list[list[int]] = []
-        opened: list[tuple[int, int]] = []
-        hidden = 0
-        for node, entered in _walk(root):
+        opened: list[str] = []
+        stack: list = [root]
+        while stack:
+            node = stack.pop()
             if isinstance(node, str):
-                if not hidden:
-                    self._add(node if any(t == "pre" for t in self._tags(opened)) else re.sub(r"\s+", " ", node))
-                continue
-            silent = node.tag in SILENT or node.attrs.get("aria-hidden") == "true" or "hidden" in node.attrs or node.attrs.get("role", "").lower() in SILENT_ROLES
-            if silent or hidden:
-                hidden += (1 if entered else -1) if silent else 0
+                plain = node.isprintable() and "  " not in node or verbatim and "pre" in opened[-3:]
+                self._add(node if plain else _SPACE.sub(" ", node))
                 continue
-            block = node.tag in BLOCKS
-            if entered:
-                if node.tag in ("td", "th") and any(isinstance(c, Node) and c.tag in ("td", "th") for c in node.parent.children[: node.parent.children.index(node)]):
+            if isinstance(node, Node):
+                tag, attrs = node.tag, node.attrs
+                cell = tag in CELLS
+                if cell:
+                    beside = node.parent.celled or node is root and any(isinstance(c, Node) and c.tag in CELLS for c in node.parent.children[: node.parent.children.index(node)])
+                    node.parent.celled = True
+                if tag in SILENT or attrs and (attrs.get("aria-hidden") == "true" or "hidden" in attrs or attrs.get("role", "").lower() in SILENT_ROLES):
+                    node.parent = None
+                    continue
+                if cell and beside:
                     self._add(" | ")
-                if block or node.tag == "br":
+                if tag in BLOCKS or tag == "br":
                     self._line()
-                if node.tag == "table":
-                    tables.append([self.grids, -1, 0])
-                    self.grids += 1
-                if node.tag == "tr" and tables:
+                if tag == "table":
+                    tables.append([grids, -1, 0])
+                    grids += 1
+                elif tag == "tr" and tables:
                     tables[-1][1:] = [tables[-1][1] + 1, 0]
-                opened.append((node, self.size, self.blocks))
-                self.blocks += block
+                opened.append(tag)
+                verbatim += tag == "pre"
+                stack.append((node, self.size, blocks))
+                blocks += tag in BLOCKS
+                stack.extend(node.children[::-1])
                 continue
-            _, start, before = opened.pop()
-            nested = self.blocks - before - block
-            heading, cell = node.tag in HEADINGS, node.tag in ("td", "th") and bool(tables)
-            leaf = not nested and not heading and (block or node.tag in ("time", "button"))
-            text = _squeeze("".join(self._since(start))) if heading or cell or leaf else ""
+            node, start, before = node
+            tag = opened.pop()
+            verbatim -= tag == "pre"
+            block = tag in BLOCKS
+            heading, cell = tag in HEADINGS, tag in CELLS and bool(tables)
+            leaf = not heading and (block or tag in ("time", "button")) and blocks == before + block
+            text = _squeeze(self._since(start)) if heading or cell or leaf else ""
             if heading and text:
-                self._part("heading", start, text, level=int(node.tag[1]), anchor=self._anchor_below(node))
+                self._part("heading", start, text, level=int(tag[1]), anchor=self._anchor_below(node))
             elif cell:
-                row = tables[-1]
-                cells = {c.tag for c in node.parent.children if isinstance(c, Node)}
-                self._part("cell", start, text, grid=row[0], line=row[1], cell=row[2], header="th" in cells and "td" not in cells)
+                row, up = tables[-1], node.parent
+                if up.header is None:
+                    cells = {c.tag for c in up.children if isinstance(c, Node)}
+                    up.header = "th" in cells and "td" not in cells
+                self._part("cell", start, text, grid=row[0], line=row[1], cell=row[2], header=up.header)
                 row[2] += 1
             if leaf and text and len(text) <= MAX_LABEL:
                 self._part("label", start, text, anchor=self._anchor_above(node))
-            if node.tag == "table" and tables:
+            if tag == "table" and tables:
                 tables.pop()
             if block:
                 self._line()
+            node.parent = None
         self.text = "".join(self.out)
-        self._finish()
-
-    @staticmethod
-    def _tags(opened: list) -> list[str]:
-        return [n.tag for n, _, _ in opened[-3:]]
+        self.parts.sort(key=_place)
+        self._lead()
 
     def _add(self, text: str) -> None:
-        text = text.lstrip(" ") if self.tail in "\n " else text
+        if self.tail in "\n ":
+            text = text.lstrip(" ")
         if text:
             self.out.append(text)
             self.size += len(text)
@@ -226,14 +274,16 @@ class Outline:
         if self.size and self.tail != "\n":
             self._add("\n")
 
-    def _since(self, start: int) -> list[str]:
+    def _since(self, start: int) -> str:
+        if self.out and self.size - len(self.out[-1]) == start:
+            return self.out[-1]
         found, at = [], self.size
         for piece in reversed(self.out):
             if at <= start:
                 break
             at -= len(piece)
             found.append(piece[max(0, start - at) :])
-        return found[::-1]
+        return "".join(found[::-1])
 
     def _part(self, kind: str, start: int, title: str, level: int = 0, anchor: str = "", grid: int = -1, line: int = -1, cell: int = -1, header: bool = False) -> None:
         self.parts.append({"kind": kind, "level": level, "title": title, "anchor": anchor, "start": start, "end": self.size, "lead": False, "grid": grid, "line": line, "cell": cell, "header": header})
@@ -243,6 +293,8 @@ class Outline:
         return bool(value and ANCHOR.match(value) and not NO_ANCHOR.search(value))
 
     def _anchor_below(self, node: Node) -> str:
+        if not node.attrs and all(isinstance(c, str) for c in node.children):
+            return ""
         return next((n.attrs["id"] for n, entered in _walk(node) if entered and isinstance(n, Node) and self._is_anchor(n.attrs.get("id"))), "")
 
     def _anchor_above(self, node: Node | None) -> str:
@@ -254,28 +306,37 @@ class Outline:
             node = node.parent
         return ""
 
-    def _finish(self) -> None:
-        """Sentences with a digit, parts by place, and which of them stand right under a heading."""
-        for m in re.finditer(r"[^\n.!?]+(?:[.!?]+|\n|$)", self.text):
-            sentence = m.group().strip()
-            if len(sentence) >= MIN_BODY and re.search(r"\d", sentence):
-                start = m.start() + len(m.group()) - len(m.group().lstrip())
-                self._part("sentence", start, sentence)
-                self.parts[-1]["end"] = start + len(sentence)
-        self.parts.sort(key=lambda p: (p["start"], p["kind"] != "heading"))
+    def _lead(self) -> None:
+        """Which labels stand right under a heading."""
         last = None
         for p in self.parts:
             if p["kind"] == "heading":
                 last = p["end"]
-            elif p["kind"] == "label":
-                p["lead"] = last is not None and last <= p["start"] and not self.text[last : p["start"]].strip()
+            elif p["kind"] == "label" and last is not None and last <= p["start"]:
+                if self.text[last : p["start"]].strip():
+                    last = None  # nor do those after it
+                else:
+                    p["lead"] = True
+
+    def sentences(self) -> list[tuple[int, str]]:
+        """Sentences with a digit, by place."""
+        found = []
+        for m in _SENTENCE.finditer(self.text):
+            sentence = m.group().strip()
+            if len(sentence) >= MIN_BODY and _DIGIT.search(sentence):
+                found.append((m.start() + len(m.group()) - len(m.group().lstrip()), sentence))
+        return found
+
+    def with_sentences(self) -> list[dict]:
+        """All parts by place, sentences among them."""
+        blank = {"kind": "sentence", "level": 0, "anchor": "", "lead": False, "grid": -1, "line": -1, "cell": -1, "header": False}
+        return sorted(self.parts + [{**blank, "title": t, "start": at, "end": at + len(t)} for at, t in self.sentences()], key=_place)
 
 
 def read_page(html: str | None) -> tuple[str, Outline]:
     """Title and outline of a page."""
     tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree.read(html or "")
     title = " ".join("".join(c for c in tree.title.children if isinstance(c, str)).split()) if tree.title else ""
     if tree.contained or len(tree.bodies) > 1:
         return title, Outline(content_root(tree.root))
@@ -289,16 +350,16 @@ def _struct(fields: str) -> pa.StructType:
 
 def _outlines(html: pa.Array, dated: bool = False) -> pa.Array:
     """Outlines of pages, with the date that each part states if wanted. Arrow makes the rows: by pandas, each field of each part would pass Python."""
-    read, known = [read_page(h) for h in html.to_pylist()], {}
+    read, known = [(t, o.text, o.with_sentences()) for t, o in map(read_page, html.to_pylist())], {}
     part = _struct(PARTS.removeprefix("array<struct<").removesuffix(">>"))
     if dated:
         part = pa.struct([*part, ("d", _struct(D.DATE))])
-        for _, o in read:
-            for p in o.parts:
+        for _, _, parts in read:
+            for p in parts:
                 if (title := p["title"]) not in known:
                     known[title] = (d := D.read_date(title)) and dict(zip(DATE_FIELDS, d, strict=True))
                 p["d"] = known[title]
-    columns = {"title": pa.array([t for t, _ in read], pa.string()), "text": pa.array([o.text for _, o in read], pa.string()), "parts": pa.array([o.parts for _, o in read], pa.list_(part))}
+    columns = {"title": pa.array([t for t, _, _ in read], pa.string()), "text": pa.array([t for _, t, _ in read], pa.string()), "parts": pa.array([p for _, _, p in read], pa.list_(part))}
     return pa.StructArray.from_arrays(columns.values(), columns.keys())
 
 
@@ -321,107 +382,197 @@ def html_to_text(html: Column) -> Column:
     return F.struct(o["title"].alias("title"), F.array_join(lines, "\n").alias("text"))
 
 
-def _slices(texts: pd.Series, bounds: pd.Series) -> pd.DataFrame:
-    offsets = [list(o) for o in bounds]
-    cut = lambda at: [[t[a:b] for a, b in zip(o[at::4], o[at + 1 :: 4], strict=True)] for t, o in zip(texts, offsets, strict=True)]
-    return pd.DataFrame({"raw_text": cut(0), "body": cut(2)})
+def _bare(text: str) -> str:
+    """A text without white space around it, as the JVM's ``^\\s+|\\s+$`` finds it."""
+    bare = text.strip(_BLANK)
+    if bare and text.endswith(_LINE_ENDS):
+        bare = bare[:-1].rstrip(_BLANK) + bare[-1]
+    return bare
+
+
+class Cuts:
+    """The sections of a page, by each of the ways to read it; a section is a tuple of the fields of SECTION."""
 
+    def __init__(self, page: Outline, most_sentences: int, known: dict[str, tuple | None]) -> None:
+        self.page, self.text, self.most, self.known = page, page.text, most_sentences, known
+        self.heads = [p for p in page.parts if p["kind"] == "heading"]
 
-def slices(text: Column, bounds: Column) -> Column:
-    """struct(raw_text, body): pieces of a text, each pair by four offsets, in one pass whatever their number."""
-    return F.pandas_udf(_slices, "raw_text array<string>, body array<string>")(text, bounds)
+    def _date(self, title: str) -> tuple | None:
+        if title not in self.known:
+            self.known[title] = D.read_date(title)
+        return self.known[title]
 
+    def _alone(self, title: str) -> tuple | None:
+        """The date that a title states by itself."""
+        d = self._date(title)
+        return d if d and D.is_alone(title, d[2]) else None
 
-def _parts(read: DataFrame) -> DataFrame:
-    """Parts of all pages with the date that each states (``d``)."""
-    return read.select("page", F.posexplode("parts").alias("pos", "p")).select("page", "pos", "p.*")
+    def _raw(self, start: int, until: int | None) -> str:
+        return _bare(self.text[start : start + MAX_SECTION if until is None else min(until, start + MAX_SECTION)])
 
+    @staticmethod
+    def _section(title: str, raw: str, anchor: str | None, d: tuple, year_from: str | None = None) -> tuple:
+        return title, raw, anchor or None, d[0], d[1], d[2], year_from
+
+    def headings(self) -> list[tuple]:
+        """A section for each dated heading, to the next heading that is dated or not below it.
+
+        A date without a year takes that of the nearest enclosing heading that states one. The headings that enclose are a
+        stack by level: a heading closes those of its own and of lower levels.
+        """
+        dates = [self._date(h["title"]) for h in self.heads]
+        if not any(dates):
+            return []
+        ends: list[int | None] = [None] * len(dates)
+        after: list[int | None] = [None] * 7  # the next heading of each level or a higher one
+        next_dated = None
+        for i in range(len(dates) - 1, -1, -1):
+            h = self.heads[i]
+            ends[i] = min((x for x in (next_dated, after[h["level"]]) if x is not None), default=None)
+            after[h["level"] :] = [h["start"]] * (7 - h["level"])
+            next_dated = h["start"] if dates[i] else next_dated
+        found, enclosing = [], []
+        for h, d, end in zip(self.heads, dates, ends, strict=True):
+            while enclosing and enclosing[-1][0] >= h["level"]:
+                enclosing.pop()
+            own = d and d[0]
+            if d:
+                year, year_from = next(((y, t) for _, y, t in reversed(enclosing) if y), (None, None)) if d[5] else (None, None)
+                body, raw = _bare(self.text[h["end"] : end]), self._raw(h["start"], end)
+                if len(body) >= MIN_BODY and raw:
+                    found.append(self._section(h["title"], raw, h["anchor"], D.in_year(d, year), year_from))
+            enclosing.append((h["level"], own and own.year, h["title"]))
+        return found
+
+    def tables(self) -> list[tuple]:
+        """A section for each table row that states a day, taken from the column whose header suits best, the leftmost among equals."""
+        rows, names, heads, above = {}, {}, {}, None
+        for p in self.page.parts:
+            if p["kind"] == "heading":
+                above = p
+            elif p["kind"] == "cell" and p["header"]:
+                heads[p["grid"]] = min(p["line"], heads.get(p["grid"], p["line"]))
+                at = (p["grid"], p["line"], p["cell"])
+                names[at] = max(p["title"].lower(), names.get(at, ""))
+            elif p["kind"] == "cell":
+                rows.setdefault((p["grid"], p["line"]), []).append((p["cell"], p, above))
+        found, ranks = [], {}
+        for (grid, line), cells in rows.items():
+            cells.sort(key=lambda c: c[0])
+            best = None
+            for n, p, _ in cells:
+                if (d := self._date(p["title"])) and d[0]:
+                    name = names.get((grid, heads.get(grid), n), "")
+                    if name not in ranks:
+                        ranks[name] = next((i for i, words in enumerate(DATE_COLUMNS) if any(w in name for w in words)), len(DATE_COLUMNS))
+                    if best is None or ranks[name] < best[0]:
+                        best = ranks[name], n, d
+            if best is None:
+                continue
+            _, column, d = best
+            above = cells[0][2]
+            label = next((p["title"] for n, p, _ in cells if n != column and p["title"]), None)
+            start, until = min(p["start"] for _, p, _ in cells), max(p["end"] for _, p, _ in cells)
+            if raw := self._raw(start, until):
+                found.append(self._section(" - ".join(x for x in (above and above["title"], label) if x is not None) or d[2], raw, above and above["anchor"], d))
+        return found
+
+    def marks(self) -> list[tuple]:
+        """A section for each label that states a date by itself, to the next label or dated heading; an undated heading right above opens it."""
+        marks, above, year_above, behind = [], None, None, 0
+        for p in self.page.parts:
+            if p["kind"] == "heading":
+                above, behind = p, behind + 1
+                if (d := self._date(p["title"])) and d[0]:
+                    year_above = d[0].year, p["title"]
+            elif p["kind"] == "label" and (d := self._alone(p["title"])):
+                led = p["lead"] and above is not None and not ((a := self._date(above["title"])) and a[0])
+                marks.append((p, d, above if led else None, year_above, behind))
+        if not marks:
+            return []
+        dated_below = [None] * (len(self.heads) + 1)  # start of the first dated heading behind so many
+        for i in range(len(self.heads) - 1, -1, -1):
+            d = self._date(self.heads[i]["title"])
+            dated_below[i] = self.heads[i]["start"] if d and d[0] else dated_below[i + 1]
+        starts = [(led or p)["start"] for p, _, led, _, _ in marks]
+        found = []
+        for i, (p, d, led, year_above, behind) in enumerate(marks):
+            ahead = (starts[i + 1] if i + 1 < len(marks) else None, dated_below[behind] if (dated_below[behind] or -1) >= p["end"] else None)
+            until = min((x for x in ahead if x is not None), default=None)
+            raw = self._raw(starts[i], until)
+            if not raw:
+                continue
+            below = self.heads[behind] if behind < len(self.heads) else None
+            if led:
+                title = led["title"]
+            elif below and p["end"] <= below["start"] < (p["end"] + HEADING_GAP if until is None else min(until, p["end"] + HEADING_GAP)):
+                title = f"{p['title']} - {below['title']}"
+            else:
+                lines = [x for x in (y.strip(" ") for y in _bare(self.text[p["end"] : until]).split("\n")) if x]
+                line = next((x for x in lines if len(x) >= LONG_LINE), lines[0] if lines else None)
+                title = p["title"] if line is None else f"{p['title']} - {line[:MAX_LINE]}"
+            dated = D.in_year(d, year_above and year_above[0])
+            found.append(self._section(title, raw, (led and led["anchor"]) or p["anchor"], dated, year_above[1] if d[5] and dated[0] and year_above else None))
+        return found
+
+    def sentences(self) -> list[tuple]:
+        """A section for each of the first sentences of a page that state a date by themselves, finer than a year."""
+        found, passed, n = [], 0, 0
+        for start, sentence in self.page.sentences():
+            d = self._alone(sentence)
+            if not d or not d[0] or d[1] == "year":
+                continue
+            if n == self.most:
+                break
+            n += 1
+            while passed < len(self.heads) and self.heads[passed]["start"] <= start:
+                passed += 1
+            above = self.heads[passed - 1] if passed else None
+            if raw := self._raw(start, start + len(sentence)):
+                found.append(self._section(f"{above['title']} - {d[2]}" if above else d[2], raw, above and above["anchor"], d))
+        return found
 
-def _dated_parts(p: DataFrame) -> DataFrame:
-    """Parts with the heading before each and the last year stated by one."""
-    heading = F.col("kind") == "heading"
-    before = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("page").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    valued = heading & F.col("d.value").isNotNull()
-    return p.withColumns(
-        {
-            "above": F.last(F.when(heading, F.struct("title", "anchor", "start", "end", valued.alias("dated"))), True).over(before),
-            "year_above": F.last(F.when(valued, F.struct(F.year("d.value").alias("year"), "title")), True).over(before),
-            "below": F.last(F.when(heading, F.struct("title", "start")), True).over(behind),
-            "dated_below": F.last(F.when(valued, F.col("start")), True).over(behind),
-        }
-    )
 
+def may_hold_index(html: str) -> bool:
+    """Whether a page may hold what ``json_index`` finds; never false where it does."""
+    return "{" in html or bool(_NAMED.search(html))
 
-SPAN = ("page", "way", "start", "until", "body_from", "title", "anchor", "d", "year_from")
 
+_NAMED = re.compile(r'"(?:version|title|name|label)\\*"\s*:')
 
-def _headings(parts: DataFrame) -> DataFrame:
-    """A section for each dated heading, to the next heading that is dated or not below it.
 
-    A date without a year takes that of the nearest enclosing heading that states one. The headings that enclose are a
-    stack by level: the last heading of a level is open while no heading of a higher level came after it.
-    """
-    before = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("page").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    h = parts.filter("kind = 'heading'")
-    for n in range(1, 7):
-        at = F.col("level") == n
-        h = h.withColumns({f"open{n}": F.last(F.when(at, F.struct("pos", F.year("d.value").alias("year"), "title")), True).over(before), f"next{n}": F.last(F.when(at, F.col("start")), True).over(behind)})
-    h = h.withColumn("next_dated", F.last(F.when(F.col("d").isNotNull(), F.col("start")), True).over(behind))
-
-    def held(n: int) -> Column:
-        higher = [F.coalesce(F.col(f"open{m}.pos"), F.lit(-1)) for m in range(1, n)]
-        still = reduce(lambda a, b: a & b, [F.col(f"open{n}.pos") > x for x in higher], F.col("level") > n)
-        return F.when(still & F.col(f"open{n}.year").isNotNull(), F.struct(F.col(f"open{n}.year").alias("year"), F.col(f"open{n}.title").alias("title")))
-
-    enclosing = F.coalesce(*[held(n) for n in range(5, 0, -1)])
-    ends = [F.when(F.col("level") >= n, F.col(f"next{n}")) for n in range(1, 7)]
-    h = h.filter("d is not null").withColumn("year_from", F.when(F.col("d.year_missing"), enclosing))
-    h = h.withColumn("d", F.when(F.col("year_from").isNotNull(), D.with_year(F.col("d"), F.col("year_from.year"))).otherwise(F.col("d")))
-    return h.withColumns({"way": F.lit("headings"), "until": F.least("next_dated", *ends), "body_from": F.col("end"), "year_from": F.col("year_from.title")}).select(*SPAN)
-
-
-def _tables(parts: DataFrame) -> DataFrame:
-    """A section for each table row that states a day, taken from the column whose header suits best, the leftmost among equals."""
-    cells = parts.filter("kind = 'cell'")
-    first = F.min(F.when(F.col("header"), F.col("line"))).over(Window.partitionBy("page", "grid"))
-    name = F.max(F.when(F.col("header") & (F.col("line") == F.col("head")), F.lower("title"))).over(Window.partitionBy("page", "grid", "cell"))
-    rank = reduce(lambda other, i: F.when(F.col("name").rlike("|".join(DATE_COLUMNS[i])), i).otherwise(other), reversed(range(len(DATE_COLUMNS))), F.lit(len(DATE_COLUMNS)))
-    cells = cells.withColumn("head", first).withColumn("name", name).withColumn("rank", F.coalesce(rank, F.lit(len(DATE_COLUMNS)))).filter("not header")
-    rows = cells.groupBy("page", "grid", "line").agg(
-        F.min("start").alias("start"), F.max("end").alias("until"), F.min_by("above", "cell").alias("above"),
-        F.min(F.when(F.col("d.value").isNotNull(), F.struct("rank", "cell"))).alias("best"), F.collect_list(F.struct("cell", "title", "d")).alias("cells"),
-    )
-    rows = rows.filter("best is not null")
-    sorted_cells = F.array_sort(F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), c["title"].alias("title"))))
-    label = F.get(F.filter(sorted_cells, lambda c: (c["cell"] != F.col("best.cell")) & (c["title"] != "")), F.lit(0))["title"]
-    d = F.get(F.filter("cells", lambda c: c["cell"] == F.col("best.cell")), F.lit(0))["d"]
-    rows = rows.withColumn("d", d).withColumn("title", F.concat_ws(" - ", F.nullif("above.title", F.lit("")), label))
-    return rows.withColumns({"way": F.lit("tables"), "body_from": F.col("start"), "anchor": F.col("above.anchor"), "title": F.coalesce(F.nullif("title", F.lit("")), F.col("d.text")), "year_from": F.lit(None).cast("string")}).select(*SPAN)
-
-
-def _marks(parts: DataFrame) -> DataFrame:
-    """A section for each label that states a date by itself, to the next label or dated heading; an undated heading right above opens it."""
-    m = parts.filter((F.col("kind") == "label") & F.col("d").isNotNull() & D.stated_alone(F.col("title"), F.col("d.text")))
-    led = F.col("lead") & ~F.col("above.dated")
-    m = m.withColumn("led", F.coalesce(led, F.lit(False))).withColumn("mark", F.struct("title", F.col("end").alias("end"))).withColumn("start", F.when(F.col("led"), F.col("above.start")).otherwise(F.col("start")))
-    m = m.withColumn("until", F.least(F.lead("start").over(Window.partitionBy("page").orderBy("pos")), F.when(F.col("dated_below") >= F.col("end"), F.col("dated_below"))))
-    near = (F.col("below.start") >= F.col("end")) & (F.col("below.start") < F.least(F.col("until"), F.col("end") + HEADING_GAP))
-    title = F.when(F.col("led"), F.col("above.title")).when(near, F.concat_ws(" - ", "title", "below.title"))
-    dated = F.when(F.col("d.year_missing") & F.col("year_above").isNotNull(), D.with_year(F.col("d"), F.col("year_above.year"))).otherwise(F.col("d"))
-    year_from = F.when(F.col("d.year_missing") & dated["value"].isNotNull(), F.col("year_above.title"))
-    anchor = F.coalesce(F.nullif(F.when(F.col("led"), F.col("above.anchor")), F.lit("")), F.col("anchor"))
-    m = m.withColumns({"year_from": year_from, "anchor": anchor, "way": F.lit("marks"), "body_from": F.col("end"), "label": F.col("title")}).withColumn("d", dated)
-    return m.withColumn("title", title).select(*SPAN, "label")
-
-
-def _sentences(parts: DataFrame, most: int) -> DataFrame:
-    """A section for each of the first ``most`` sentences of a page that state a date by themselves, finer than a year."""
-    s = parts.filter((F.col("kind") == "sentence") & F.col("d.value").isNotNull() & (F.col("d.precision") != "year") & D.stated_alone(F.col("title"), F.col("d.text")))
-    s = s.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("pos"))).filter(F.col("n") <= most)
-    title = F.concat_ws(" - ", F.nullif("above.title", F.lit("")), "d.text")
-    return s.withColumns({"way": F.lit("sentences"), "until": F.col("end"), "body_from": F.col("start"), "title": title, "anchor": F.col("above.anchor"), "year_from": F.lit(None).cast("string")}).select(*SPAN)
+def cut_page(html: str | None, hint: str | None, most_sentences: int, known: dict[str, tuple | None]) -> tuple[str | None, int | None, list[tuple]]:
+    """The way that a page is read by, its sections, and how many entries an embedded index needs to replace them; none where none can."""
+    if not html:
+        return None, None, []
+    cuts, hinted = Cuts(read_page(html)[1], most_sentences, known), HINTS.get(hint)
+    way, found = None, []
+    for way in dict.fromkeys((*((hinted,) if hinted not in (None, "json") else ()), "headings", "tables", "marks", "sentences")):
+        if found := getattr(cuts, way)():
+            break
+    settled = found and (way == hinted or hinted != "json" and way in ("headings", "tables"))
+    needed = len(found) + 1 if way == "marks" and hinted != "json" else 1
+    return way, needed if not settled and may_hold_index(html) else None, found
+
+
+def _cuts(html: pa.Array, hint: pa.Array, most_sentences: int) -> pa.Array:
+    known: dict[str, tuple | None] = {}
+    ways, needed, found = zip(*[cut_page(h, x, most_sentences, known) for h, x in zip(html.to_pylist(), hint.to_pylist(), strict=True)], strict=True) if len(html) else ((), (), ())
+    section, ends = _struct(SECTION), [0]
+    for f in found:
+        ends.append(ends[-1] + len(f))
+    columns = list(zip(*[x for f in found for x in f], strict=True)) or [()] * len(section)
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, section, strict=True)], fields=list(section))
+    return pa.StructArray.from_arrays([pa.array(ways, pa.string()), pa.array(needed, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["way", "index_from", "sections"])
+
+
+def cuts(html: Column, hint: Column, most_sentences: int = MAX_SENTENCES) -> Column:
+    """struct(way, index_from, sections) of a page: see ``cut_page``."""
+
+    def cut(html: pa.Array, hint: pa.Array) -> pa.Array:
+        return _cuts(html, hint, most_sentences)
+
+    return F.arrow_udf(cut, CUT)(html, hint)
 
 
 def json_index(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -463,40 +614,31 @@ def page_sections(pages: DataFrame, url: str = "url", html: str = "html", hint:
     """
     spark = pages.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pages.repartition(tasks)  # small files hold many pages, and to read one takes long
-    rows = dealt.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), outline(F.col(html), dated=True).alias("o"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
-    rows = materialise(rows.select("page", "url", "html", "hint", "o.text", "o.parts", "kept"))
-    size = rows.agg(F.sum(F.size("parts"))).first()[0] or 0
-    tasks = max(size // PARTS_OF_TASK, tasks)
-    by_page = lambda df: df.repartition(tasks, "page")
-    parts = materialise(_dated_parts(by_page(_parts(rows))))
-    spans = _headings(by_page(parts.filter("kind = 'heading'"))).unionByName(_tables(by_page(parts.filter("kind = 'cell'")))).unionByName(_sentences(by_page(parts.filter("kind = 'sentence'")), most_sentences))
-    spans = spans.withColumn("label", F.lit(None).cast("string")).unionByName(_marks(by_page(parts.filter("kind = 'label'"))))
-    held = by_page(spans).groupBy("page").agg(F.collect_list(F.struct("way", "start", "until", "body_from", "title", "label", "anchor", "d", "year_from")).alias("spans"))
-    s = by_page(rows.select("page", "url", "text", "hint", "kept")).join(held.hint("merge"), "page")
-    # a page's text is cut once for all its sections, which then go on without it
-    upto = lambda x: F.coalesce(x["until"], F.length("text"))
-    bounds = F.flatten(F.transform("spans", lambda x: F.array(x["start"], F.least(upto(x), x["start"] + MAX_SECTION), x["body_from"], upto(x))))
-    s = s.select("page", "url", "hint", "kept", "spans", slices(F.col("text"), bounds).alias("c"))
-    s = s.select("page", "url", "hint", "kept", F.explode(F.arrays_zip("spans", F.col("c.raw_text").alias("raw_text"), F.col("c.body").alias("body"))).alias("s"))
-    s = s.select("page", "url", "hint", "kept", "s.spans.*", "s.raw_text", "s.body")
-    bare = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    s = s.withColumns({"raw_text": bare(F.col("raw_text")), "body": bare(F.col("body"))})
-    s = s.filter(((F.col("way") != "headings") | (F.length("body") >= MIN_BODY)) & (F.col("raw_text") != ""))
-    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    line = F.coalesce(F.get(F.filter(lines, lambda x: F.length(x) >= LONG_LINE), F.lit(0)), F.get(lines, F.lit(0)))
-    s = s.withColumn("title", F.coalesce("title", F.concat_ws(" - ", "label", F.substring(line, 1, MAX_LINE))))
-    address = F.when(F.col("anchor") != "", F.concat_ws("#", "url", "anchor")).otherwise(F.col("url"))
-    cuts = s.select("page", address.alias("url"), "title", "raw_text", F.nullif("anchor", F.lit("")).alias("anchor"), "d", "year_from", "way", F.col("url").alias("page_section"), "hint", "kept")
-    index = by_page(json_index(rows)).join(by_page(rows.select("page", F.col("url").alias("at"), "hint", "kept")).hint("merge"), "page")
-    site = F.regexp_extract("at", r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
-    own = F.when(F.col("link").rlike("^https?:"), F.col("link")).when(F.col("link").startswith("//"), F.concat(F.regexp_extract("at", r"^([A-Za-z][\w+.-]*:)", 1), "link")).when(F.col("link").startswith("/"), F.concat(site, "link"))
-    index = index.select("page", F.coalesce(own, "at").alias("url"), F.coalesce(F.nullif("title", F.lit("")), "link").alias("title"), F.concat_ws(" | ", "d.text", F.nullif("title", F.lit("")), F.nullif("link", F.lit(""))).alias("raw_text"), F.lit(None).cast("string").alias("anchor"), "d", F.lit(None).cast("string").alias("year_from"), F.lit("json").alias("way"), F.when(own.isNull(), F.col("at")).alias("page_section"), "hint", "kept")
-    hinted = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])
-    place = F.when(F.col("way") == F.try_element_at(hinted, F.col("hint")), 0).when(F.col("way") == "headings", 1).when(F.col("way") == "tables", 2).when(F.col("way").isin("marks", "json"), 3).otherwise(4)
-    found = by_page(cuts.unionByName(index)).withColumn("n", F.count("*").over(Window.partitionBy("page", "way")))
-    found = found.withColumn("best", F.min(F.struct(place.alias("place"), (-F.col("n")).alias("fewest"), (F.col("way") != "marks").alias("other"), "way")).over(Window.partitionBy("page"))).filter("way = best.way")
-    out = found.select("page", "url", "title", "raw_text", "anchor", F.col("d.value").alias("event_date"), F.col("d.precision").alias("date_precision"), F.col("d.text").alias("date_text"), "year_from", "way", "page_section", *[F.col(f"kept.{k}").alias(k) for k in keep])
+    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), (F.lower(F.trim(hint)) if hint else F.lit(None).cast("string")).alias("hint"), F.struct(*keep, F.lit(0).alias("_")).alias("kept"))
+    dealt = rows.repartition(tasks, "page")  # small files hold many pages, and to read one takes long
+    read = dealt.select("page", "url", "html", "kept", cuts(F.col("html"), F.col("hint"), most_sentences).alias("c"))
+    read = materialise(read.select("page", "url", "kept", "c.*", F.when(F.col("c.index_from").isNotNull(), F.col("html")).alias("html")))
+    settled, out = read.filter("index_from is null"), ("page", "url", "title", "raw_text", "anchor", "event_date", "date_precision", "date_text", "year_from", "way", "page_section", "kept")
+
+    def sections(df: DataFrame) -> DataFrame:
+        address = F.when(F.col("anchor").isNotNull(), F.concat_ws("#", "at", "anchor")).otherwise(F.col("at"))
+        s = df.select("page", F.col("url").alias("at"), "way", "kept", F.explode("sections").alias("s")).select("page", "at", "way", "kept", "s.*")
+        return s.withColumns({"url": address, "page_section": F.col("at")}).select(*out)
+
+    found = sections(settled)
+    size = read.agg(F.sum(F.length("html"))).first()[0] or 0
+    if size:
+        by_page = lambda df: df.repartition(max(size // INDEXED_OF_TASK, tasks), "page")
+        open_ = read.filter("index_from is not null")
+        index = materialise(json_index(by_page(open_.select("page", "html"))).withColumn("n", F.count("*").over(Window.partitionBy("page"))))
+        counts = by_page(index.groupBy("page").agg(F.first("n").alias("n")))
+        kept_cuts = by_page(open_.drop("html")).join(counts.hint("merge"), "page", "left").filter(F.col("n").isNull() | (F.col("n") < F.col("index_from")))
+        index = by_page(index).join(by_page(open_.select("page", F.col("url").alias("at"), "index_from", "kept")).hint("merge"), "page").filter(F.col("n") >= F.col("index_from"))
+        site = F.regexp_extract("at", r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1)
+        own = F.when(F.col("link").rlike("^https?:"), F.col("link")).when(F.col("link").startswith("//"), F.concat(F.regexp_extract("at", r"^([A-Za-z][\w+.-]*:)", 1), "link")).when(F.col("link").startswith("/"), F.concat(site, "link"))
+        index = index.select("page", F.coalesce(own, "at").alias("url"), F.coalesce(F.nullif("title", F.lit("")), "link").alias("title"), F.concat_ws(" | ", "d.text", F.nullif("title", F.lit("")), F.nullif("link", F.lit(""))).alias("raw_text"), F.lit(None).cast("string").alias("anchor"), F.col("d.value").alias("event_date"), F.col("d.precision").alias("date_precision"), F.col("d.text").alias("date_text"), F.lit(None).cast("string").alias("year_from"), F.lit("json").alias("way"), F.when(own.isNull(), F.col("at")).alias("page_section"), "kept")
+        found = found.unionByName(sections(kept_cuts)).unionByName(index.select(*out))
+    out = found.select(*out[:-1], *[F.col(f"kept.{k}").alias(k) for k in keep])
     if since is not None:
         out = out.filter(F.col("event_date").isNull() | (D.period_end(F.col("event_date"), F.col("date_precision")) >= since))
     return out

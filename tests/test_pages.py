@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import date
 
 import pytest
@@ -132,3 +133,27 @@ def test_content_root_leaves_chrome_out(spark):
     got = [r.t for r in rows.select(pages.html_to_text(F.col("html")).alias("t")).collect()]
     assert got[0].title == "The page" and got[0].text == "Title\n" + ("Words of the article. " * 12).strip()
     assert [(t.title, t.text) for t in got[1:]] == [("", ""), ("", ""), ("", "short text\ntwo"), ("", "too short\nall of the body")]
+
+
+def planned(spark, monkeypatch, html, **how):
+    """Plans of what ``page_sections`` stores and of what it returns, and the rows."""
+    stored, keep = [], pages.materialise
+    monkeypatch.setattr(pages, "materialise", lambda df: stored.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = spark.range(40, numPartitions=1).select(F.concat(F.lit("https://x/"), "id").alias("url"), F.format_string(html, "id").alias("html"))
+    out = pages.page_sections(rows, **how)
+    return [*stored, out._jdf.queryExecution().executedPlan().toString()], out.collect()
+
+
+def test_rows_of_tables_are_cut_where_the_page_is(spark, monkeypatch):
+    plans, rows = planned(spark, monkeypatch, "<h2>Models</h2><table><tr><th>Model</th><th>Date</th></tr><tr><td>acme-%s</td><td>May 6, 2024</td></tr></table>")
+    assert [p.count("Exchange") for p in plans] == [1, 0] and not any("Window" in p or "Join" in p for p in plans)
+    assert len(rows) == 40 and {(r.title, r.event_date, r.way) for r in rows} == {(f"Models - acme-{i}", date(2024, 5, 6), "tables") for i in range(40)}
+
+
+def test_cells_of_a_wide_row_are_read_in_one_pass():
+    row = "".join(f"<td>c{i}</td>" for i in range(20_000))
+    began = time.monotonic()
+    parts = pages.read_page(f"<table><tr>{row}</tr></table>")[1].parts
+    assert time.monotonic() - began < 5
+    assert [p["title"] for p in parts if p["kind"] == "cell"] == [f"c{i}" for i in range(20_000)]
+    assert pages.read_page("<table><tr><td>a</td><td hidden>b</td><th>c</th></tr></table>")[1].text == "a | c\n"
