@@ -36,10 +36,10 @@ PRINTED = (
     ("inferred", rf"(?P<d>\d{{1,2}}){ORDINAL}\s+{_NAMED}\.?(?!\w)"),
     ("year", r"^\W*(?P<y>20\d{2})\b"),
 )
-_PRINTED = [(precision, re.compile(pattern, re.IGNORECASE)) for precision, pattern in PRINTED]
-_ANY_MONTH, _ANY_DIGIT, _ANY_ISO = re.compile("|".join(m[:3] for m in MONTH_NAMES), re.IGNORECASE), re.compile(r"\d"), re.compile(r"\d{4}-\d")
-#: What must be there for each way: a month's name, or a year and a dash.
-_NEEDS = tuple("month" if "(?:january" in pattern else "iso" if "-" in pattern else "" for _, pattern in PRINTED)
+#: Before each: what must be there, a month's name or a year and a dash.
+_PRINTED = [("month" if "(?:january" in pattern else "iso" if "-" in pattern else "", precision, re.compile(pattern, re.IGNORECASE)) for precision, pattern in PRINTED]
+_SHORT = tuple(m[:3] for m in MONTH_NAMES)
+_ANY_MONTH, _ANY_DIGIT, _ANY_ISO = re.compile("|".join(_SHORT), re.IGNORECASE), re.compile(r"\d"), re.compile(r"\d{4}-\d")
 DATE = "value date, precision string, text string, month int, day int, year_missing boolean"
 
 
@@ -49,14 +49,23 @@ def _month_number(name: str | None) -> int | None:
     return next(i for i, m in enumerate(MONTH_NAMES, 1) if m.startswith(name[:3].lower()))
 
 
+def _names_month(text: str) -> bool:
+    if not text.isascii():
+        return bool(_ANY_MONTH.search(text))
+    low = text.lower()
+    for m in _SHORT:
+        if m in low:
+            return True
+    return False
+
+
 def read_date(text: str | None) -> tuple | None:
     """Value, precision, text, month, day and whether the year is missing; see ``parse_date_fragment``."""
     if not text or not _ANY_DIGIT.search(text):
         return None
-    has = {"month": _ANY_MONTH.search(text), "iso": _ANY_ISO.search(text), "": True}
-    for need, (precision, pattern) in zip(_NEEDS, _PRINTED, strict=True):
-        found = pattern.search(text) if has[need] else None
-        if not found:
+    has = {"month": _names_month(text), "iso": "-" in text and _ANY_ISO.search(text), "": True}
+    for need, precision, pattern in _PRINTED:
+        if not has[need] or not (found := pattern.search(text)):
             continue
         part = found.groupdict()
         year, month, day = (int(part["y"]) if part.get("y") else None), _month_number(part.get("m")), (int(part["d"]) if part.get("d") else None)

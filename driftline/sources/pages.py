@@ -30,6 +30,9 @@ HEADINGS, CELLS = frozenset("h1 h2 h3 h4 h5 h6".split()), ("td", "th")
 MIN_CONTENT, MIN_BODY, MAX_SECTION, MAX_LABEL, HEADING_GAP, MAX_SENTENCES, LONG_LINE, MAX_LINE = 200, 16, 20_000, 80, 120, 200, 24, 120
 GENERIC_IDS = frozenset("app body content content-area main main-content mainContent page page-title root __next".split())
 ANCHOR, NO_ANCHOR = re.compile(r"^[\w][\w.:-]*$"), re.compile(r"(^|-)_[Rr]_|^radix-")
+#: What an element is, looked up once: silent, a block, a heading, a cell, a leaf without being a block.
+IS_SILENT, IS_BLOCK, IS_HEADING, IS_CELL, IS_LEAF = 1, 2, 4, 8, 16
+KINDS = {t: IS_SILENT * (t in SILENT) + IS_BLOCK * (t in BLOCKS) + IS_HEADING * (t in HEADINGS) + IS_CELL * (t in CELLS) + IS_LEAF * (t in ("time", "button")) for t in (*SILENT, *BLOCKS, *HEADINGS, *CELLS, "time", "button")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Which column of a table has the day of the event, by words of its header, best first.
 DATE_COLUMNS = (
@@ -81,6 +84,9 @@ def _contains(node: Node) -> tuple[bool, ...]:
     return (node.tag == CONTENT_TAGS[0], node.tag == CONTENT_TAGS[1], node.attrs.get("role") == "main", *(node.attrs.get("id") == i for i in CONTENT_IDS), *(c in own for c in CONTENT_CLASSES))
 
 
+_CONTAINING = frozenset(("class", "role", "id"))
+
+
 class _Tree(HTMLParser):
     """Elements and their texts; ends that markup leaves out are put in where a block, a row or a cell begins."""
 
@@ -132,8 +138,8 @@ class _Tree(HTMLParser):
             self.title = node
         elif tag == "body":
             self.bodies.append(node)
-        if (attrs or tag in CONTENT_TAGS) and not self.contained:
-            self.contained = any(_contains(node))
+        if tag in CONTENT_TAGS or attrs and not self.contained and not _CONTAINING.isdisjoint(node.attrs):
+            self.contained = self.contained or any(_contains(node))
         if tag not in VOID:
             self.at = node
 
@@ -207,55 +213,59 @@ class Outline:
         stack: list = [root]
         while stack:
             node = stack.pop()
-            if isinstance(node, str):
+            if type(node) is str:
                 plain = node.isprintable() and "  " not in node or verbatim and "pre" in opened[-3:]
                 self._add(node if plain else _SPACE.sub(" ", node))
                 continue
-            if isinstance(node, Node):
+            if type(node) is Node:
                 tag, attrs = node.tag, node.attrs
-                cell = tag in CELLS
-                if cell:
-                    beside = node.parent.celled or node is root and any(isinstance(c, Node) and c.tag in CELLS for c in node.parent.children[: node.parent.children.index(node)])
-                    node.parent.celled = True
-                if tag in SILENT or attrs and (attrs.get("aria-hidden") == "true" or "hidden" in attrs or attrs.get("role", "").lower() in SILENT_ROLES):
+                kind = KINDS.get(tag, 0)
+                if kind & IS_CELL:
+                    up = node.parent
+                    beside = up.celled or node is root and any(isinstance(c, Node) and c.tag in CELLS for c in up.children[: up.children.index(node)])
+                    up.celled = True
+                if kind & IS_SILENT or attrs and (attrs.get("aria-hidden") == "true" or "hidden" in attrs or attrs.get("role", "").lower() in SILENT_ROLES):
                     node.parent = None
                     continue
-                if cell and beside:
+                if kind & IS_CELL and beside:
                     self._add(" | ")
-                if tag in BLOCKS or tag == "br":
+                if (kind & IS_BLOCK or tag == "br") and self.tail != "\n" and self.size:
                     self._line()
+                stack.append((node, tag, kind, self.size, blocks))
                 if tag == "table":
                     tables.append([grids, -1, 0])
                     grids += 1
                 elif tag == "tr" and tables:
                     tables[-1][1:] = [tables[-1][1] + 1, 0]
+                elif tag == "pre":
+                    verbatim += 1
                 opened.append(tag)
-                verbatim += tag == "pre"
-                stack.append((node, self.size, blocks))
-                blocks += tag in BLOCKS
-                stack.extend(node.children[::-1])
+                blocks += kind & IS_BLOCK
+                stack += node.children[::-1]
                 continue
-            node, start, before = node
-            tag = opened.pop()
-            verbatim -= tag == "pre"
-            block = tag in BLOCKS
-            heading, cell = tag in HEADINGS, tag in CELLS and bool(tables)
-            leaf = not heading and (block or tag in ("time", "button")) and blocks == before + block
-            text = _squeeze(self._since(start)) if heading or cell or leaf else ""
-            if heading and text:
-                self._part("heading", start, text, level=int(tag[1]), anchor=self._anchor_below(node))
-            elif cell:
-                row, up = tables[-1], node.parent
-                if up.header is None:
-                    cells = {c.tag for c in up.children if isinstance(c, Node)}
-                    up.header = "th" in cells and "td" not in cells
-                self._part("cell", start, text, grid=row[0], line=row[1], cell=row[2], header=up.header)
-                row[2] += 1
-            if leaf and text and len(text) <= MAX_LABEL:
-                self._part("label", start, text, anchor=self._anchor_above(node))
+            node, tag, kind, start, before = node
+            opened.pop()
+            heading, cell = kind & IS_HEADING, kind & IS_CELL and tables
+            leaf = kind & (IS_BLOCK | IS_LEAF) and not heading and blocks == before + (kind & IS_BLOCK)
+            if heading or cell or leaf:
+                text = _squeeze(self._since(start))
+                if heading:
+                    if text:
+                        self._part("heading", start, text, level=int(tag[1]), anchor=self._anchor_below(node))
+                elif cell:
+                    row, up = tables[-1], node.parent
+                    if up.header is None:
+                        cells = {c.tag for c in up.children if isinstance(c, Node)}
+                        up.header = "th" in cells and "td" not in cells
+                    self._part("cell", start, text, grid=row[0], line=row[1], cell=row[2], header=up.header)
+                    row[2] += 1
+                if leaf and text and len(text) <= MAX_LABEL:
+                    self._part("label", start, text, anchor=self._anchor_above(node))
             if tag == "table" and tables:
                 tables.pop()
-            if block:
+            elif tag == "pre":
+                verbatim -= 1
+            if kind & IS_BLOCK and self.tail != "\n" and self.size:
                 self._line()
             node.parent = None
         self.text = "".join(self.out)
@@ -271,8 +281,9 @@ class Outline:
             self.tail = text[-1]
 
     def _line(self) -> None:
-        if self.size and self.tail != "\n":
-            self._add("\n")
+        self.out.append("\n")
+        self.size += 1
+        self.tail = "\n"
 
     def _since(self, start: int) -> str:
         if self.out and self.size - len(self.out[-1]) == start:

@@ -9,6 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions import dates as D
 from driftline.sources import pages
 
 BODY = "<p>A body that is long enough to stay.</p>"
@@ -157,3 +158,19 @@ def test_cells_of_a_wide_row_are_read_in_one_pass():
     assert time.monotonic() - began < 5
     assert [p["title"] for p in parts if p["kind"] == "cell"] == [f"c{i}" for i in range(20_000)]
     assert pages.read_page("<table><tr><td>a</td><td hidden>b</td><th>c</th></tr></table>")[1].text == "a | c\n"
+
+
+def test_marks_are_cut_where_the_page_is(spark, monkeypatch):
+    html = "<h3>v%s</h3><p>Released: 2024-03-06</p><p>Fixes of all.</p><div>Mar 5, 2024</div><p>A line of more than twenty characters</p>"
+    plans, rows = planned(spark, monkeypatch, html, most_sentences=1)
+    assert [p.count("Exchange") for p in plans] == [1, 0] and not any("Window" in p or "Join" in p for p in plans)
+    assert sorted((r.title, r.event_date, r.way) for r in rows) == sorted(x for i in range(40) for x in ((f"v{i}", date(2024, 3, 6), "marks"), ("Mar 5, 2024 - A line of more than twenty characters", date(2024, 3, 5), "marks")))
+
+
+def test_dates_stand_alone_in_python_as_they_do_in_the_jvm(spark):
+    rows = spark.range(1, 0x20000).filter("id < 55296 or id > 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
+    rows = rows.filter(~F.col("c").rlike(r"\p{Cn}"))  # Python may know characters that the JVM doesn't
+    got = rows.select("c", D.stated_alone(F.concat("c", F.lit("2024-01-02")), F.lit("2024-01-02")).alias("alone")).collect()
+    assert len(got) > 80_000
+    wrong = [hex(ord(r.c)) for r in got if r.alone != D.is_alone(f"{r.c}2024-01-02", "2024-01-02")]
+    assert wrong == []
