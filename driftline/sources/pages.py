@@ -84,7 +84,7 @@ def _contains(node: Node) -> tuple[bool, ...]:
     return (node.tag == CONTENT_TAGS[0], node.tag == CONTENT_TAGS[1], node.attrs.get("role") == "main", *(node.attrs.get("id") == i for i in CONTENT_IDS), *(c in own for c in CONTENT_CLASSES))
 
 
-_CONTAINING = frozenset(("class", "role", "id"))
+_CONTENT_CLASSES = frozenset(CONTENT_CLASSES)
 
 
 class _Tree(HTMLParser):
@@ -138,8 +138,8 @@ class _Tree(HTMLParser):
             self.title = node
         elif tag == "body":
             self.bodies.append(node)
-        if tag in CONTENT_TAGS or attrs and not self.contained and not _CONTAINING.isdisjoint(node.attrs):
-            self.contained = self.contained or any(_contains(node))
+        if tag in CONTENT_TAGS or attrs and (node.attrs.get("id") in CONTENT_IDS or node.attrs.get("role") == "main" or not _CONTENT_CLASSES.isdisjoint(node.attrs.get("class", "").split())):
+            self.contained = True
         if tag not in VOID:
             self.at = node
 
@@ -304,7 +304,9 @@ class Outline:
         return bool(value and ANCHOR.match(value) and not NO_ANCHOR.search(value))
 
     def _anchor_below(self, node: Node) -> str:
-        if not node.attrs and all(isinstance(c, str) for c in node.children):
+        if self._is_anchor(own := node.attrs.get("id")):
+            return own
+        if all(type(c) is str for c in node.children):
             return ""
         return next((n.attrs["id"] for n, entered in _walk(node) if entered and isinstance(n, Node) and self._is_anchor(n.attrs.get("id"))), "")
 
@@ -312,7 +314,7 @@ class Outline:
         for _ in range(4):
             if node is None:
                 break
-            if self._is_anchor(value := node.attrs.get("id")) and value not in GENERIC_IDS:
+            if (value := node.attrs.get("id")) and value not in GENERIC_IDS and self._is_anchor(value):
                 return value
             node = node.parent
         return ""

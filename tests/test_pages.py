@@ -174,3 +174,22 @@ def test_dates_stand_alone_in_python_as_they_do_in_the_jvm(spark):
     assert len(got) > 80_000
     wrong = [hex(ord(r.c)) for r in got if r.alone != D.is_alone(f"{r.c}2024-01-02", "2024-01-02")]
     assert wrong == []
+
+
+def test_sections_of_headings_are_cut_where_the_page_is(spark, monkeypatch):
+    plans, rows = planned(spark, monkeypatch, f"<h2>May 2024</h2><h3 id='d%s'>May 4</h3>{BODY}<h2 id='s'>Dec 14</h2>{BODY}")
+    assert [p.count("Exchange") for p in plans] == [1, 0] and not any("Window" in p or "Join" in p for p in plans)
+    want = [(f"d{i}", date(2024, 5, 4), "May 2024") for i in range(40)] + [("s", None, None)] * 40
+    assert sorted(((r.anchor, r.event_date, r.year_from) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_plain_markup_makes_the_tree_that_the_parser_makes():
+    def shape(node):
+        return node if isinstance(node, str) else (node.tag, node.attrs, [shape(c) for c in node.children])
+
+    for html in (STACK, MONTHS, PROSE, "x<P>a<p ID='q' class=\"a 'b'\">b<br>c</div><ul><li>d<li>e</ul> > <h2>f", "<table><tr><td>a<td>b<tr><th>c</table>", "", "<p a=''>", "a < b <p>", "<p>&amp;</p>", "<br/><p>x", "<script><p></script>", "<p title='<b>'>"):
+        plain, parsed = pages._Tree(), pages._Tree()
+        plain.read(html)
+        parsed.feed(html)
+        parsed.close()
+        assert shape(plain.root) == shape(parsed.root) and plain.contained == parsed.contained
